@@ -2,8 +2,8 @@
 
 The space is that of word n-gram sets under the Jaccard distance d = 1 - J, which is a metric.
 
-* Pivots are the singleton sets {g}.  A global order of the grams, rare ones first, breaks the
-  ties between pivots, so the Voronoi region of g holds the sets whose first gram is g.
+* Pivots are the singleton sets {g}.  A global order of the grams, by the corpus count of their
+  rarest word and then by hash, breaks the ties between pivots, so the Voronoi region of g holds the sets whose first gram is g.
 * By the triangle inequality a set A can have a partner within r = 1 - theta only in regions
   that A reaches by giving up its first i grams, which moves it by d = i / |A|: while that is at
   most r, A is replicated to the region of its (i + 1)-th gram.  Two sets within r share a gram in
@@ -34,37 +34,31 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common as c
 
-#: Words whose counts order the grams; the other words count as rarer than all of these.
-ORDER_WORDS = 65_536
-#: Entries of the region table that one task takes, and candidate pairs that one verification task takes.
-ENTRIES_PER_TASK, PAIRS_PER_TASK = 3_000_000, 200_000
-_FIRST = 4
+#: Places in the table of word counts that orders the grams, as a power of 2.
+PLACE_BITS = 22
+#: Entries of the region table that one task takes; candidate pairs, and documents in such, that one verification task takes.
+ENTRIES_PER_TASK, PAIRS_PER_TASK, SETS_PER_TASK = 3_000_000, 200_000, 4_000
+_FIRST, _SHARDS, _HASH_BITS = 4, 16, 41
 
 
-def gram_keys(texts: pa.Array, n: int, order: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[np.ndarray]:
-    """Each text's distinct n-gram hashes, sorted; with ``order``, by the commonness of the gram's words first."""
+def gram_keys(texts: pa.Array, n: int, levels: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Each text's distinct n-gram hashes of 48 bits, sorted; with ``levels``, by how common the gram's rarest word is first."""
     codes, offsets, words = c.split_words(texts)
     hashes = c.hash_words(words)
     symbols = hashes[codes]
-    if order is None:
-
-        def keyed(part: slice, k: int) -> np.ndarray:
-            return c.Rolling(symbols[part]).runs(k)
-
-        keys = c.Rolling(symbols).runs(n)
-    else:
-        common, level = order
-        at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
-        weight = np.where(common[at] == hashes, level[at], 0.0)[codes] if len(common) else np.zeros(len(codes))
-
-        def keyed(part: slice, k: int) -> np.ndarray:
-            grams, w = c.Rolling(symbols[part]).runs(k), weight[part]
-            total = np.zeros(len(grams))
-            for i in range(k):
-                total += w[i : i + len(grams)]
-            return (np.minimum(total * 2, 63).astype(np.uint64) << np.uint64(58)) | (grams >> np.uint64(6))
-
-        keys = keyed(slice(None), n)
+    common = None if levels is None else levels[_place(hashes)][codes]
+
+    def keyed(part: slice, k: int) -> np.ndarray:
+        grams = c.Rolling(symbols[part]).runs(k)
+        if common is None:
+            return grams >> np.uint64(16)
+        w = common[part]
+        rarest = w[: len(grams)]
+        for i in range(1, k):
+            rarest = np.minimum(rarest, w[i : i + len(grams)])
+        return (rarest.astype(np.uint64) << np.uint64(_HASH_BITS)) | (grams >> np.uint64(64 - _HASH_BITS))
+
+    keys = keyed(slice(None), n)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if b - a >= n:
             yield np.unique(keys[a : b - n + 1])
@@ -74,6 +68,10 @@ def gram_keys(texts: pa.Array, n: int, order: tuple[np.ndarray, np.ndarray] | No
             yield np.zeros(0, np.uint64)
 
 
+def _place(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+
+
 def _summaries(n: int):
     """Per text its id, set size and two sums over the grams that identify the set; at the end the word counts of the part."""
 
@@ -87,30 +85,51 @@ def _summaries(n: int):
     return run
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a task counted by place, in shards."""
+    total = np.zeros(1 << PLACE_BITS, np.uint32)
     for batch in c.slices(batches, "_text", 4 * c.SLICE_BYTES):
         codes, _, words = c.split_words(batch.column("_text"))
-        yield pa.RecordBatch.from_arrays([pa.array(c.hash_words(words).view(np.int64)), pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))], ["word", "n"])
+        np.add.at(total, _place(c.hash_words(words)), np.bincount(codes, minlength=len(words)).astype(np.uint32))
+    for shard, part in enumerate(np.split(total, _SHARDS)):
+        at = np.nonzero(part)[0]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([at.astype("<u4").tobytes()]), pa.array([part[at].astype("<u4").tobytes()])], ["shard", "places", "counts"])
 
 
-def gram_order(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``ORDER_WORDS`` commonest words, sorted, and the level of each: log2 of its count over the least count kept."""
-    top = (
-        rows.select("_text").mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word").limit(ORDER_WORDS).collect()
-    )
-    words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    counts = np.array([r["n"] for r in top], np.float64)
-    at = np.argsort(words)
-    level = np.log2(counts / counts.min()) + 0.5 if len(top) else counts
-    return words[at], level[at].astype(np.float32)
+def _place_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum the counts of each shard, one task's at a time, and give its levels: 0 for a count of 1, then two for every doubling."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for shard, at, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            total = totals.setdefault(shard, np.zeros((1 << PLACE_BITS) // _SHARDS, np.int64))
+            total[np.frombuffer(at, "<u4")] += np.frombuffer(counts, "<u4")
+    for shard, total in totals.items():
+        levels = np.minimum(np.round(2 * np.log2(np.maximum(total, 1))), 127).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([levels.tobytes()])], ["shard", "levels"])
 
 
-_ENTRY = np.dtype([("key", "<u8"), ("ref", "<u2"), ("pos", "<u2")])
+def word_levels(rows: DataFrame) -> np.ndarray:
+    """How common words are in the corpus, by place of their hash; words that share a place count together.
+
+    The table has 2**PLACE_BITS bytes whatever the corpus holds; it only orders the grams.
+    """
+    counts = rows.select("_text").mapInArrow(_place_counts, "shard int, places binary, counts binary")
+    levels = np.zeros((_SHARDS, (1 << PLACE_BITS) // _SHARDS), np.uint8)
+    for r in counts.repartitionById(_SHARDS, F.col("shard")).mapInArrow(_place_levels, "shard int, levels binary").collect():
+        levels[r["shard"]] = np.frombuffer(r["levels"], np.uint8)
+    return levels.ravel()
+
+
+_ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("ref", "<u2"), ("pos", "<u2")])
 _HEAD = np.dtype([("rid", "<i8"), ("size", "<u4"), ("first", "<u8", _FIRST)])
 
 
-def _windows(order_b, n: int, theta: float, parts: int):
+def _keys(entries: np.ndarray) -> np.ndarray:
+    return (entries["high"].astype(np.uint64) << np.uint64(32)) | entries["low"]
+
+
+def _windows(levels_b, n: int, theta: float, parts: int):
     """Replicate each set to the regions of its window; per slice and task of the next step one row of packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +138,7 @@ def _windows(order_b, n: int, theta: float, parts: int):
             for low in range(0, len(rids), 60_000):
                 part = batch.slice(low, 60_000)
                 heads, entries = np.zeros(part.num_rows, _HEAD), []
-                for i, grams in enumerate(gram_keys(part.column("_text"), n, order_b.value)):
+                for i, grams in enumerate(gram_keys(part.column("_text"), n, levels_b.value)):
                     size = len(grams)
                     if not size:
                         continue
@@ -128,12 +147,11 @@ def _windows(order_b, n: int, theta: float, parts: int):
                     head["rid"], head["size"] = rids[low + i], size
                     head["first"][: min(_FIRST, len(window))] = window[:_FIRST]
                     e = np.empty(len(window), _ENTRY)
-                    e["key"], e["ref"], e["pos"] = window, i, np.minimum(np.arange(len(window)), 65_535)
-                    entries.append(e)
-                if not entries:
-                    continue
-                all_e = np.concatenate(entries)
-                to = (c.mix(all_e["key"]) % np.uint64(parts)).astype(np.int64)
+                    e["low"], e["high"] = window & np.uint64(0xFFFFFFFF), window >> np.uint64(32)
+                    e["ref"], e["pos"] = i, np.minimum(np.arange(len(window)), 65_535)
+                    entries.append(e[window >> np.uint64(_HASH_BITS) > 0])  # a word that occurs once is in no other document
+                all_e = np.concatenate(entries) if entries else np.empty(0, _ENTRY)
+                to = (c.mix(_keys(all_e)) % np.uint64(parts)).astype(np.int64)
                 at = np.argsort(to, kind="stable")
                 all_e, to = all_e[at], to[at]
                 bounds = np.searchsorted(to, np.arange(parts + 1))
@@ -151,11 +169,12 @@ def _windows(order_b, n: int, theta: float, parts: int):
     return run
 
 
-def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (least rid, other rid, region) of all regions in ``entries``; ``owner`` indexes ``heads``."""
+def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (least rid, other rid) of all regions in ``entries``; ``owner`` indexes ``heads``."""
     sizes, rids = heads["size"].astype(np.int64)[owner], heads["rid"][owner]
-    at = np.lexsort((rids, sizes, entries["key"]))
-    key, pos, owner, sizes = entries["key"][at], entries["pos"][at].astype(np.int64), owner[at], sizes[at]
+    key = _keys(entries)
+    at = np.lexsort((rids, sizes, key))
+    key, pos, owner, sizes = key[at], entries["pos"][at].astype(np.int64), owner[at], sizes[at]
     share = theta / (1 + theta)
     live = np.nonzero((key[:-1] == key[1:]) & (sizes[:-1] - pos[:-1] >= 2 * share * sizes[:-1] - 1e-6))[0]
     step, found = 1, []
@@ -171,20 +190,21 @@ def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, thet
             for q in range(_FIRST):
                 met |= (first[owner[a], p] == first[owner[b], q]) & (p < pos[a]) & (q < pos[b])
         a, b = a[~met], b[~met]
-        found.append((owner[a], owner[b], key[a]))
+        found.append((owner[a], owner[b]))
         step += 1
     if not found:
         z = np.zeros(0, np.int64)
-        return z, z, z
-    a, b, region = (np.concatenate(x) for x in zip(*found))
+        return z, z
+    a, b = (np.concatenate(x) for x in zip(*found))
     x, y = heads["rid"][a], heads["rid"][b]
     x, y = np.minimum(x, y), np.maximum(x, y)
-    at = np.lexsort((region, y, x))
-    x, y, region = x[at], y[at], region[at]
+    at = np.lexsort((y, x))
+    x, y = x[at], y[at]
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     keep &= x != y
-    return x[keep], y[keep], region[keep]
+    return x[keep], y[keep]
+
 
 
 def _regions(theta: float):
@@ -201,9 +221,9 @@ def _regions(theta: float):
                 base += n
         if not heads:
             return
-        x, y, region = region_pairs(np.concatenate(heads), np.concatenate(entries), np.concatenate(owner), theta)
+        x, y = region_pairs(np.concatenate(heads), np.concatenate(entries), np.concatenate(owner), theta)
         for i in range(0, len(x), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 200_000]) for v in (x, y, (c.mix(region) >> np.uint64(2)).view(np.int64))], ["a", "b", "region"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 200_000]) for v in (x, y)], ["a", "b"])
 
     return run
 
@@ -211,16 +231,27 @@ def _regions(theta: float):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.slices(batches, "_text"):
-            blobs = [g.tobytes() for g in gram_keys(batch.column("_text"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(blobs, pa.binary())], ["_rid", "grams"])
+            wide = [g.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for g in gram_keys(batch.column("_text"), n)]
+            buckets = batch.column("buckets")
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(c.ints(buckets.offsets))))
+            for low in range(0, len(rows), 500):
+                some = rows.slice(low, 500)
+                yield pa.RecordBatch.from_arrays([buckets.flatten().slice(low, 500), batch.column("_rid").take(some), pa.array(wide, pa.binary()).take(some)], ["place", "_rid", "grams"])
 
     return run
 
 
+def _unpacked(blob: pa.Scalar) -> np.ndarray:
+    narrow = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(narrow), 8), np.uint8)
+    out[:, :6] = narrow
+    return out.view("<u8").ravel()
+
+
 def _verify(theta: float):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         place = {r: i for i, r in enumerate(sets.column("_rid").to_pylist())}
-        grams = [np.frombuffer(b.as_buffer(), "<u8") for b in sets.column("grams")]
+        grams = [_unpacked(b) for b in sets.column("grams")]
         a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
         score = np.zeros(len(a))
         by_a: dict[int, list[int]] = {}
@@ -241,12 +272,12 @@ def _verify(theta: float):
 
 
 def candidate_pairs(rows: DataFrame, n: int, theta: float, entries: int) -> DataFrame:
-    """Distinct candidate pairs ``(a, b, region)`` of ``rows (_rid, _text)``; all pairs within reach are among them."""
-    order_b = rows.sparkSession.sparkContext.broadcast(gram_order(rows))
+    """Distinct candidate pairs ``(a, b)`` of ``rows (_rid, _text)``; all pairs within reach are among them."""
+    levels_b = rows.sparkSession.sparkContext.broadcast(word_levels(rows))
     parts = c.tasks_for(entries, ENTRIES_PER_TASK)
-    blobs = rows.mapInArrow(_windows(order_b, n, theta, parts), "part int, blob binary")
-    found = blobs.repartitionById(parts, F.col("part")).select("blob").mapInArrow(_regions(theta), "a bigint, b bigint, region bigint")
-    return c.stored(found.groupBy("a", "b").agg(F.min("region").alias("region")), "pairs")
+    blobs = rows.mapInArrow(_windows(levels_b, n, theta, parts), "part int, blob binary")
+    found = blobs.repartitionById(parts, F.col("part")).select("blob").mapInArrow(_regions(theta), "a bigint, b bigint")
+    return c.stored(found.distinct(), "pairs")
 
 
 def jaccard_join(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,15 +306,16 @@ def _joined(df: DataFrame, n: int, theta: float, id_col: str, text_col: str) ->
     chosen = text_rows.join(c.small(copies.select(F.col("b").alias("_rid")), 16), "_rid", "left_anti")
     entries = int((1 - theta) * (sums.agg(F.sum("size")).first()[0] or 0)) + 1
     pairs = candidate_pairs(chosen, n, theta, entries)
-    tasks = c.tasks_for(pairs.count(), PAIRS_PER_TASK)
-    pairs = pairs.withColumn("bucket", F.pmod("region", F.lit(tasks)).cast("int"))
-    needed = pairs.select(F.col("bucket").alias("place"), F.explode(F.array("a", "b")).alias("_rid")).distinct()
-    wanted = c.stored(needed.select("_rid").distinct(), "wanted")
-    sets = text_rows.join(c.small(wanted, 16), "_rid", "left_semi").mapInArrow(_sets(n), "_rid bigint, grams binary")
-    gathered = needed.join(sets, "_rid")
-    found = (
-        pairs.select("bucket", "a", "b").groupBy("bucket").cogroup(gathered.groupBy("place")).applyInArrow(_verify(theta), "a bigint, b bigint, jaccard double")
-    )
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = c.small(c.stored(ends.groupBy("a").agg(F.least("a", F.min("b")).alias("label")), "near"), 32)
+    label = c.stored(ends.join(near.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label")), "label")
+    tasks = max(c.tasks_for(pairs.count(), PAIRS_PER_TASK), c.tasks_for(label.count(), SETS_PER_TASK))
+    label = c.small(label, 32)  # pairs of one family mostly have one label, so that few of its sets are sent twice
+    both = pairs.join(label.withColumnRenamed("label", "label_a"), "a").join(label.select(F.col("a").alias("b"), F.col("label").alias("label_b")), "b")
+    pairs = c.stored(both.select("a", "b", F.pmod(F.xxhash64(F.least("label_a", "label_b")), F.lit(tasks)).cast("int").alias("bucket")), "bucketed")
+    needed = pairs.select("bucket", F.explode(F.array("a", "b")).alias("_rid")).groupBy("_rid").agg(F.collect_set("bucket").alias("buckets"))
+    sets = text_rows.join(c.small(c.stored(needed, "needed"), 64), "_rid").select("_rid", "_text", "buckets").mapInArrow(_sets(n), "place int, _rid bigint, grams binary")
+    found = pairs.groupBy("bucket").cogroup(sets.groupBy("place")).applyInArrow(_verify(theta), "a bigint, b bigint, jaccard double")
     found = found.unionByName(copies.withColumn("jaccard", F.lit(1.0)))
     return tagged, found, None if unique else rows.select("_rid", "_id")
 
