@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ngram_join
+from millrace.functions.workers import importable
+from millrace.llm import bpe_codec, exact_dedup, lm_scoring, media, ngram_join, packing, secrets, suffix_dedup, token_counts, toxicity
 
 WORDS_SQL = r"""
 words AS (
@@ -14,18 +15,67 @@ words AS (
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_payloads(_documents(spark, sf_dir))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_pack(_documents(spark, sf_dir), capacity=2048)
+
+
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode(_documents(spark, sf_dir))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_documents(spark, sf_dir), n=2, theta=0.65)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.train_and_score(_documents(spark, sf_dir))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_documents(spark, sf_dir), min_words=50)
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_copies(_documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES = {
-    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
-}
+    f.__name__: f
+    for f in (
+        op1_media_columns, op2_best_fit_packing, op3_bpe_codec, op4_token_counts, op5_secret_scans,
+        op6_ngram_jaccard_join, op7_lm_scoring, op8_suffix_array_dedup, op9_exact_dedup, op10_toxicity,
+    )
+}
 
 ORACLES = {
+    "op1_media_columns": """
+SELECT doc_id, CASE WHEN regexp_matches(lower(ltrim(left(text, 256))), '^(<!doctype html|<html)') THEN 'text/html' ELSE 'text/plain' END AS media_type,
+  octet_length(encode(text))::BIGINT AS n_bytes, 1::INTEGER AS attempts, NULL::VARCHAR AS error, sha256(text) AS sha256, text
+FROM documents WHERE text IS NOT NULL
+""",
+    "op9_exact_dedup": """
+SELECT doc_id, kept_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_id FROM documents WHERE text IS NOT NULL) WHERE doc_id <> kept_id
+""",
     "op6_ngram_jaccard_join": rf"""
 WITH {WORDS_SQL},
 grams AS (

@@ -1,0 +1,448 @@
+"""The ten operators against brute force, on small tables with nulls, empty texts, repeats and clashing columns."""
+
+import hashlib
+import random
+import zipfile
+from collections import defaultdict
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from millrace.llm import bpe_codec, exact_dedup, lm_scoring, media, ngram_join, packing, pretokens, secrets, suffix_dedup, token_counts, toxicity
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+
+
+def near(rng, text, share):
+    return " ".join("changed" + str(rng.randrange(999)) if rng.random() < share else w for w in text.split(" "))
+
+
+def texts(seed=1):
+    """Unrelated texts, exact and near copies, a shared passage, long and short, empty and null ones."""
+    rng = random.Random(seed)
+    base = [prose(rng, rng.randrange(60, 200)) for _ in range(20)]
+    passage = prose(rng, 70)
+    out = [*base, base[0], base[0], base[1], near(rng, base[2], 0.03), near(rng, base[2], 0.03), near(rng, base[3], 0.1)]
+    out += [base[4] + " " + passage + " " + prose(rng, 5), passage + " " + base[5], prose(rng, 30) + " " + passage.upper()]
+    return out + ["", "", " \n ", "one", "One!", "one two", None, None, prose(rng, 30_000)]
+
+
+def table(spark, values, extra=False, ids=None):
+    rows = [(i if ids is None else ids[i], t, "en", "s", None if t is None else len(t)) for i, t in enumerate(values)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    if extra:  # names that the operators use inside
+        for name in ("_rid", "_id", "_text", "a", "b", "n", "key", "pos", "label", "group", "rank", "bin_id", "toxicity"):
+            df = df.withColumn(name.upper() if name in ("_rid",) else name, df.lang)
+    return df
+
+
+def words(text):
+    import regex
+
+    return [] if text is None else regex.findall(r"[\p{L}\p{N}]+", text.lower())
+
+
+# 1 media
+
+
+def test_media_round_trip(spark):
+    values = texts()
+    rows = media.text_payloads(table(spark, values, extra=True)).collect()
+    assert {(r.doc_id, r.text, r.n_bytes, r.sha256) for r in rows} == {
+        (i, t, len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(values) if t is not None
+    }
+    assert all(r.error is None and r.attempts == 1 for r in rows)
+
+
+def test_media_repeated_and_null_ids_and_empty_table(spark):
+    rows = media.text_payloads(table(spark, ["x", "x", "y"], ids=[7, 7, None])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in rows) == [("7", "x"), ("7", "x"), ("None", "y")]
+    assert media.text_payloads(table(spark, [])).count() == 0
+
+
+def test_media_ranges_and_damage(spark, tmp_path):
+    payloads = {f"m{i}": bytes([i]) * (5000 + i) for i in range(40)} | {"pic": b"\x89PNG\r\n\x1a\n123", "empty": b""}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name, data in payloads.items():
+            z.writestr(zipfile.ZipInfo(name), data)
+    read = lambda: media.read_archives(spark, str(tmp_path), rangeBytes=30_000, retries=2)
+    assert read().rdd.getNumPartitions() > 4
+    assert {r.member: bytes(r.payload) for r in read().collect()} == payloads
+    data = bytearray((tmp_path / "a.zip").read_bytes())
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        at = z.getinfo("m5").header_offset + 100
+    data[at] ^= 255
+    (tmp_path / "a.zip").write_bytes(data)
+    rows = {r.member: r for r in read().collect()}
+    assert rows["m5"].payload is None and rows["m5"].attempts == 2 and "checksum" in rows["m5"].error
+    assert all(bytes(r.payload) == payloads[m] for m, r in rows.items() if m != "m5")
+    (tmp_path / "b.zip").write_bytes(b"no archive")
+    assert sum(r.error is not None for r in read().collect()) == 2
+    assert rows["pic"].media_type == "image/png"
+
+
+def test_media_second_try(tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x", b"payload")
+    reader = media.ArchiveReader({"path": str(tmp_path)})
+    calls, real = [], media.read_member
+
+    def failing(file, member):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("lost")
+        return real(file, member)
+
+    media.read_member = failing
+    try:
+        (batch,) = reader.read(reader.partitions()[0])
+    finally:
+        media.read_member = real
+    assert batch.column("attempts").to_pylist() == [2] and batch.column("payload").to_pylist() == [b"payload"]
+
+
+# 2 packing
+
+
+def best_fit(lengths, capacity):
+    """One piece at a time: the fullest bin that has room, of equals the first opened."""
+    space, out = [], []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, s in enumerate(space) if s >= n]
+        if fits:
+            i = min(fits, key=lambda i: (space[i], i))
+        else:
+            i = len(space)
+            space.append(capacity)
+        space[i] -= n
+        out.append((n, i))
+    return space, out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_plan_is_best_fit(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 50, 100])
+    lengths = [rng.randint(1, capacity) if rng.random() < 0.6 else rng.randint(1, 5) for _ in range(rng.randrange(1, 300))]
+    histogram = defaultdict(int)
+    for n in lengths:
+        histogram[n] += 1
+    filled, seen = defaultdict(int), defaultdict(int)
+    for length, first, pieces, first_bin, per, offset in packing.plan(dict(histogram), capacity):
+        assert seen[length] == first
+        seen[length] += pieces
+        for j in range(pieces):
+            assert filled[first_bin + j // per] == offset + j % per * length
+            filled[first_bin + j // per] += length
+    assert seen == histogram and max(filled.values()) <= capacity
+    space, _ = best_fit(lengths, capacity)
+    assert sorted(filled.values()) == sorted(capacity - s for s in space)
+
+
+def test_packing_takes_every_word_once(spark):
+    values = texts()
+    df = table(spark, values + values, extra=True, ids=[*range(len(values)), *range(len(values))])
+    rows = packing.best_fit_pack(df, capacity=64).collect()
+    per_doc, bins = defaultdict(int), defaultdict(list)
+    for r in rows:
+        per_doc[r.doc_id] += r.piece_length
+        if r.bin_id is not None:
+            bins[r.bin_id].append((r.bin_offset, r.piece_length))
+    assert per_doc == {i: 2 * len((t or "").split()) for i, t in enumerate(values)}
+    for pieces in bins.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end <= 64
+    lengths = [r.piece_length for r in rows if r.piece_length]
+    assert len(bins) == len(best_fit(lengths, 64)[0])
+    assert sum(r.bin_id is None for r in rows) == 2 * sum(not (t or "").split() for t in values)
+    assert packing.best_fit_pack(table(spark, [])).count() == 0
+
+
+# 3, 4 tokens
+
+VOCABULARY = pretokens.DEFAULT_VOCABULARY
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=pretokens.PATTERN, mergeable_ranks=pretokens.read_ranks(VOCABULARY), special_tokens={})
+
+
+def odd_texts():
+    rng = random.Random(3)
+    letters = "ab cdeé ñ²½٣́\x1c\x1d \xa0 \n\t'sll日本!?_-0123"
+    return ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(1500)] + ["a" * 5000, " " * 3000, "ab" * 3000, "!" * 999]
+
+
+def test_bpe_is_exact(spark, reference):
+    values = texts() + odd_texts()
+    df = table(spark, values, extra=True)
+    rows = {r.doc_id: r for r in bpe_codec.encode(df).collect()}
+    assert len(rows) == len(values)
+    for i, t in enumerate(values):
+        assert rows[i].token_ids == (None if t is None else reference.encode_ordinary(t))
+        assert rows[i].round_trip is (None if t is None else True)
+    back = {r.doc_id: r.text for r in bpe_codec.decode(bpe_codec.encode(df)).collect()}
+    assert back == dict(enumerate(values))
+    assert bpe_codec.encode(table(spark, [])).count() == 0
+
+
+def test_token_counts_are_exact(spark, reference):
+    values = texts() + odd_texts()
+    rows = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(table(spark, values, extra=True)).collect()}
+    assert rows == {i: None if t is None else len(reference.encode_ordinary(t)) for i, t in enumerate(values)}
+    assert token_counts.count_tokens(table(spark, [])).count() == 0
+
+
+def test_small_vocabulary_follows_merging():
+    rng = random.Random(5)
+    ranks = {bytes([b]): i for i, b in enumerate(b"abc")}
+    for _ in range(40):
+        made = rng.choice(list(ranks)) + rng.choice(list(ranks))
+        ranks.setdefault(made, len(ranks))
+    codec = bpe_codec.Codec(ranks)
+    for _ in range(300):
+        data = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 40)))
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while True:
+            at = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 30), default=-1)
+            if at < 0 or parts[at] + parts[at + 1] not in ranks:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        assert codec.encode_bytes(data) == tuple(ranks[p] for p in parts)
+        assert token_counts.merged_length(data, ranks) == len(parts)
+
+
+# 5 secrets
+
+
+def test_secrets_found_and_words_left_alone(spark):
+    rng = random.Random(2)
+    values, hidden = [], {}
+    for i in range(120):
+        t = prose(rng, 80) + " thereintothewhereuponandnotwithstanding"
+        if i % 4 == 0:
+            kind = i % 12
+            s = "".join(rng.choice({0: "0123456789abcdef", 4: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}.get(kind, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")) for _ in range(40))
+            hidden[i] = s
+            t = t[:100] + " key=" + s + " é " + t[100:]
+        values.append(t)
+    values += [None, "", "1234567890123456789012345"]
+    df = table(spark, values, extra=True)
+    found = defaultdict(list)
+    for r in secrets.scan(df).collect():
+        found[r.doc_id].append(values[r.doc_id][r.start - 1 : r.start - 1 + r.length])
+    assert set(found) == set(hidden)
+    clean = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert len(clean) == len(values)
+    for i, t in enumerate(values):
+        if i in hidden:
+            assert found[i] in ([hidden[i]], ["key=" + hidden[i]]) or hidden[i].strip("/+") in found[i][0]
+            assert hidden[i] not in clean[i].text and "[SECRET]" in clean[i].text and clean[i].n_chars == len(clean[i].text)
+        else:
+            assert clean[i].text == t
+    assert secrets.scan(table(spark, [])).count() == 0
+    assert secrets.redact(table(spark, [])).count() == 0
+
+
+def test_battery_is_uniform_on_random_symbols():
+    p = secrets.battery(np.random.default_rng(1).integers(0, 16, (4000, 64)), 16)
+    assert abs((p[:, 0] < 0.1).mean() - 0.1) < 0.03
+    assert abs((p[:, 2] < 0.1).mean() - 0.1) < 0.03
+
+
+# 6 n-gram join
+
+
+def gram_set(text, n):
+    w = words(text)
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
+
+
+@pytest.mark.parametrize(("n", "theta"), [(2, 0.65), (1, 0.5), (3, 0.3), (2, 1.0)])
+def test_jaccard_join_is_exact(spark, n, theta):
+    values = texts()
+    sets = [gram_set(t, n) for t in values]
+    first = {}
+    expected = {}
+    for i, s in enumerate(sets):
+        if s and first.setdefault(s, i) != i:
+            expected[first[s], i] = 1.0
+    for (s, i), (u, j) in combinations(first.items(), 2):
+        score = len(s & u) / len(s | u)
+        if score >= theta:
+            expected[min(i, j), max(i, j)] = score
+    rows = ngram_join.jaccard_join(table(spark, values, extra=True), n=n, theta=theta).collect()
+    assert {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in rows} == expected
+    assert len(rows) == len(expected)
+
+
+def test_jaccard_join_cases(spark):
+    assert ngram_join.jaccard_join(table(spark, [])).count() == 0
+    rows = ngram_join.jaccard_join(table(spark, ["p q r", "p q r", "x"], ids=[5, 5, None])).collect()
+    assert [(r.doc_a, r.doc_b, r.jaccard) for r in rows] == [(5, 5, 1.0)]
+
+
+def test_one_of_each_group_stays(spark):
+    values = texts()
+    sets = [gram_set(t, 2) for t in values]
+    label = list(range(len(values)))
+    for _ in values:
+        for i, j in combinations(range(len(values)), 2):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.65:
+                label[i] = label[j] = min(label[i], label[j])
+    kept = ngram_join.drop_near_copies(table(spark, values))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, x in enumerate(label) if x == i]
+    assert ngram_join.drop_near_copies(table(spark, ["p q r", "p q r"], ids=[5, 5])).count() == 1
+
+
+# 7 language model
+
+
+def test_lm_is_normalised_and_learns(spark):
+    rng = random.Random(4)
+    nexts = {w: rng.sample(WORDS, 2) for w in WORDS}
+    values = []
+    for _ in range(400):
+        w = rng.choice(WORDS)
+        out = [w]
+        for _ in range(100):
+            w = rng.choice(nexts[w])
+            out.append(w)
+        values.append(" ".join(out))
+    df = table(spark, [*values, None, "", "unseen"], extra=True)
+    vocabulary, model = lm_scoring.train(df.select(df.text.alias("_text")), size=64, width=8)
+    scorer = lm_scoring.Scorer(model)
+    for two, one in [(0, 1), (5, 7), (1, 1)]:
+        n = model.size
+        p = np.exp(scorer.score(np.full(n, two), np.full(n, one), np.arange(n)))
+        assert p.sum() == pytest.approx(1, abs=1e-3)
+    rows = {r.doc_id: r for r in lm_scoring.score(df, vocabulary, model).collect()}
+    held = [rows[i].mean_log_prob for i in range(400)]
+    share = np.array([sum(t.split().count(w) for t in values) for w in WORDS])
+    entropy = -(share / share.sum() * np.log(share / share.sum())).sum()
+    assert -np.mean(held) < entropy - 0.3  # better than counting words
+    assert rows[0].n_tokens == 101 and len(rows[0].token_log_probs) == 101 and rows[0].log_prob == pytest.approx(sum(rows[0].token_log_probs), rel=1e-4)
+    assert rows[400].n_tokens is None and rows[400].token_log_probs is None
+    assert rows[401].n_tokens == 0 and rows[401].mean_log_prob is None and rows[401].token_log_probs == []
+    assert lm_scoring.train_and_score(table(spark, [])).count() == 0
+
+
+# 8 repeated passages
+
+
+def brute_passages(values, k):
+    where = defaultdict(list)
+    for i, t in enumerate(values):
+        w = words(t)
+        for p in range(len(w) - k + 1):
+            where[tuple(w[p : p + k])].append((i, p))
+    hits = {x: min(v) for v in where.values() for x in v if min(v)[0] != x[0]}
+    out = []
+    for (i, p), (j, q) in sorted(hits.items()):
+        if out and out[-1][0] == i and out[-1][1] + out[-1][2] - k + 1 == p and out[-1][3] == j and out[-1][4] - out[-1][1] == q - p:
+            out[-1][2] += 1
+        else:
+            out.append([i, p, k, j, q])
+    return sorted(map(tuple, out))
+
+
+@pytest.mark.parametrize(("k", "key"), [(50, 18), (20, 8), (3, 3)])
+def test_passages_are_exact(spark, k, key):
+    values = texts()
+    rows = suffix_dedup.repeated_passages(table(spark, values, extra=True), min_words=k, key_words=key).collect()
+    assert sorted((r.doc_id, r.start, r.n_words, r.source_id, r.source_start) for r in rows) == brute_passages(values, k)
+
+
+def test_passages_in_batches(spark):
+    index = suffix_dedup.SuffixIndex(spark)
+    rng = random.Random(8)
+    t = prose(rng, 90)
+    brought = []
+    for i in range(5):
+        rows = spark.createDataFrame([(i, (t if i in (1, 4) else prose(rng, 90)))], "_rid bigint, _text string")
+        brought.append(index.add(index.suffixes(rows)).count())
+    assert [n > 0 for n in brought] == [False, False, False, False, True]
+    assert sorted(index.levels) == [0, 2]
+    assert suffix_dedup.repeated_passages(table(spark, [])).count() == 0
+
+
+# 9 exact copies
+
+
+def test_exact_copies(spark):
+    values = [*texts(), "x" * 70_000, "x" * 70_000, "x" * 70_001, "y" * 64, "y" * 64, "y" * 65]
+    first, expected = {}, []
+    for i, t in enumerate(values):
+        if t is not None and first.setdefault(t, i) != i:
+            expected.append((i, first[t]))
+    df = table(spark, values, extra=True)
+    assert sorted((r.doc_id, r.kept_id) for r in exact_dedup.exact_copies(df).collect()) == expected
+    kept = exact_dedup.drop_exact_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(len(values))) - {i for i, _ in expected})
+
+
+def test_exact_copies_with_repeated_ids(spark):
+    df = table(spark, ["a", "a", "b", None, None], ids=[1, 1, 1, 2, None])
+    assert [(r.doc_id, r.kept_id) for r in exact_dedup.exact_copies(df).collect()] == [(1, 1)]
+    assert sorted(str(r.text) for r in exact_dedup.drop_exact_copies(df).collect()) == ["None", "None", "a", "b"]
+    assert exact_dedup.exact_copies(table(spark, [])).count() == 0
+
+
+# 10 toxicity
+
+
+def test_toxicity_on_held_out_documents(spark):
+    rng = random.Random(6)
+    values = [prose(rng, rng.randrange(20, 300)) for _ in range(600)]
+    toxic = [i % 5 == 0 for i in range(600)]
+    for i in range(0, 600, 5):
+        at = values[i].split(" ")
+        for _ in range(3):
+            at.insert(rng.randrange(len(at)), rng.choice(["rotten", "vermin", "scum"]))
+        values[i] = " ".join(at)
+    df = table(spark, [*values, None, "", prose(rng, 20_000)], extra=True)
+    labels = spark.createDataFrame([(i, 1, int(toxic[i])) for i in range(400)] + [(3, 1, None), (None, 1, 1), (99_999, 0, 1)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(df, labels)
+    assert 0 < len(model[0]) < 5000
+    rows = {r.doc_id: r.is_toxic for r in toxicity.score(df, model).collect()}
+    assert np.mean([rows[i] == toxic[i] for i in range(400, 600)]) > 0.97
+    assert rows[600] is False and rows[601] is False and len(rows) == 603
+    kept = toxicity.drop_toxic(df, model)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, x in rows.items() if not x}
+    none = toxicity.fit(df, labels.limit(0))
+    assert not any(r.is_toxic for r in toxicity.score(df, none).collect())
+    assert toxicity.score(table(spark, []), model).count() == 0
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    df = table(spark, texts())
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    a, b = toxicity.fit(df, labels), toxicity.fit(df.repartition(7), labels.repartition(5))
+    assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+
+def test_words_as_defined():
+    from millrace.llm import common
+
+    values = texts() + odd_texts()[:300]
+    codes, offsets, vocabulary = common.split_words(pa.array(values, pa.string()))
+    got = [[vocabulary[x].as_py() for x in codes[a:b]] for a, b in zip(offsets[:-1], offsets[1:])]
+    assert got == [words(t) for t in values]
+    assert len(set(common.hash_words(vocabulary).tolist())) == len(vocabulary)
