@@ -120,7 +120,7 @@ def bm25(candidates: DataFrame, queries: DataFrame, k1: float = K1, b: float = B
     best = F.col("q") * F.log(F.col("n") + 1.0) * (k1 + 1)
     return (
         sized.join(sums, ["query_id", "chunk_id"], "left").join(sizes, "query_id", "left")
-        .select("query_id", "chunk_id", F.coalesce(F.least(F.lit(1.0), F.col("raw") / best), F.lit(0.0)).alias("bm25"))
+        .select("query_id", "chunk_id", F.when(F.col("raw").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("raw") / best)).alias("bm25"))
     )
 
 

@@ -116,7 +116,7 @@ qt AS (SELECT query_id, term, count(*) AS repeats FROM (SELECT chunk_id AS query
 qn AS (SELECT chunk_id AS query_id, len({TOKENS.format("content")}) AS q FROM store),
 raws AS (SELECT query_id, chunk_id, sum(repeats * ln((n - d + 0.5::DOUBLE) / (d + 0.5::DOUBLE) + 1) * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_tokens / avg_length))) AS raw
   FROM tf JOIN df USING (query_id, term) JOIN qt USING (query_id, term) JOIN sized USING (query_id, chunk_id) GROUP BY ALL),
-bm AS (SELECT s.query_id, s.chunk_id, coalesce(least(1.0::DOUBLE, raw / (q * ln(n + 1.0::DOUBLE) * 2.5::DOUBLE)), 0.0::DOUBLE) AS bm25
+bm AS (SELECT s.query_id, s.chunk_id, CASE WHEN raw IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, raw / (q * ln(n + 1.0::DOUBLE) * 2.5::DOUBLE)) END AS bm25
   FROM sized s JOIN qn USING (query_id) LEFT JOIN raws r USING (query_id, chunk_id))"""
 
 GOLDEN_SQL = """,
