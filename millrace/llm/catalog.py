@@ -72,6 +72,23 @@ ORACLES = {
 SELECT doc_id, CASE WHEN regexp_matches(lower(ltrim(left(text, 256))), '^(<!doctype html|<html)') THEN 'text/html' ELSE 'text/plain' END AS media_type,
   octet_length(encode(text))::BIGINT AS n_bytes, 1::INTEGER AS attempts, NULL::VARCHAR AS error, sha256(text) AS sha256, text
 FROM documents WHERE text IS NOT NULL
+""",
+    "op8_suffix_array_dedup": rf"""
+WITH {WORDS_SQL},
+places AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS pos FROM words WHERE len(ws) >= 50),
+stretches AS (SELECT doc_id, pos, array_to_string(ws[pos + 1:pos + 50], ' ') AS stretch FROM places),
+firsts AS (
+  SELECT doc_id, pos, first_value(doc_id) OVER w AS source, first_value(pos) OVER w - pos AS shift
+  FROM stretches WINDOW w AS (PARTITION BY stretch ORDER BY doc_id, pos)
+),
+repeats AS (SELECT * FROM firsts WHERE source <> doc_id),
+runs AS (
+  SELECT *, CASE WHEN pos = lag(pos) OVER w + 1 AND source = lag(source) OVER w AND shift = lag(shift) OVER w THEN 0 ELSE 1 END AS new
+  FROM repeats WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+),
+passages AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS passage FROM runs)
+SELECT doc_id, min(pos)::INTEGER AS start, count(*) + 49 AS n_words, source AS source_id, (min(pos) + shift)::INTEGER AS source_start
+FROM passages GROUP BY doc_id, passage, source, shift
 """,
     "op9_exact_dedup": """
 SELECT doc_id, kept_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_id FROM documents WHERE text IS NOT NULL) WHERE doc_id <> kept_id
