@@ -73,15 +73,25 @@ def with_row_ids(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     """``(all columns + _rid, rows (_rid, _id, _text), whether _rid is the id)``; ``_rid`` tells every row from every other.
 
     Usually ``_rid`` is the id itself.  Only where ids repeat or are null, the table is written
-    once with fresh row numbers, which then hold however often it is read again.
+    once with fresh row numbers, which then hold however often it is read again.  All columns are
+    named by their place (``c0``, ``c1`` ...), so that no name can clash; ``restored`` names them as they were.
     """
-    ids = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(id_col)).alias("d")).first()
-    unique = ids["n"] == ids["d"]
-    if unique:
-        tagged = df.withColumn("_rid", F.col(id_col).cast("bigint"))
-    else:
-        tagged = stored(df.withColumn("_rid", F.monotonically_increasing_id()), "rows")
-    return tagged, tagged.select("_rid", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), unique
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    row_id, text = place(df, id_col), place(df, text_col)
+    ids = plain.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(row_id)).alias("d")).first()
+    unique = ids["n"] == ids["d"] and dict(plain.dtypes)[row_id] in ("tinyint", "smallint", "int", "bigint")
+    tagged = plain.withColumn("_rid", F.col(row_id).cast("bigint")) if unique else stored(plain.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    return tagged, tagged.select("_rid", F.col(row_id).alias("_id"), F.col(text).cast("string").alias("_text")), unique
+
+
+def place(df: DataFrame, name: str) -> str:
+    """The name by place of the column ``name`` of ``df``."""
+    return f"c{df.columns.index(name)}"
+
+
+def restored(tagged: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of ``df``, under their names, of what ``with_row_ids`` made of it."""
+    return tagged.select(*(f"c{i}" for i in range(len(df.columns)))).toDF(*df.columns)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -69,4 +69,4 @@ def exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the rows that repeat the text of an earlier one."""
     tagged, rows, _ = c.with_row_ids(df, id_col, text_col)
-    return tagged.join(c.small(c.stored(_copies(rows).select("_rid"), "copies"), 16), "_rid", "left_anti").select(df.columns)
+    return c.restored(tagged.join(c.small(c.stored(_copies(rows).select("_rid"), "copies"), 16), "_rid", "left_anti"), df)

@@ -248,12 +248,14 @@ def redact(df: DataFrame, mask: str = "[SECRET]", fdr: float = FDR, id_col: str
     tagged, rows, _ = c.with_row_ids(df, id_col, text_col)
     spans = find_secrets(rows, fdr).groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("start", "length")), asc=False).alias("_spans"))
     spans = c.small(c.stored(spans, "spans"), 256)
+    text = c.place(df, text_col)
     clean = F.aggregate(
-        "_spans", F.col(text_col).cast("string"),
-        lambda text, s: F.concat(F.substring(text, F.lit(1), s["start"] - 1), F.lit(mask), F.substring(text, s["start"] + s["length"], F.length(text))),
+        "_spans", F.col(text).cast("string"),
+        lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"] - 1), F.lit(mask), F.substring(t, s["start"] + s["length"], F.length(t))),
     )
-    changed = tagged.join(spans, "_rid", "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col(text_col)))
+    found = F.col("_spans").isNotNull()
+    changed = tagged.join(spans, "_rid", "left").withColumn(text, F.when(found, clean).otherwise(F.col(text)))
     if length_col in df.columns:
-        kind = df.schema[length_col].dataType
-        changed = changed.withColumn(length_col, F.when(F.col("_spans").isNotNull(), F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
-    return changed.select(df.columns)
+        length = c.place(df, length_col)
+        changed = changed.withColumn(length, F.when(found, F.length(text).cast(df.schema[length_col].dataType)).otherwise(F.col(length)))
+    return c.restored(changed, df)

@@ -405,6 +405,21 @@ def test_exact_copies_with_repeated_ids(spark):
     assert exact_dedup.exact_copies(table(spark, [])).count() == 0
 
 
+def test_columns_with_inner_names_survive(spark):
+    from pyspark.sql import functions as F
+
+    df = table(spark, ["a b c", "a b c", None]).withColumn("_rid", F.lit(77)).withColumn("c0", F.lit("x")).withColumn("_Spans", F.lit(1.5))
+    for out in (exact_dedup.drop_exact_copies(df), ngram_join.drop_near_copies(df), secrets.redact(df)):
+        assert out.columns == df.columns
+        assert {(r["_rid"], r["c0"], r["_Spans"]) for r in out.collect()} == {(77, "x", 1.5)}
+
+
+def test_ids_that_are_text(spark):
+    df = table(spark, ["p q r", "p q r"]).selectExpr("concat('id', doc_id) as doc_id", "text")
+    assert [tuple(r) for r in exact_dedup.exact_copies(df).collect()] in ([("id1", "id0")], [("id0", "id1")])
+    assert [(r.doc_a, r.doc_b) for r in ngram_join.jaccard_join(df).collect()] == [("id0", "id1")]
+
+
 # 10 toxicity
 
 
