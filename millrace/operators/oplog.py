@@ -45,9 +45,9 @@ def queries_per_source(log: DataFrame) -> DataFrame:
 
 
 def query_frequency(log: DataFrame) -> DataFrame:
-    """Counts per query; of equals the one seen first comes first."""
+    """Counts per query, sorted; of equals the one seen first comes first."""
     per = log.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"))
-    return per.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first_seen", "query")))
+    return per.orderBy(F.desc("n"), "first_seen", "query")
 
 
 # feedback: (query, chunk_id, relevant, ts)

@@ -255,12 +255,12 @@ def ingest_incremental(spark, d):
 # chunking
 
 
-def _chunks(name, column, source=i.documents, key="doc_id"):
+def _chunks(name, column, source=i.documents, key="doc_id", sql=None):
     def run(spark, d):
         rows = source(spark, d).select(key, F.posexplode(column()).alias("pos", "c"))
         return rows.select(key, "pos", F.col("c.content").alias("content"), F.col("c.start_index").alias("start_index"), F.col("c.end_index").alias("end_index"))
 
-    query(name=name)(run)
+    query(sql, name)(run)
 
 
 def _fold(parts: str, glue: str, size: int) -> str:
@@ -288,18 +288,34 @@ def _recursive_sql(size: int) -> str:
         )
         last = f"l{n}"
     steps.append(f"cut AS (SELECT doc_id, list_append(path, c) AS path, substr(piece, c * {size} + 1, {size}) AS piece FROM (SELECT *, unnest(range(0, (length(piece) - 1) // {size} + 1)) AS c FROM {last}))")
-    return "WITH " + ",\n".join(steps) + " SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1)::INT AS pos, piece AS content FROM cut"
+    return "WITH " + ",\n".join(steps) + ",\npieces AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1)::INT AS pos, piece AS content FROM cut)\n"
 
 
-@query(_recursive_sql(200))
+@query(_recursive_sql(200) + "SELECT * FROM pieces")
 def chunk_recursive_pieces(spark, d):
     return i.table(spark, d, "documents").select("doc_id", F.posexplode(chunking.recursive_pieces(F.col("text"), 200)).alias("pos", "content"))
 
 
-_chunks("chunk_recursive", lambda: chunking.chunk_recursive(F.col("content"), 512, 50))
+_OFFSETS = """, lapped AS (SELECT doc_id, pos, CASE WHEN pos = 0 THEN content ELSE substr(right(lag(content) OVER (PARTITION BY doc_id ORDER BY pos), 50) || content, 1, 512) END AS content FROM pieces),
+grouped AS (SELECT doc_id, text, list({'c': 0::BIGINT, 's': []::BIGINT[], 'p': content} ORDER BY pos) AS l FROM lapped JOIN documents USING (doc_id) GROUP BY ALL),
+found AS (SELECT doc_id, l, list_reduce(l, lambda acc, x: {
+    'c': (CASE WHEN instr(substr(text, greatest(0, acc.c - 50) + 1), x.p) > 0 THEN greatest(0, acc.c - 50) + instr(substr(text, greatest(0, acc.c - 50) + 1), x.p) - 1 ELSE acc.c END + length(x.p))::BIGINT,
+    's': list_append(acc.s, (CASE WHEN instr(substr(text, greatest(0, acc.c - 50) + 1), x.p) > 0 THEN greatest(0, acc.c - 50) + instr(substr(text, greatest(0, acc.c - 50) + 1), x.p) - 1 ELSE acc.c END)::BIGINT),
+    'p': x.p}, {'c': 0::BIGINT, 's': []::BIGINT[], 'p': ''}) AS r FROM grouped)
+SELECT doc_id, (k - 1)::INT AS pos, l[k].p AS content, r.s[k]::INT AS start_index, (r.s[k] + length(l[k].p))::INT AS end_index FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM found)"""
+_chunks("chunk_recursive", lambda: chunking.chunk_recursive(F.col("content"), 512, 50), sql=_recursive_sql(512).rstrip() + _OFFSETS)
 _chunks("chunk_semantic", lambda: chunking.chunk_semantic(F.col("content"), 512, 50), i.markdown, "doc_key")
 _chunks("chunk_code", lambda: chunking.chunk_code(F.regexp_replace("content", r"(?m)^([A-Z]\w+) ", "def $1 "), F.col("source"), 512))
-query(name="chunk_sentence_pack")(lambda spark, d: i.table(spark, d, "documents").select("doc_id", F.posexplode(chunking.sentence_pieces(F.col("text"), 512)).alias("pos", "content")))
+_PACKED = rf"""WITH s AS (SELECT doc_id, p, l[p] AS sentence FROM (SELECT *, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents))),
+w AS (SELECT doc_id, p, sentence, CASE WHEN length(sentence) > 512 THEN {_fold(r"regexp_extract_all(sentence, '\S+')", " ", 512)} ELSE []::VARCHAR[] END AS ws FROM s),
+g AS (SELECT doc_id, list({{'d': []::VARCHAR[], 'o': sentence, 'w': ws}} ORDER BY p) AS l FROM w GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(l, lambda acc, x: CASE
+  WHEN length(CASE WHEN acc.o = '' THEN x.o ELSE acc.o || ' ' || x.o END) <= 512 THEN {{'d': acc.d, 'o': CASE WHEN acc.o = '' THEN x.o ELSE acc.o || ' ' || x.o END, 'w': x.w}}
+  WHEN length(x.o) > 512 THEN {{'d': list_concat(CASE WHEN acc.o = '' THEN acc.d ELSE list_append(acc.d, acc.o) END, x.w[:len(x.w) - 1]), 'o': coalesce(x.w[len(x.w)], ''), 'w': x.w}}
+  ELSE {{'d': CASE WHEN acc.o = '' THEN acc.d ELSE list_append(acc.d, acc.o) END, 'o': x.o, 'w': x.w}} END, {{'d': []::VARCHAR[], 'o': '', 'w': []::VARCHAR[]}}) AS r FROM g),
+c AS (SELECT doc_id, CASE WHEN r.o = '' THEN r.d ELSE list_append(r.d, r.o) END AS l FROM f)
+SELECT doc_id, (k - 1)::INT AS pos, l[k] AS content FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM c)"""
+query(_PACKED, "chunk_sentence_pack")(lambda spark, d: i.table(spark, d, "documents").select("doc_id", F.posexplode(chunking.sentence_pieces(F.col("text"), 512)).alias("pos", "content")))
 query(name="chunk_hierarchical_parents")(lambda spark, d: chunking.chunk_hierarchical(i.markdown(spark, d)).where("chunk_type = 'parent'"))
 query(name="chunk_hierarchical_children")(lambda spark, d: chunking.chunk_hierarchical(i.markdown(spark, d)).where("chunk_type = 'child'"))
 
@@ -394,6 +410,18 @@ def _values(table: dict) -> str:
     return "(VALUES " + ", ".join(f"('{w}', {n}, '{s}')" for w, n, s in rows) + ") AS t(word, n, sub)"
 
 
+def _expand_sql() -> str:
+    part = r"""SELECT conv_id, turn, {k} AS k, p, n, array_to_string(list_transform(ws, lambda x, j: CASE WHEN j = p THEN sub ELSE x END), ' ') AS variant FROM e JOIN {values} ON regexp_replace(ws[p], '[^\p{{L}}\p{{N}}_]', '', 'g') = word"""
+    return rf"""WITH {_QUESTIONS}, w AS (SELECT *, regexp_extract_all(lower(query), '\S+') AS ws FROM q), e AS (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM w),
+l AS (SELECT conv_id, turn, string_split(regexp_replace(query, '(?i)\s+(?:and|or)\s+', chr(1), 'g'), chr(1)) AS ps FROM q),
+a AS (SELECT conv_id, turn, 0 AS k, 0 AS p, 0 AS n, query AS variant FROM q
+  UNION ALL {part.format(k=1, values=_values(rewrite.SYNONYMS))}
+  UNION ALL {part.format(k=2, values=_values(rewrite.ACRONYMS))}
+  UNION ALL SELECT conv_id, turn, 3, p, 0, regexp_replace(ps[p], '^\s+|\s+$', '', 'g') FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS p FROM l) WHERE len(ps) > 1),
+o AS (SELECT conv_id, turn, variant, min(k * 1000000 + p * 1000 + n) AS place FROM a WHERE variant <> '' OR k = 0 GROUP BY ALL)
+SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY place) - 1)::INT AS variant_idx, variant FROM o"""
+
+
 def _variants_sql(table: dict) -> str:
     return rf"""WITH {_QUESTIONS}, w AS (SELECT *, regexp_extract_all(lower(query), '\S+') AS ws FROM q), e AS (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM w),
 v AS (SELECT conv_id, turn, p, n, array_to_string(list_transform(ws, lambda x, j: CASE WHEN j = p THEN sub ELSE x END), ' ') AS variant FROM e JOIN {_values(table)} ON regexp_replace(ws[p], '[^\p{{L}}\p{{N}}_]', '', 'g') = word),
@@ -420,7 +448,7 @@ def sub_queries(spark, d):
     return _questions(spark, d).select("conv_id", "turn", F.posexplode(rewrite.sub_queries(F.col("query"))).alias("variant_idx", "variant"))
 
 
-@query()
+@query(_expand_sql())
 def expand(spark, d):
     return _questions(spark, d).select("conv_id", "turn", F.posexplode(rewrite.expand(F.col("query"))).alias("variant_idx", "variant"))
 
@@ -536,9 +564,9 @@ def low_confidence_queries(spark, d):
     return oplog.low_confidence(i.query_log(spark, d), 0.3).select("query", "num_results", F.round("max_score", 6).alias("max_score"))
 
 
-@query(f"WITH {i.LOG_SQL}, n AS (SELECT query, count(*) AS n, min(ts) AS first_seen FROM log GROUP BY query) SELECT query, n, row_number() OVER (ORDER BY n DESC, first_seen, query)::INT AS place FROM n")
+@query(f"WITH {i.LOG_SQL}, n AS (SELECT query, count(*) AS n, min(ts) AS first_seen FROM log GROUP BY query) SELECT query, n FROM n ORDER BY n DESC, first_seen, query")
 def query_frequency(spark, d):
-    return oplog.query_frequency(i.query_log(spark, d)).select("query", "n", "place")
+    return oplog.query_frequency(i.query_log(spark, d)).select("query", "n")
 
 
 @query(f"""WITH {i.RANKED_SQL}, f AS (SELECT query_id, count(*) AS num_results, greatest(0.0::DOUBLE, max(score)) AS max_score, array_to_string(list_distinct_ordered, ',') AS sources FROM (SELECT query_id, score, list_filter(list(source) OVER w, lambda x, n: list_position(list(source) OVER w, x) = n) AS list_distinct_ordered FROM cand WINDOW w AS (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY query_id, list_distinct_ordered)
@@ -725,7 +753,7 @@ def schedule_cron(spark, d):
 # streams
 
 
-@query()
+@query(f"WITH {i.DOCUMENTS_SQL} SELECT doc_id, source FROM docs WHERE lang = 'fr'")
 def stream_incremental(spark, d):
     return incremental.replayed(spark, d)
 
