@@ -6,6 +6,8 @@ Everything here is used by more than one operator of this subpackage.  Nothing o
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     known = getattr(spark.sparkContext, "_millrace_scratch", None)
     if known is None:
-        known = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        folder = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        known = "file://" + folder
         spark.sparkContext._millrace_scratch = known
         spark.sparkContext.setCheckpointDir(known)
     return known
