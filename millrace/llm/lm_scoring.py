@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,10 +208,22 @@ class Scorer:
         return np.einsum("ij,ij->i", q, m.target[word]) + m.bias[word] - self.log_z[pair]
 
 
+_scorers: dict[int, Scorer] = {}
+
+
+def _scorer(size: int, width: int, data: np.ndarray) -> Scorer:
+    """The worker's scorer of a model, so that its tasks share what it remembers."""
+    key = xxhash.xxh3_64_intdigest(data.tobytes())
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(Model(size, width, data))
+    return _scorers[key]
+
+
 def _score(shared_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, width, data = shared_b.value
-        scorer = Scorer(Model(vocabulary.size, width, data))
+        scorer = _scorer(vocabulary.size, width, data)
         for batch in c.slices(batches, "_text", 2 * c.SLICE_BYTES):
             two, one, word, offsets = contexts(batch.column("_text"), vocabulary)
             logs = scorer.score(two, one, word).astype(np.float32)
