@@ -8,9 +8,10 @@ The space is that of word n-gram sets under the Jaccard distance d = 1 - J, whic
   that A reaches by giving up its first i grams, which moves it by d = i / |A|: while that is at
   most r, A is replicated to the region of its (i + 1)-th gram.  Two sets within r share a gram in
   both windows, hence a region.
-* Inside a region the search recurses on set size (d >= 1 - |A| / |B|) and on what remains
-  behind the pivot (overlap <= min(|A| - i, |B| - j)); a pair is proposed in the region of its
-  first common gram.  What is left is compared gram by gram.
+* Inside a region the search recurses on set size (d >= 1 - |A| / |B|).  A pair is then followed
+  through all regions it shares: up to the nearer end of the two windows both sets are known, so
+  that overlap <= regions met in + the larger rest behind its window, and a pair that meets in fewer
+  regions than this needs is out of reach.  The pairs left are compared gram by gram.
 
 Documents as pivots were tried on paper first: unrelated documents are all at distance 1 from
 each other and from every pivot, so such windows replicate every document to every region.
@@ -38,7 +39,9 @@ from millrace.llm import common as c
 PLACE_BITS = 22
 #: Entries of the region table that one task takes; candidate pairs, and documents in such, that one verification task takes.
 ENTRIES_PER_TASK, PAIRS_PER_TASK, SETS_PER_TASK = 3_000_000, 200_000, 4_000
-_FIRST, _SHARDS, _HASH_BITS = 4, 16, 41
+_SHARDS, _HASH_BITS = 16, 41
+#: Pairs that a task counts before it passes them on.
+HELD_PAIRS = 3_000_000
 
 
 def gram_keys(texts: pa.Array, n: int, levels: np.ndarray | None = None) -> Iterator[np.ndarray]:
@@ -121,8 +124,13 @@ def word_levels(rows: DataFrame) -> np.ndarray:
     return levels.ravel()
 
 
-_ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("ref", "<u2"), ("pos", "<u2")])
-_HEAD = np.dtype([("rid", "<i8"), ("size", "<u4"), ("first", "<u8", _FIRST)])
+_ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("ref", "<u2")])
+_HEAD = np.dtype([("rid", "<i8"), ("size", "<u4")])
+
+
+def window_size(size, theta: float):
+    """How many regions a set of ``size`` grams reaches within distance 1 - theta."""
+    return np.floor((1 - theta) * size + 1e-9).astype(np.int64) + 1
 
 
 def _keys(entries: np.ndarray) -> np.ndarray:
@@ -142,13 +150,11 @@ def _windows(levels_b, n: int, theta: float, parts: int):
                     size = len(grams)
                     if not size:
                         continue
-                    window = grams[: int((1 - theta) * size + 1e-9) + 1]
-                    head = heads[i]
-                    head["rid"], head["size"] = rids[low + i], size
-                    head["first"][: min(_FIRST, len(window))] = window[:_FIRST]
+                    window = grams[: int(window_size(np.float64(size), theta))]
+                    heads[i] = rids[low + i], size
                     e = np.empty(len(window), _ENTRY)
                     e["low"], e["high"] = window & np.uint64(0xFFFFFFFF), window >> np.uint64(32)
-                    e["ref"], e["pos"] = i, np.minimum(np.arange(len(window)), 65_535)
+                    e["ref"] = i
                     entries.append(e[window >> np.uint64(_HASH_BITS) > 0])  # a word that occurs once is in no other document
                 all_e = np.concatenate(entries) if entries else np.empty(0, _ENTRY)
                 to = (c.mix(_keys(all_e)) % np.uint64(parts)).astype(np.int64)
@@ -169,42 +175,56 @@ def _windows(levels_b, n: int, theta: float, parts: int):
     return run
 
 
-def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (least rid, other rid) of all regions in ``entries``; ``owner`` indexes ``heads``."""
-    sizes, rids = heads["size"].astype(np.int64)[owner], heads["rid"][owner]
-    key = _keys(entries)
-    at = np.lexsort((rids, sizes, key))
-    key, pos, owner, sizes = key[at], entries["pos"][at].astype(np.int64), owner[at], sizes[at]
-    share = theta / (1 + theta)
-    live = np.nonzero((key[:-1] == key[1:]) & (sizes[:-1] - pos[:-1] >= 2 * share * sizes[:-1] - 1e-6))[0]
-    step, found = 1, []
-    first = heads["first"]
-    while len(live):  # the live entries against the one `step` further; sizes ascend within a region
-        live = live[live + step < len(key)]
-        live = live[(key[live + step] == key[live]) & (sizes[live] >= theta * sizes[live + step] - 1e-6)]
-        other = live + step
-        good = np.minimum(sizes[live] - pos[live], sizes[other] - pos[other]) >= share * (sizes[live] + sizes[other]) - 1e-6
-        a, b = live[good], other[good]
-        met = np.zeros(len(a), bool)  # in a region before this one
-        for p in range(_FIRST):
-            for q in range(_FIRST):
-                met |= (first[owner[a], p] == first[owner[b], q]) & (p < pos[a]) & (q < pos[b])
-        a, b = a[~met], b[~met]
-        found.append((owner[a], owner[b]))
-        step += 1
-    if not found:
-        z = np.zeros(0, np.int64)
-        return z, z
-    a, b = (np.concatenate(x) for x in zip(*found))
-    x, y = heads["rid"][a], heads["rid"][b]
-    x, y = np.minimum(x, y), np.maximum(x, y)
-    at = np.lexsort((y, x))
-    x, y = x[at], y[at]
-    keep = np.ones(len(x), bool)
-    keep[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    keep &= x != y
-    return x[keep], y[keep]
+def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, theta: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs that meet in the regions of ``entries``: (rid, greater rid, regions met in, least number needed), in several parts.
 
+    ``owner`` indexes ``heads``.  A pair may come in more than one part.
+    """
+    sizes = heads["size"].astype(np.int64)
+    key = _keys(entries)
+    at = np.lexsort((heads["rid"][owner], sizes[owner], key))
+    key, owner = key[at], owner[at]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        codes, counts = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+        starts = np.concatenate([[0], np.nonzero(np.diff(codes))[0] + 1])
+        return codes[starts], np.add.reduceat(counts, starts)
+
+    def pairs(codes: np.ndarray, counts: np.ndarray):
+        a, b = codes // len(heads), codes % len(heads)
+        share = theta / (1 + theta)
+        behind = np.maximum(sizes[a] - window_size(sizes[a], theta), sizes[b] - window_size(sizes[b], theta))
+        need = np.maximum(np.ceil(share * (sizes[a] + sizes[b]) - behind - 1e-6), 1).astype(np.int32)
+        x, y = heads["rid"][a], heads["rid"][b]
+        return np.minimum(x, y), np.maximum(x, y), counts.astype(np.int32), need
+
+    low = 0
+    while low < len(key):
+        high = min(low + 200_000, len(key))
+        while high < len(key) and key[high] == key[high - 1]:
+            high += 1
+        k, o = key[low:high], owner[low:high]
+        live, step = np.nonzero(k[:-1] == k[1:])[0], 1
+        while len(live):  # the live entries against the one `step` further; sizes ascend within a region
+            live = live[live + step < len(k)]
+            live = live[(k[live + step] == k[live]) & (sizes[o[live]] >= theta * sizes[o[live + step]] - 1e-6)]
+            if len(live):
+                held.append((o[live] * len(heads) + o[live + step], np.ones(len(live), np.int64)))
+                count += len(live)
+            step += 1
+            if count > HELD_PAIRS:
+                held = [merged()]
+                count = len(held[0][0])
+                if count > HELD_PAIRS // 2:
+                    yield pairs(*held[0])
+                    held, count = [], 0
+        low = high
+    if held:
+        yield pairs(*merged())
 
 
 def _regions(theta: float):
@@ -221,13 +241,19 @@ def _regions(theta: float):
                 base += n
         if not heads:
             return
-        x, y = region_pairs(np.concatenate(heads), np.concatenate(entries), np.concatenate(owner), theta)
-        for i in range(0, len(x), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 200_000]) for v in (x, y)], ["a", "b"])
+        heads, entries, owner = _one_head_each(np.concatenate(heads), np.concatenate(owner), np.concatenate(entries))
+        for part in region_pairs(heads, entries, owner, theta):
+            for i in range(0, len(part[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 200_000]) for v in part], ["a", "b", "met", "need"])
 
     return run
 
 
+def _one_head_each(heads: np.ndarray, owner: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, first, back = np.unique(heads["rid"], return_index=True, return_inverse=True)
+    return heads[first], entries, back[owner]
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.slices(batches, "_text"):
@@ -276,8 +302,9 @@ def candidate_pairs(rows: DataFrame, n: int, theta: float, entries: int) -> Data
     levels_b = rows.sparkSession.sparkContext.broadcast(word_levels(rows))
     parts = c.tasks_for(entries, ENTRIES_PER_TASK)
     blobs = rows.mapInArrow(_windows(levels_b, n, theta, parts), "part int, blob binary")
-    found = blobs.repartitionById(parts, F.col("part")).select("blob").mapInArrow(_regions(theta), "a bigint, b bigint")
-    return c.stored(found.distinct(), "pairs")
+    found = blobs.repartitionById(parts, F.col("part")).select("blob").mapInArrow(_regions(theta), "a bigint, b bigint, met int, need int")
+    enough = found.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need")).where("met >= need")
+    return c.stored(enough.select("a", "b"), "pairs")
 
 
 def jaccard_join(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
