@@ -11,7 +11,8 @@ The space is that of word n-gram sets under the Jaccard distance d = 1 - J, whic
 * Inside a region the search recurses on set size (d >= 1 - |A| / |B|).  A pair is then followed
   through all regions it shares: up to the nearer end of the two windows both sets are known, so
   that overlap <= regions met in + the larger rest behind its window, and a pair that meets in fewer
-  regions than this needs is out of reach.  The pairs left are compared gram by gram.
+  regions than this needs is out of reach.  Tasks keep back pairs that met in few of their own
+  regions, which is allowed for; the pairs left are compared gram by gram.
 
 Documents as pivots were tried on paper first: unrelated documents are all at distance 1 from
 each other and from every pivot, so such windows replicate every document to every region.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,9 @@ PLACE_BITS = 22
 #: Entries of the region table that one task takes; candidate pairs, and documents in such, that one verification task takes.
 ENTRIES_PER_TASK, PAIRS_PER_TASK, SETS_PER_TASK = 3_000_000, 200_000, 4_000
 _SHARDS, _HASH_BITS = 16, 41
-#: Pairs that a task counts before it passes them on.
-HELD_PAIRS = 3_000_000
+#: Meetings that a task holds before it counts them by pair; at twice as many pairs it passes them on.
+HELD_PAIRS = 2_000_000
+_CODEC = pa.Codec("zstd", 3)
 
 
 def gram_keys(texts: pa.Array, n: int, levels: np.ndarray | None = None) -> Iterator[np.ndarray]:
@@ -91,7 +94,7 @@ def _summaries(n: int):
 def _place_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of a task counted by place, in shards."""
     total = np.zeros(1 << PLACE_BITS, np.uint32)
-    for batch in c.slices(batches, "_text", 4 * c.SLICE_BYTES):
+    for batch in c.slices(batches, "_text", 2 * c.SLICE_BYTES):
         codes, _, words = c.split_words(batch.column("_text"))
         np.add.at(total, _place(c.hash_words(words)), np.bincount(codes, minlength=len(words)).astype(np.uint32))
     for shard, part in enumerate(np.split(total, _SHARDS)):
@@ -141,7 +144,7 @@ def _windows(levels_b, n: int, theta: float, parts: int):
     """Replicate each set to the regions of its window; per slice and task of the next step one row of packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in c.slices(batches, "_text", 4 * c.SLICE_BYTES):
+        for batch in c.slices(batches, "_text", 2 * c.SLICE_BYTES):
             rids = c.ints(batch.column("_rid"))
             for low in range(0, len(rids), 60_000):
                 part = batch.slice(low, 60_000)
@@ -175,15 +178,23 @@ def _windows(levels_b, n: int, theta: float, parts: int):
     return run
 
 
-def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, theta: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs that meet in the regions of ``entries``: (rid, greater rid, regions met in, least number needed), in several parts.
+def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, theta: float, tasks: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs that meet in the regions of ``entries``: (rid, greater rid, regions met in, least number needed, last), in several parts.
 
-    ``owner`` indexes ``heads``.  A pair may come in more than one part.
+    ``owner`` indexes ``heads``.  A pair may come in more than one part; ``last`` is 1 in the last part.
+    Of that, pairs that met in less than one of 2 * ``tasks`` shares of what they need are left out.
     """
+    by_size = np.lexsort((heads["rid"], heads["size"]))  # documents are numbered by size, so that regions need sorting by key only
+    number = np.empty(len(heads), np.int32)
+    number[by_size] = np.arange(len(heads), dtype=np.int32)
+    heads = heads[by_size]
     sizes = heads["size"].astype(np.int64)
-    key = _keys(entries)
-    at = np.lexsort((heads["rid"][owner], sizes[owner], key))
+    owner = number[owner]
+    at = np.argsort(owner, kind="stable")
+    key, owner = _keys(entries[at]), owner[at]
+    at = np.argsort(key, kind="stable")
     key, owner = key[at], owner[at]
+    del at, entries
     held: list[tuple[np.ndarray, np.ndarray]] = []
     count = 0
 
@@ -194,13 +205,16 @@ def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, thet
         starts = np.concatenate([[0], np.nonzero(np.diff(codes))[0] + 1])
         return codes[starts], np.add.reduceat(counts, starts)
 
-    def pairs(codes: np.ndarray, counts: np.ndarray):
+    def pairs(codes: np.ndarray, counts: np.ndarray, last: bool):
         a, b = codes // len(heads), codes % len(heads)
         share = theta / (1 + theta)
         behind = np.maximum(sizes[a] - window_size(sizes[a], theta), sizes[b] - window_size(sizes[b], theta))
         need = np.maximum(np.ceil(share * (sizes[a] + sizes[b]) - behind - 1e-6), 1).astype(np.int32)
+        if last:
+            enough = counts * (2 * tasks) >= need
+            a, b, counts, need = a[enough], b[enough], counts[enough], need[enough]
         x, y = heads["rid"][a], heads["rid"][b]
-        return np.minimum(x, y), np.maximum(x, y), counts.astype(np.int32), need
+        return np.minimum(x, y), np.maximum(x, y), counts.astype(np.int32), need, np.full(len(x), int(last), np.int32)
 
     low = 0
     while low < len(key):
@@ -213,21 +227,20 @@ def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, thet
             live = live[live + step < len(k)]
             live = live[(k[live + step] == k[live]) & (sizes[o[live]] >= theta * sizes[o[live + step]] - 1e-6)]
             if len(live):
-                held.append((o[live] * len(heads) + o[live + step], np.ones(len(live), np.int64)))
+                held.append((o[live].astype(np.int64) * len(heads) + o[live + step], np.ones(len(live), np.int32)))
                 count += len(live)
             step += 1
             if count > HELD_PAIRS:
-                held = [merged()]
-                count = len(held[0][0])
-                if count > HELD_PAIRS // 2:
-                    yield pairs(*held[0])
-                    held, count = [], 0
+                held, count = [merged()], 0
+                if len(held[0][0]) > 2 * HELD_PAIRS:
+                    yield pairs(*held[0], False)
+                    held = []
         low = high
     if held:
-        yield pairs(*merged())
+        yield pairs(*merged(), True)
 
 
-def _regions(theta: float):
+def _regions(theta: float, tasks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, entries, owner, base = [], [], [], 0
         for batch in batches:
@@ -237,47 +250,50 @@ def _regions(theta: float):
                 heads.append(np.frombuffer(data, _HEAD, n, 4))
                 e = np.frombuffer(data, _ENTRY, -1, 4 + n * _HEAD.itemsize)
                 entries.append(e)
-                owner.append(e["ref"].astype(np.int64) + base)
+                owner.append(e["ref"].astype(np.int32) + np.int32(base))
                 base += n
         if not heads:
             return
         heads, entries, owner = _one_head_each(np.concatenate(heads), np.concatenate(owner), np.concatenate(entries))
-        for part in region_pairs(heads, entries, owner, theta):
+        del batch, blob, data, e
+        for part in region_pairs(heads, entries, owner, theta, tasks):
             for i in range(0, len(part[0]), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 200_000]) for v in part], ["a", "b", "met", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 200_000]) for v in part], ["a", "b", "met", "need", "last"])
 
     return run
 
 
 def _one_head_each(heads: np.ndarray, owner: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     _, first, back = np.unique(heads["rid"], return_index=True, return_inverse=True)
-    return heads[first], entries, back[owner]
+    return heads[first], entries, back.astype(np.int32)[owner]
 
 
-def _sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in c.slices(batches, "_text"):
-            wide = [g.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for g in gram_keys(batch.column("_text"), n)]
-            buckets = batch.column("buckets")
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(c.ints(buckets.offsets))))
-            for low in range(0, len(rows), 500):
-                some = rows.slice(low, 500)
-                yield pa.RecordBatch.from_arrays([buckets.flatten().slice(low, 500), batch.column("_rid").take(some), pa.array(wide, pa.binary()).take(some)], ["place", "_rid", "grams"])
-
-    return run
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text, compressed, for every bucket that needs it: smaller than its grams."""
+    for batch in c.slices(batches, "_text"):
+        packed = [_CODEC.compress(t.as_buffer(), asbytes=True) for t in batch.column("_text")]
+        sizes = pc.binary_length(batch.column("_text")).cast(pa.int64())
+        buckets = batch.column("buckets")
+        rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(c.ints(buckets.offsets))))
+        for low in range(0, len(rows), 1000):
+            some = rows.slice(low, 1000)
+            columns = [buckets.flatten().slice(low, 1000), batch.column("_rid").take(some), sizes.take(some), pa.array(packed, pa.binary()).take(some)]
+            yield pa.RecordBatch.from_arrays(columns, ["place", "_rid", "size", "packed"])
 
 
-def _unpacked(blob: pa.Scalar) -> np.ndarray:
-    narrow = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(narrow), 8), np.uint8)
-    out[:, :6] = narrow
-    return out.view("<u8").ravel()
+def _unpacked(sets: pa.Table, n: int) -> list[np.ndarray]:
+    grams = []
+    for low in range(0, sets.num_rows, 500):
+        part = sets.slice(low, 500)
+        texts = [_CODEC.decompress(b.as_buffer(), size, asbytes=True).decode() for b, size in zip(part.column("packed"), part.column("size").to_pylist())]
+        grams += gram_keys(pa.array(texts, pa.string()), n)
+    return grams
 
 
-def _verify(theta: float):
+def _verify(n: int, theta: float):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         place = {r: i for i, r in enumerate(sets.column("_rid").to_pylist())}
-        grams = [_unpacked(b) for b in sets.column("grams")]
+        grams = _unpacked(sets, n)
         a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
         score = np.zeros(len(a))
         by_a: dict[int, list[int]] = {}
@@ -302,8 +318,9 @@ def candidate_pairs(rows: DataFrame, n: int, theta: float, entries: int) -> Data
     levels_b = rows.sparkSession.sparkContext.broadcast(word_levels(rows))
     parts = c.tasks_for(entries, ENTRIES_PER_TASK)
     blobs = rows.mapInArrow(_windows(levels_b, n, theta, parts), "part int, blob binary")
-    found = blobs.repartitionById(parts, F.col("part")).select("blob").mapInArrow(_regions(theta), "a bigint, b bigint, met int, need int")
-    enough = found.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need")).where("met >= need")
+    found = blobs.repartitionById(parts, F.col("part")).select("blob").mapInArrow(_regions(theta, parts), "a bigint, b bigint, met int, need int, last int")
+    met = found.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need"), F.sum("last").alias("told"))
+    enough = met.where(F.col("met") + (parts - F.col("told")) * F.col("need") / (2.0 * parts) >= F.col("need") - 1e-6)  # a task that told nothing kept back less than its half share
     return c.stored(enough.select("a", "b"), "pairs")
 
 
@@ -341,8 +358,8 @@ def _joined(df: DataFrame, n: int, theta: float, id_col: str, text_col: str) ->
     both = pairs.join(label.withColumnRenamed("label", "label_a"), "a").join(label.select(F.col("a").alias("b"), F.col("label").alias("label_b")), "b")
     pairs = c.stored(both.select("a", "b", F.pmod(F.xxhash64(F.least("label_a", "label_b")), F.lit(tasks)).cast("int").alias("bucket")), "bucketed")
     needed = pairs.select("bucket", F.explode(F.array("a", "b")).alias("_rid")).groupBy("_rid").agg(F.collect_set("bucket").alias("buckets"))
-    sets = text_rows.join(c.small(c.stored(needed, "needed"), 64), "_rid").select("_rid", "_text", "buckets").mapInArrow(_sets(n), "place int, _rid bigint, grams binary")
-    found = pairs.groupBy("bucket").cogroup(sets.groupBy("place")).applyInArrow(_verify(theta), "a bigint, b bigint, jaccard double")
+    sets = text_rows.join(c.small(c.stored(needed, "needed"), 64), "_rid").select("_rid", "_text", "buckets").mapInArrow(_packed, "place int, _rid bigint, size bigint, packed binary")
+    found = pairs.groupBy("bucket").cogroup(sets.groupBy("place")).applyInArrow(_verify(n, theta), "a bigint, b bigint, jaccard double")
     found = found.unionByName(copies.withColumn("jaccard", F.lit(1.0)))
     return tagged, found, None if unique else rows.select("_rid", "_id")
 
@@ -367,4 +384,4 @@ def drop_near_copies(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str
         if not done.where("moved").limit(1).count():
             break
     gone = c.stored(labels.where("a <> label").select(F.col("a").alias("_rid")), "gone")
-    return tagged.join(c.small(gone, 16), "_rid", "left_anti").drop("_rid")
+    return c.restored(tagged.join(c.small(gone, 16), "_rid", "left_anti"), df)

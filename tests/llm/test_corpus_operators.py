@@ -291,6 +291,39 @@ def test_jaccard_join_is_exact(spark, n, theta):
     assert len(rows) == len(expected)
 
 
+@pytest.mark.parametrize("held", [20, 300, 10**6])
+def test_no_pair_is_lost_in_the_regions(monkeypatch, held):
+    """The counts of several tasks, in one part or in many, let every near pair through."""
+    from millrace.llm import common
+
+    monkeypatch.setattr(ngram_join, "HELD_PAIRS", held)
+    rng = np.random.default_rng(3)
+    tasks, theta, sets = 5, 0.65, []
+    for _ in range(25):
+        base = rng.integers(1, 10**6, rng.integers(3, 120)).astype(np.uint64)
+        for _ in range(rng.integers(1, 6)):
+            kept = base[rng.random(len(base)) > 0.12]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(1, 10**6, rng.integers(0, 8)).astype(np.uint64)])))
+    heads = np.zeros(len(sets), ngram_join._HEAD)
+    rows = []
+    for i, s in enumerate(sets):
+        heads[i] = 1000 + i, len(s)
+        rows += [(k, i) for k in s[: int(ngram_join.window_size(len(s), theta))].tolist()]
+    met, need, told = defaultdict(int), {}, defaultdict(int)
+    for task in range(tasks):
+        mine = [r for r in rows if int(common.mix(np.array([r[0]], np.uint64))[0]) % tasks == task]
+        e = np.zeros(len(mine), ngram_join._ENTRY)
+        e["low"] = [k for k, _ in mine]
+        for a, b, n, least, last in ngram_join.region_pairs(heads, e, np.array([i for _, i in mine]), theta, tasks):
+            for x in zip(a.tolist(), b.tolist(), n.tolist(), least.tolist(), last.tolist()):
+                met[x[:2]] += x[2]
+                need[x[:2]] = x[3]
+                told[x[:2]] += x[4]
+    found = {p for p in met if met[p] + (tasks - told[p]) * need[p] / (2 * tasks) >= need[p] - 1e-6}
+    near = {(1000 + i, 1000 + j) for i, j in combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= theta}
+    assert len(near) > 20 and near <= found
+
+
 def test_jaccard_join_cases(spark):
     assert ngram_join.jaccard_join(table(spark, [])).count() == 0
     rows = ngram_join.jaccard_join(table(spark, ["p q r", "p q r", "x"], ids=[5, 5, None])).collect()
