@@ -42,6 +42,7 @@ PLACE_BITS = 22
 #: Entries of the region table that one task takes; candidate pairs, and documents in such, that one verification task takes.
 ENTRIES_PER_TASK, PAIRS_PER_TASK, SETS_PER_TASK = 3_000_000, 200_000, 4_000
 _SHARDS, _HASH_BITS = 16, 41
+MARGIN = 0.06
 #: Meetings that a task holds before it counts them by pair; at twice as many pairs it passes them on.
 HELD_PAIRS = 2_000_000
 _CODEC = pa.Codec("zstd", 3)
@@ -132,8 +133,11 @@ _HEAD = np.dtype([("rid", "<i8"), ("size", "<u4")])
 
 
 def window_size(size, theta: float):
-    """How many regions a set of ``size`` grams reaches within distance 1 - theta."""
-    return np.floor((1 - theta) * size + 1e-9).astype(np.int64) + 1
+    """How many regions a set of ``size`` grams reaches within distance 1 - theta, and a margin of MARGIN * size more.
+
+    Thanks to the margin every near pair meets in at least MARGIN * size regions, so that a few chance meetings make no candidate.
+    """
+    return np.minimum(np.floor((1 - theta + MARGIN) * size + 1e-9).astype(np.int64) + 1, np.asarray(size, np.int64))
 
 
 def _keys(entries: np.ndarray) -> np.ndarray:
