@@ -97,14 +97,26 @@ class Model:
 
 def _add_rows(table: np.ndarray, rows: np.ndarray, change: np.ndarray, seen: np.ndarray) -> None:
     """AdaGrad on the rows: sum the changes of equal rows, then divide by the root of the squares so far."""
-    at = np.argsort(rows, kind="stable")
-    r = rows[at]
-    starts = np.concatenate([[0], np.nonzero(np.diff(r))[0] + 1])
-    r, total = r[starts], np.add.reduceat(change[at], starts, axis=0)
-    seen[r] += (total * total).mean(axis=1)
+    size, width = table.shape
+    if width == 1:
+        total = np.bincount(rows, weights=change, minlength=size)[:, None]
+    else:
+        total = np.bincount((rows[:, None] * width + np.arange(width)).ravel(), weights=change.ravel(), minlength=size * width).reshape(size, width)
+    r = np.nonzero(np.bincount(rows, minlength=size))[0]
+    total = total[r].astype(np.float32)
+    seen[r] += np.einsum("ij,ij->i", total, total) / width
     table[r] -= RATE * total / np.sqrt(seen[r] + 1e-6)[:, None]
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; overflow to infinity gives 0."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Trainer:
     """Noise-contrastive estimation in steps of ``STEP`` words."""
 
@@ -121,16 +133,20 @@ class Trainer:
         q = m.two[two] + m.one[one]
         t, v = m.target[word], m.target[noise]
         s = np.einsum("ij,ij->i", q, t) + m.bias[word] - self.log_noise[word]
-        sn = q @ v.T + (m.bias[noise] - self.log_noise[noise])
-        g = -1 / (1 + np.exp(np.clip(s, -30, 30)))
-        gn = 1 / (1 + np.exp(-np.clip(sn, -30, 30)))
-        dq = g[:, None] * t + gn @ v
+        sn = q @ v.T
+        sn += m.bias[noise] - self.log_noise[noise]
+        g = -_sigmoid(-s)
+        gn = _sigmoid(sn)
+        dq = gn @ v
+        t *= g[:, None]
+        dq += t
         dv = gn.T @ q
+        q *= g[:, None]
         rows = np.concatenate([word, noise])
         _add_rows(m.two, two, dq, self.seen[0])
         _add_rows(m.one, one, dq, self.seen[1])
-        _add_rows(m.target, rows, np.concatenate([g[:, None] * q, dv]), self.seen[2])
-        _add_rows(m.bias[:, None], rows, np.concatenate([g, gn.sum(0)])[:, None], self.seen[3])
+        _add_rows(m.target, rows, np.concatenate([q, dv]), self.seen[2])
+        _add_rows(m.bias[:, None], rows, np.concatenate([g, gn.sum(0)]), self.seen[3])
         self.words += len(word)
 
     def run(self, two: np.ndarray, one: np.ndarray, word: np.ndarray) -> None:
@@ -190,20 +206,31 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.m = model
         self.log_z = np.full(model.size * model.size, np.nan, np.float32)
-        self._targets = np.ascontiguousarray(model.target.T)
+        self._targets = np.ascontiguousarray(np.vstack([model.target.T, model.bias[None]]))
+        self._reach = float(np.sqrt((model.target**2).sum(1)).max()), float(np.abs(model.bias).max())
+
+    def _log_z(self, pairs: np.ndarray) -> np.ndarray:
+        """One row of scores over the vocabulary per context, the biases as a last column; blocks that fit the cache."""
+        m = self.m
+        out = np.empty(len(pairs), np.float32)
+        for i in range(0, len(pairs), 128):
+            some = pairs[i : i + 128]
+            q = np.ones((len(some), m.width + 1), np.float32)
+            q[:, :-1] = m.two[some // m.size] + m.one[some % m.size]
+            s = q @ self._targets
+            top = 0.0
+            if np.sqrt((q[:, :-1] ** 2).sum(1)).max() * self._reach[0] + self._reach[1] > 60:  # exp could overflow
+                top = s.max(1)
+                s -= top[:, None]
+            np.exp(s, out=s)
+            out[i : i + 128] = np.log(s.sum(1)) + top
+        return out
 
     def score(self, two: np.ndarray, one: np.ndarray, word: np.ndarray) -> np.ndarray:
         m = self.m
         pair = two * m.size + one
         new = np.unique(pair[np.isnan(self.log_z[pair])])
-        for i in range(0, len(new), 1024):
-            some = new[i : i + 1024]
-            s = (m.two[some // m.size] + m.one[some % m.size]) @ self._targets
-            s += m.bias
-            top = s.max(1)
-            s -= top[:, None]
-            np.exp(s, out=s)
-            self.log_z[some] = np.log(s.sum(1)) + top
+        self.log_z[new] = self._log_z(new)
         q = m.two[two] + m.one[one]
         return np.einsum("ij,ij->i", q, m.target[word]) + m.bias[word] - self.log_z[pair]
 
