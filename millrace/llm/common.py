@@ -7,6 +7,7 @@ Everything here is used by more than one operator of this subpackage.  Nothing o
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -109,6 +110,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         starts = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1, [n]])
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
             yield batch.slice(a, b - a)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def ints(array: pa.Array) -> np.ndarray:

@@ -43,8 +43,8 @@ PLACE_BITS = 22
 ENTRIES_PER_TASK, PAIRS_PER_TASK, SETS_PER_TASK = 3_000_000, 200_000, 4_000
 _SHARDS, _HASH_BITS = 16, 41
 MARGIN = 0.06
-#: Meetings that a task holds before it counts them by pair; at twice as many pairs it passes them on.
-HELD_PAIRS = 2_000_000
+#: Meetings that a task holds before it counts them by pair; at four times as many pairs it passes them on.
+HELD_PAIRS = 1_000_000
 _CODEC = pa.Codec("zstd", 3)
 
 
@@ -95,7 +95,7 @@ def _summaries(n: int):
 def _place_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of a task counted by place, in shards."""
     total = np.zeros(1 << PLACE_BITS, np.uint32)
-    for batch in c.slices(batches, "_text", 2 * c.SLICE_BYTES):
+    for batch in c.slices(batches, "_text"):
         codes, _, words = c.split_words(batch.column("_text"))
         np.add.at(total, _place(c.hash_words(words)), np.bincount(codes, minlength=len(words)).astype(np.uint32))
     for shard, part in enumerate(np.split(total, _SHARDS)):
@@ -148,7 +148,7 @@ def _windows(levels_b, n: int, theta: float, parts: int):
     """Replicate each set to the regions of its window; per slice and task of the next step one row of packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in c.slices(batches, "_text", 2 * c.SLICE_BYTES):
+        for batch in c.slices(batches, "_text"):
             rids = c.ints(batch.column("_rid"))
             for low in range(0, len(rids), 60_000):
                 part = batch.slice(low, 60_000)
@@ -236,7 +236,7 @@ def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, thet
             step += 1
             if count > HELD_PAIRS:
                 held, count = [merged()], 0
-                if len(held[0][0]) > 2 * HELD_PAIRS:
+                if len(held[0][0]) > 4 * HELD_PAIRS:
                     yield pairs(*held[0], False)
                     held = []
         low = high
@@ -260,9 +260,12 @@ def _regions(theta: float, tasks: int):
             return
         heads, entries, owner = _one_head_each(np.concatenate(heads), np.concatenate(owner), np.concatenate(entries))
         del batch, blob, data, e
+        part = ()
         for part in region_pairs(heads, entries, owner, theta, tasks):
             for i in range(0, len(part[0]), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 200_000]) for v in part], ["a", "b", "met", "need", "last"])
+        del heads, entries, owner, part
+        c.trim()
 
     return run
 
