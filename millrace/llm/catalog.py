@@ -42,6 +42,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_documents(spark, sf_dir), n=2, theta=0.65)
 
 
+def op6_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.all_pairs(_documents(spark, sf_dir), n=2, theta=0.65)
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.train_and_score(_documents(spark, sf_dir))
 
@@ -111,3 +115,25 @@ UNION ALL
 SELECT first AS doc_a, doc_id AS doc_b, 1.0::DOUBLE AS jaccard FROM firsts WHERE doc_id <> first
 """,
 }
+
+#: Beside the ten: op6 with every pair, where ``op6_ngram_jaccard_join`` and its SQL pair a copy with the least one only.
+FURTHER = {"op6_all_pairs": op6_all_pairs}
+
+FURTHER_ORACLES = {
+    "op6_all_pairs": rf"""
+WITH {WORDS_SQL},
+grams AS (
+  SELECT DISTINCT doc_id, gram FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS gram FROM words)
+),
+sets AS (SELECT doc_id, count(*) AS size FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+),
+scored AS (
+  SELECT doc_a, doc_b, common::DOUBLE / (x.size + y.size - common) AS jaccard
+  FROM shared JOIN sets x ON x.doc_id = doc_a JOIN sets y ON y.doc_id = doc_b
+)
+SELECT doc_a, doc_b, jaccard FROM scored WHERE jaccard >= 0.65 - 1e-12
+""",
+}

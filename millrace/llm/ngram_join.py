@@ -18,7 +18,7 @@ Documents as pivots were tried on paper first: unrelated documents are all at di
 each other and from every pivot, so such windows replicate every document to every region.
 
 Texts with equal gram sets are answered once: each is paired with the least id among them
-(jaccard 1.0), and only that one is compared with others.
+(jaccard 1.0), and only that one is compared with others.  ``all_pairs`` expands this to every pair.
 
 Defined cases: texts that are null or have no word have no grams and no partner; a text with
 fewer than n words has one gram, all of it; ids that repeat are told apart by row, and such rows
@@ -336,7 +336,30 @@ def jaccard_join(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "
 
     Returns ``(doc_a, doc_b, jaccard)``.  Copies with equal sets appear once each, beside the least of them.
     """
-    _, pairs, ids = _joined(df, n, theta, id_col, text_col)
+    _, near, copies, ids = _joined(df, n, theta, id_col, text_col)
+    return _named(near.unionByName(copies), ids)
+
+
+def all_pairs(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``jaccard_join``, with every pair of rows: copies pair with each other and with all that is near to their set.
+
+    The output grows with the square of the number of copies of a set.
+    """
+    _, near, copies, ids = _joined(df, n, theta, id_col, text_col)
+    near = c.stored(near, "near")
+    members = c.stored(copies.select("a", F.col("b").alias("row")).unionByName(copies.select("a", F.col("a").alias("row")).distinct()), "members")
+    members = c.small(members, 32)
+    pairs = near
+    for side in ("a", "b"):
+        rows = members.select(F.col("a").alias("least"), "row")
+        pairs = pairs.join(rows, pairs[side] == rows["least"], "left").withColumn(side, F.coalesce("row", side)).drop("least", "row")
+    within = members.withColumnRenamed("row", "x").join(members.withColumnRenamed("row", "y"), "a").where("x < y")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    return _named(pairs.unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("jaccard"))), ids)
+
+
+def _named(pairs: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """``pairs`` of row numbers under the ids of their rows."""
     if ids is not None:
         for side in ("a", "b"):
             pairs = pairs.join(ids.select(F.col("_rid").alias(side), F.col("_id").alias("doc_" + side)), side)
@@ -344,8 +367,8 @@ def jaccard_join(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
 
 
-def _joined(df: DataFrame, n: int, theta: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """``df`` with row numbers ``_rid``, pairs ``(a, b, jaccard)`` of them, and the table of ids where row numbers aren't the ids."""
+def _joined(df: DataFrame, n: int, theta: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """``df`` with row numbers ``_rid``, near pairs ``(a, b, jaccard)`` and copies of the least row, and the table of ids where row numbers aren't the ids."""
     if not 0 < theta <= 1 or n < 1:
         raise ValueError("theta must be in (0, 1] and n at least 1")
     tagged, rows, unique = c.with_row_ids(df, id_col, text_col)
@@ -367,8 +390,7 @@ def _joined(df: DataFrame, n: int, theta: float, id_col: str, text_col: str) ->
     needed = pairs.select("bucket", F.explode(F.array("a", "b")).alias("_rid")).groupBy("_rid").agg(F.collect_set("bucket").alias("buckets"))
     sets = text_rows.join(c.small(c.stored(needed, "needed"), 64), "_rid").select("_rid", "_text", "buckets").mapInArrow(_packed, "place int, _rid bigint, size bigint, packed binary")
     found = pairs.groupBy("bucket").cogroup(sets.groupBy("place")).applyInArrow(_verify(n, theta), "a bigint, b bigint, jaccard double")
-    found = found.unionByName(copies.withColumn("jaccard", F.lit(1.0)))
-    return tagged, found, None if unique else rows.select("_rid", "_id")
+    return tagged, found, copies.withColumn("jaccard", F.lit(1.0)), None if unique else rows.select("_rid", "_id")
 
 
 
@@ -378,8 +400,8 @@ def drop_near_copies(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str
     Components are found by hooking every row to its least neighbour's label until nothing changes; the number of
     rounds grows with the logarithm of a component's diameter, as labels are also followed to their own labels.
     """
-    tagged, pairs, _ = _joined(df, n, theta, id_col, text_col)
-    edges = c.stored(pairs.select("a", "b"), "edges")
+    tagged, near, copies, _ = _joined(df, n, theta, id_col, text_col)
+    edges = c.stored(near.unionByName(copies).select("a", "b"), "edges")
     edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = c.stored(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:

@@ -291,6 +291,19 @@ def test_jaccard_join_is_exact(spark, n, theta):
     assert len(rows) == len(expected)
 
 
+def test_all_pairs_has_every_pair(spark):
+    """Every row is a query: three copies make three pairs, and each copy has the near partners of its set."""
+    rng = random.Random(12)
+    base = prose(rng, 120)
+    values = [prose(rng, 50), near(rng, base, 0.03), base, base.upper(), base, near(rng, base, 0.03), None, "", "one", "One!", "one"]
+    sets = [gram_set(t, 2) for t in values]
+    expected = {(i, j): len(x & y) / len(x | y) for (i, x), (j, y) in combinations(enumerate(sets), 2) if x and y and len(x & y) / len(x | y) >= 0.65}
+    assert {(2, 3), (2, 4), (3, 4), (1, 3), (4, 5), (8, 9), (9, 10)} <= set(expected)
+    rows = ngram_join.all_pairs(table(spark, values, extra=True)).collect()
+    assert len(rows) == len(expected)
+    assert {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in rows} == expected
+
+
 @pytest.mark.parametrize("held", [20, 300, 10**6])
 def test_no_pair_is_lost_in_the_regions(monkeypatch, held):
     """The counts of several tasks, in one part or in many, let every near pair through."""
