@@ -1,22 +1,31 @@
 """LM scoring (operator 7) with a log-bilinear model trained by noise-contrastive estimation.
 
-The vocabulary is the commonest words of the corpus, counted over all documents; other words share
-one place.  A context of two words predicts the next: the sum of the two context vectors (one table
-per position) is multiplied with the target vectors, plus a bias.  Training goes once over every
-word of the corpus: each task starts from the same parameters, takes steps of noise-contrastive
-estimation in numpy (one set of noise words per step, so that a step is a few matrix products),
-and the tasks' parameters are averaged, weighted by their words.
-
-Scores are normalised: for each context that occurs, one row of a matrix product over the whole
-vocabulary gives its log partition function, which is remembered in a table of all pairs of words.
+The vocabulary is every word of the corpus, counted over all documents.  Words are predicted through
+classes: each of the commonest words is a class by itself, the others are put together by how often
+they occur, their length and their last letters, in about as many classes as the square root of
+their number.  A word's probability is that of its class after the two classes before it, times its
+share of the occurrences of its class.  The table of words leaves out those that occur once: a word
+that isn't in it has a count of 1 and finds its class by its letters.
+
+The context predicts the class: the sum of the two context vectors (one table per position) is
+multiplied with the target vectors, plus a bias.  As context, the classes of several words share their
+vectors in up to 32 groups, or else there would be too many contexts to normalise.  Training goes once over every word of the corpus:
+each task starts from the same parameters, takes steps of noise-contrastive estimation in numpy (one
+set of noise classes per step, so that a step is a few matrix products), and the tasks' parameters
+are averaged, weighted by their words.
+
+Scores are normalised: for each context that occurs, one row of a matrix product over all classes
+gives its log partition function.  A cache of fixed size remembers the latest of them.
 
 Defined cases: null texts have null scores; texts without words have no tokens, an empty list and a
 null mean; contexts begin with a word that is outside every text; repeated rows are scored alike;
-an empty corpus gives no rows.
+a word that the training corpus lacks is scored like one that occurs there once; an empty corpus
+gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +40,8 @@ VOCABULARY, WIDTH, NOISE, STEP = 4096, 16, 64, 4096
 RATE = 0.1
 _OTHER, _START = 0, 1
 _SHARDS = 16
+#: Levels of how often a word occurs, and bands of its length, that tell classes apart; log partition functions that a scorer remembers.
+_LEVELS, _BANDS, _REMEMBERED = 40, 4, 1 << 22
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,41 +52,100 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([words.cast(pa.string()).take(pa.array(some)), pa.array(counts[some].astype(np.int64))], ["word", "n"])
 
 
-class Vocabulary:
-    """Ids of words by hash: 0 is every other word, 1 stands before a text."""
+def _signature(words: pa.Array, counts: np.ndarray, spread: int) -> np.ndarray:
+    """Words of one signature share a class: the count's power of 2, the length in fours, and one of ``spread`` groups of endings."""
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    length = np.diff(ends)
+    last = data[ends[1:] - 1].astype(np.uint64) << np.uint64(8)
+    last |= np.where(length > 1, data[np.maximum(ends[1:] - 2, 0)], 0).astype(np.uint64)
+    level = np.minimum(np.log2(counts).astype(np.int64), _LEVELS - 1)
+    return (level * _BANDS + np.minimum((length - 1) // 4, _BANDS - 1)) * spread + (c.mix(last ^ c._BASE) % np.uint64(spread)).astype(np.int64)
+
+
+def _other_words(head_b, spread: int):
+    """Of the words that are not in the head: hash, signature and count, and how many of each signature occur once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = batch.column("word"), c.ints(batch.column("n"))
+            hashes = c.hash_words(words)
+            some = np.nonzero(~np.isin(hashes, head_b.value))[0]
+            if not len(some):
+                continue
+            hashes, n = hashes[some], n[some]
+            of = _signature(words.take(pa.array(some)), n, spread)
+            once = np.bincount(of[n == 1], minlength=_LEVELS * _BANDS * spread)[: _BANDS * spread]
+            more = n > 1
+            parts = hashes[more].astype("<u8"), of[more].astype("<i4"), n[more].astype("<i8"), once.astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["hashes", "of", "n", "once"])
+
+    return run
 
-    def __init__(self, words: list[str], counts: np.ndarray, other: int) -> None:
-        hashes = c.hash_words(pa.array(words, pa.string()))
+
+class Vocabulary:
+    """Classes of words by hash, and the words' shares of them: 0 is a word whose class the corpus lacks, 1 stands before a text.
+
+    ``context`` has the class whose context vectors a class uses.
+    """
+
+    def __init__(self, words: list[str], counts: np.ndarray, others: list, spread: int = 1) -> None:
+        read = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in others)])
+        hashes, of, n = read("hashes", "<u8"), read("of", "<i4"), read("n", "<i8")
+        total = np.bincount(of, weights=n, minlength=_LEVELS * _BANDS * spread)
+        for r in others:
+            total[: _BANDS * spread] += np.frombuffer(r["once"], "<i8")
+        used = np.nonzero(total)[0]
+        self.spread = spread
+        self.class_of = np.full(len(total), _OTHER, np.int64)
+        self.class_of[used] = np.arange(len(used)) + len(words) + 2
+        self.once = -np.log(np.maximum(total, 1)).astype(np.float32)
+        hashes = np.concatenate([c.hash_words(pa.array(words, pa.string())), hashes])
         at = np.argsort(hashes)
-        self.hashes, self.ids = hashes[at], (np.arange(len(words)) + 2)[at]
-        self.size = len(words) + 2
-        share = np.concatenate([[max(other, 1), 1], counts]).astype(np.float64)
+        self.hashes = hashes[at]
+        self.ids = np.concatenate([np.arange(len(words)) + 2, self.class_of[of]])[at].astype(np.int32)
+        self.within = np.concatenate([np.zeros(len(words)), np.log(n / total[of])])[at].astype(np.float32)
+        self.size = len(words) + len(used) + 2
+        group = (used // spread // _BANDS > 0) * 4 * _BANDS + used // spread % _BANDS * 4 + used % spread % 4
+        _, first, back = np.unique(group, return_index=True, return_inverse=True)
+        self.context = np.concatenate([np.arange(len(words) + 2), first[back] + len(words) + 2])
+        share = np.concatenate([[1, 1], counts, total[used]]).astype(np.float64)
         self.share = share / share.sum()
 
-    def lookup(self, words: pa.Array) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(words), np.int64)
-        h = c.hash_words(words)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.ids[at], _OTHER)
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each word, and the logarithm of its share of the class."""
+        of = _signature(words, np.ones(len(words)), self.spread)
+        ids, within = self.class_of[of], self.once[of]
+        if len(self.hashes):
+            h = c.hash_words(words)
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[at] == h
+            ids, within = np.where(known, self.ids[at], ids), np.where(known, self.within[at], within)
+        return ids, within
 
 
 def build_vocabulary(rows: DataFrame, size: int = VOCABULARY) -> Vocabulary:
+    """All words of ``rows``; the ``size - 2`` commonest are classes by themselves."""
     counts = c.stored(rows.select("_text").mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(size - 2).collect()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    n = np.array([r["n"] for r in top], np.int64)
-    return Vocabulary([r["word"] for r in top], n, int(total - n.sum()))
+    words = [r["word"] for r in top]
+    spread = max(1, math.ceil(math.sqrt(counts.count() - len(words)) / (8 * _BANDS)))
+    head_b = rows.sparkSession.sparkContext.broadcast(c.hash_words(pa.array(words, pa.string())))
+    others = counts.mapInArrow(_other_words(head_b, spread), "hashes binary, of binary, n binary, once binary").collect()
+    return Vocabulary(words, np.array([r["n"] for r in top], np.int64), others, spread)
 
 
-def contexts(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(two before, one before, word, offsets)`` of all words of all texts."""
+def contexts(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(two before, one before, class, log share of the class, offsets)`` of all words of all texts."""
     codes, offsets, words = c.split_words(texts)
-    w = vocabulary.lookup(words)[codes]
+    ids, within = vocabulary.find(words)
+    w = ids[codes]
+    before = vocabulary.context[w]
     place = np.arange(len(w)) - np.repeat(offsets[:-1], np.diff(offsets))
-    one = np.where(place >= 1, np.concatenate([[_START], w[:-1]])[: len(w)], _START)
-    two = np.where(place >= 2, np.concatenate([[_START, _START], w[:-2]])[: len(w)], _START)
-    return two, one, w, offsets
+    one = np.where(place >= 1, np.concatenate([[_START], before[:-1]])[: len(w)], _START)
+    two = np.where(place >= 2, np.concatenate([[_START, _START], before[:-2]])[: len(w)], _START)
+    return two, one, w, within[codes], offsets
 
 
 class Model:
@@ -161,7 +231,7 @@ def _train(shared_b):
         vocabulary, width, start = shared_b.value
         trainer = Trainer(Model(vocabulary.size, width, start.copy()), vocabulary.share)
         for batch in c.slices(batches, "_text", 2 * c.SLICE_BYTES):
-            two, one, word, _ = contexts(batch.column("_text"), vocabulary)
+            two, one, word, _, _ = contexts(batch.column("_text"), vocabulary)
             trainer.run(two, one, word)
         if trainer.words:
             parts = np.array_split(trainer.m.data, _SHARDS)
@@ -201,16 +271,16 @@ def train(rows: DataFrame, size: int = VOCABULARY, width: int = WIDTH) -> tuple[
 
 
 class Scorer:
-    """Normalised log-probabilities; remembers the log partition function of every context."""
+    """Normalised log-probabilities of classes; remembers the log partition functions of contexts, each at one place of a table."""
 
     def __init__(self, model: Model) -> None:
         self.m = model
-        self.log_z = np.full(model.size * model.size, np.nan, np.float32)
+        self.contexts, self.log_z = np.full(_REMEMBERED, -1, np.int64), np.zeros(_REMEMBERED, np.float32)
         self._targets = np.ascontiguousarray(np.vstack([model.target.T, model.bias[None]]))
         self._reach = float(np.sqrt((model.target**2).sum(1)).max()), float(np.abs(model.bias).max())
 
     def _log_z(self, pairs: np.ndarray) -> np.ndarray:
-        """One row of scores over the vocabulary per context, the biases as a last column; blocks that fit the cache."""
+        """One row of scores over the classes per context, the biases as a last column; blocks that fit the cache."""
         m = self.m
         out = np.empty(len(pairs), np.float32)
         for i in range(0, len(pairs), 128):
@@ -228,11 +298,16 @@ class Scorer:
 
     def score(self, two: np.ndarray, one: np.ndarray, word: np.ndarray) -> np.ndarray:
         m = self.m
-        pair = two * m.size + one
-        new = np.unique(pair[np.isnan(self.log_z[pair])])
-        self.log_z[new] = self._log_z(new)
+        pairs, back = np.unique(two.astype(np.int64) * m.size + one, return_inverse=True)
+        at = (c.mix(pairs.view(np.uint64)) % np.uint64(_REMEMBERED)).astype(np.int64)
+        log_z = self.log_z[at]
+        new = self.contexts[at] != pairs
+        log_z[new] = self._log_z(pairs[new])
+        self.contexts[at[new]] = pairs[new]
+        last = new & (self.contexts[at] == pairs)  # of contexts that fall on one place, one stays
+        self.log_z[at[last]] = log_z[last]
         q = m.two[two] + m.one[one]
-        return np.einsum("ij,ij->i", q, m.target[word]) + m.bias[word] - self.log_z[pair]
+        return np.einsum("ij,ij->i", q, m.target[word]) + m.bias[word] - log_z[back]
 
 
 _scorers: dict[int, Scorer] = {}
@@ -252,8 +327,8 @@ def _score(shared_b):
         vocabulary, width, data = shared_b.value
         scorer = _scorer(vocabulary.size, width, data)
         for batch in c.slices(batches, "_text", 2 * c.SLICE_BYTES):
-            two, one, word, offsets = contexts(batch.column("_text"), vocabulary)
-            logs = scorer.score(two, one, word).astype(np.float32)
+            two, one, word, within, offsets = contexts(batch.column("_text"), vocabulary)
+            logs = (scorer.score(two, one, word) + within).astype(np.float32)
             n = np.diff(offsets)
             sums = np.concatenate([[0], np.cumsum(logs, dtype=np.float64)])
             total = sums[offsets[1:]] - sums[offsets[:-1]]

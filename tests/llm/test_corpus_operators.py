@@ -389,6 +389,27 @@ def test_lm_is_normalised_and_learns(spark):
     assert lm_scoring.train_and_score(table(spark, [])).count() == 0
 
 
+def test_lm_tells_all_words_apart(spark):
+    """A corpus of many more words than are classes by themselves: every word has a probability of its own, and they sum to 1."""
+    rng = random.Random(9)
+    names = [w + x for w in WORDS for x in ("", "a", "bo", "cide", "duration", "elli", "f7", "gg", "hh", "ii", "jj", "kk")]
+    weights = [1 / (i + 1) for i in range(len(names))]
+    values = [" ".join(rng.choices(names, weights, k=60)) for _ in range(100)] + ["once" + str(i) for i in range(20)]
+    count = defaultdict(int)
+    for w in " ".join(values).split():
+        count[w] += 1
+    vocabulary, model = lm_scoring.train(table(spark, values).selectExpr("text as _text"), size=16, width=4)
+    assert len(count) > 10 * 16 and model.size < len(count)
+    every = sorted(count)
+    found = [r.log_prob for r in sorted(lm_scoring.score(table(spark, every), vocabulary, model).collect(), key=lambda r: r.doc_id)]
+    assert sum(np.exp(found)) == pytest.approx(1, abs=0.02)
+    p = dict(zip(every, np.exp(found)))
+    common = sorted(count, key=count.get)[-5:]
+    assert max(p[w] for w in count if count[w] == 1) < min(p[w] for w in common)
+    pairs = [(a, b) for a, b in combinations(every, 2) if vocabulary.find(pa.array([a]))[0] == vocabulary.find(pa.array([b]))[0]]
+    assert pairs and all(p[a] / p[b] == pytest.approx(count[a] / count[b], rel=1e-3) for a, b in pairs)
+
+
 # 8 repeated passages
 
 
