@@ -103,6 +103,20 @@ _DIGIT_LETTER, _SMALL_CAPITAL = re.compile("[0-9][A-Za-z]"), re.compile("[a-z][A
 _RUN_CODES = sorted({ord(ch) for ch in _ALPHABETS["wide"].lower()})
 
 
+def _log_tail(n: int, k: int, chance: float) -> float:
+    """Logarithm of the chance of at least ``k`` successes in ``n``, for any ``n``: terms are relative to the first one."""
+    if k <= n * chance:
+        return 0.0 if k <= 0 else math.log1p(-min(math.exp(_log_tail(n, n - k + 1, 1 - chance)), 1 - 1e-16))
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(chance) + (n - k) * math.log1p(-chance)
+    total = term = 1.0
+    for i in range(k, n):
+        term *= (n - i) / (i + 1) * chance / (1 - chance)
+        total += term
+        if term < 1e-17 * total:
+            break
+    return min(0.0, first + math.log(total))
+
+
 class OrdinaryText:
     """How likely strings that follow the corpus's letter pairs look random.
 
@@ -137,8 +151,7 @@ class OrdinaryText:
         p = 1.0
         for kind, n, k in (("digit", sum(map(str.isdigit, s)), len(_DIGIT_LETTER.findall(s))), ("case", sum(map(str.islower, s)), len(_SMALL_CAPITAL.findall(s)))):
             if k:
-                chance = self._switch(kind)
-                p = min(p, sum(math.comb(n, i) * chance**i * (1 - chance) ** (n - i) for i in range(k, n + 1)) if n < 500 else 1.0)
+                p = min(p, math.exp(max(_log_tail(n, k, self._switch(kind)), -690.0)))
         return min(1.0, 2 * p)
 
     @lru_cache(maxsize=None)

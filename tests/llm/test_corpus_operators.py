@@ -263,6 +263,24 @@ def test_battery_is_uniform_on_random_symbols():
     assert abs((p[:, 2] < 0.1).mean() - 0.1) < 0.03
 
 
+def test_class_runs_count_at_every_length(spark):
+    import math
+
+    for n, k, chance in [(40, 9, 0.05), (300, 2, 0.01), (499, 30, 0.02), (100, 90, 0.3)]:
+        exact = sum(math.comb(n, i) * chance**i * (1 - chance) ** (n - i) for i in range(k, n + 1))
+        assert math.exp(secrets._log_tail(n, k, chance)) == pytest.approx(exact, rel=1e-9)
+    rng = random.Random(14)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    values = [prose(rng, 50) + " " + "".join(rng.choice(WORDS) for _ in range(rng.randrange(80, 1000))) for _ in range(300)]
+    pairs = np.zeros((128, 128), np.int64)
+    for t in values:
+        np.add.at(pairs, (np.frombuffer(t[:-1].encode(), np.uint8), np.frombuffer(t[1:].encode(), np.uint8)), 1)
+    secret = "".join(rng.choice(letters) for _ in range(5000))
+    assert secrets.OrdinaryText(pairs).class_runs(secret) < 1e-30
+    assert secrets.OrdinaryText(pairs).class_runs(values[0]) == 1.0
+    assert {r.doc_id for r in secrets.scan(table(spark, [*values, "key " + secret])).collect()} == {300}
+
+
 # 6 n-gram join
 
 
