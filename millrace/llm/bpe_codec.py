@@ -7,7 +7,9 @@ and two tokens are compatible if byte-pair merging of their concatenation gives
 which is decided by unwinding their merges.  Following the last tokens back from the end gives the
 ids, the same as by merging.
 
-Encoded pieces are remembered (a bounded memory per worker), as words repeat.
+Encoded pieces are remembered as packed ids (a bounded memory per worker), as words repeat, and each
+distinct piece is checked to decode to itself; a text's round trip then holds if its pieces make up the text.
+A piece that is itself a token made by merges skips the dynamic programming, whose result is that token.
 
 Defined cases: null texts give null ids; empty texts give an empty list; texts of any length are
 encoded whole, in memory that follows one batch of texts; repeated rows are encoded alike.
@@ -15,6 +17,7 @@ encoded whole, in memory that follows one batch of texts; repeated rows are enco
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -98,7 +101,7 @@ class Codec:
         self.automaton = SuffixAutomaton(ranks)
         self.parts = {rank: self._last_merge(token, rank) for token, rank in ranks.items()}
         self._compatible: dict[int, bool] = {}
-        self._memory: dict[str, tuple[int, ...]] = {}
+        self._hops: dict[int, tuple[int, int]] = {}  # at most one for every state and byte
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int]:
         """The two tokens that merge into this one; itself twice for a single byte or one that no merge makes."""
@@ -149,29 +152,43 @@ class Codec:
                 else:
                     b = left
 
+    def _hop(self, state: int, byte: int) -> tuple[int, int]:
+        """Where ``byte`` leads by the suffix links of a state that lacks it, and how much matches there."""
+        step, link, length = self.automaton.step, self.automaton.link, self.automaton.length
+        start = state << 8 | byte
+        while state:
+            state = link[state]
+            to = step.get(state << 8 | byte)
+            if to is not None:
+                hop = self._hops[start] = to, length[state] + 1
+                return hop
+        raise ValueError(f"byte {byte} is in no token")
+
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
-        step, link, length, tokens = self.automaton.step, self.automaton.link, self.automaton.length, self.automaton.tokens
-        compatible = self.compatible
+        step, hops, tokens = self.automaton.step.get, self._hops.get, self.automaton.tokens
+        known, compatible = self._compatible.get, self.compatible
         last: list[int] = []
         sizes: list[int] = []
         state = matched = 0
         for i, byte in enumerate(data):
-            while True:
-                to = step.get(state << 8 | byte)
-                if to is not None:
-                    state, matched = to, matched + 1
-                    break
-                if not state:
-                    raise ValueError(f"byte {byte} is in no token")
-                state = link[state]
-                matched = length[state]
+            key = state << 8 | byte
+            to = step(key)
+            if to is not None:
+                state, matched = to, matched + 1
+            else:
+                state, matched = hops(key) or self._hop(state, byte)
             for size, token in tokens[state]:
-                if size <= matched and (size > i or compatible(last[i - size], token)):
-                    last.append(token)
-                    sizes.append(size)
-                    break
+                if size <= matched:
+                    if size > i:
+                        break
+                    before = last[i - size]
+                    fits = known(before << 32 | token)
+                    if fits or fits is None and compatible(before, token):
+                        break
             else:
                 raise ValueError("no token ends here: the vocabulary lacks a byte")
+            last.append(token)
+            sizes.append(size)
         out, at = [], len(data) - 1
         while at >= 0:
             out.append(last[at])
@@ -179,14 +196,9 @@ class Codec:
         return tuple(reversed(out))
 
     def piece(self, text: str) -> tuple[int, ...]:
-        known = self._memory.get(text)
-        if known is None:
-            if len(self._memory) >= REMEMBERED:
-                self._memory.clear()
-            data = text.encode()
-            whole = self.ranks.get(data)
-            known = self._memory[text] = (whole,) if whole is not None and self.parts[whole][0] != whole else self.encode_bytes(data)
-        return known
+        data = text.encode()
+        whole = self.ranks.get(data)
+        return (whole,) if whole is not None and self.parts[whole][0] != whole else self.encode_bytes(data)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.piece, pieces(text))))
@@ -195,35 +207,61 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[int, Codec] = {}
+class Packed(dict):
+    """Ids of pieces as packed 32-bit integers; when full, what was not used since the last time is forgotten.
+
+    ``wrong`` has pieces that do not decode to themselves.
+    """
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.older = codec, {}
+        self.wrong: set[str] = set()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = self.codec.piece(piece)
+            if self.codec.decode(ids) != piece.encode():
+                self.wrong.add(piece)
+            packed = array("i", ids).tobytes()
+        self[piece] = packed
+        return packed
+
+
+_packed: dict[int, Packed] = {}
 
 
-def _codec(ranks_b) -> Codec:
-    """The worker's codec for a broadcast vocabulary, built once."""
+def _packed_of(ranks_b) -> Packed:
+    """The worker's memory and codec for a broadcast vocabulary, built once."""
     key = hash(frozenset(ranks_b.value.items()))
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks_b.value)
-    return _codecs[key]
+    if key not in _packed:
+        _packed.clear()
+        _packed[key] = Packed(Codec(ranks_b.value))
+    return _packed[key]
 
 
 def _encode(ranks_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks_b)
+        packed = _packed_of(ranks_b)
+        of, wrong = packed.__getitem__, packed.wrong
         for batch in c.slices(batches, "_text"):
-            ids: list[int] = []
-            ends, same = [0], []
+            parts, sizes, same = [], [0], []
             for text in batch.column("_text").to_pylist():
                 if text is None:
-                    ends.append(len(ids))
+                    sizes.append(0)
                     same.append(None)
                     continue
-                mine = codec.encode(text)
-                same.append(codec.decode(mine) == text.encode())
-                ids += mine
-                ends.append(len(ids))
-            valid = batch.column("_text").is_valid()
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)), mask=pc.invert(valid) if batch.column("_text").null_count else None)
+                mine = pieces(text)
+                ids = b"".join(map(of, mine))
+                parts.append(ids)
+                sizes.append(len(ids) // 4)
+                same.append("".join(mine) == text and (not wrong or wrong.isdisjoint(mine)))
+            flat = np.frombuffer(b"".join(parts), np.int32)
+            missing = pc.invert(batch.column("_text").is_valid()) if batch.column("_text").null_count else None
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(flat), mask=missing)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(same, pa.bool_())], ["doc_id", "token_ids", "round_trip"])
 
     return run

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import base64
 import re
-import sys
 import unicodedata
-from functools import lru_cache
 
 import regex
 
 #: The public splitting pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_FAST = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -22,36 +20,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-@lru_cache(maxsize=1)
-def _patterns() -> tuple[re.Pattern, regex.Pattern]:
-    """The characters on which ``re`` and ``regex`` classify differently, and the exact pattern."""
-    odd = []
-    space, letter, number = regex.compile(r"\s"), regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
-    for i in range(sys.maxunicode + 1):
-        ch = chr(i)
-        category = unicodedata.category(ch)
-        exact = "s" if space.match(ch) else "l" if letter.match(ch) else "n" if number.match(ch) else "o"
-        fast = "s" if ch.isspace() else "n" if category == "Nd" else "l" if ch.isalnum() else "o"
-        if exact != fast:
-            odd.append(i)
-    spans, start = [], None
-    for i, code in enumerate(odd):
-        if start is None:
-            start = code
-        if i + 1 == len(odd) or odd[i + 1] != code + 1:
-            spans.append(f"{re.escape(chr(start))}-{re.escape(chr(code))}")
-            start = None
-    return re.compile(f"[{''.join(spans)}]"), regex.compile(PATTERN)
+_EXACT, _SPACE, _LETTER, _NUMBER = (regex.compile(p) for p in (PATTERN, r"\s", r"\p{L}", r"\p{N}"))
 
 
+class _Odd(dict):
+    """Whether ``re`` and ``regex`` classify a character differently, looked up when it first occurs."""
+
+    def __missing__(self, ch: str) -> bool:
+        exact = "s" if _SPACE.match(ch) else "l" if _LETTER.match(ch) else "n" if _NUMBER.match(ch) else "o"
+        fast = "s" if ch.isspace() else "n" if unicodedata.category(ch) == "Nd" else "l" if ch.isalnum() else "o"
+        odd = self[ch] = exact != fast
+        return odd
+
+
+_odd = _Odd()
 _ODD_ASCII = re.compile("[\x1c-\x1f]")
 
 
 def pieces(text: str) -> list[str]:
     """The pieces of ``text``; their concatenation is the text."""
-    if text.isascii():
-        if not _ODD_ASCII.search(text):
-            return _FAST.findall(text)
-        return _patterns()[1].findall(text)
-    odd, exact = _patterns()
-    return exact.findall(text) if odd.search(text) else _FAST.findall(text)
+    odd = _ODD_ASCII.search(text) if text.isascii() else any(map(_odd.__getitem__, set(text)))
+    return _EXACT.findall(text) if odd else _FAST.findall(text)
