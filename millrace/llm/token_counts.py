@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from millrace.llm import common as c
 from millrace.llm.pretokens import DEFAULT_VOCABULARY, pieces, read_ranks
 
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def merged_length(data: bytes, ranks: dict[bytes, int]) -> int:
@@ -63,21 +63,37 @@ def merged_length(data: bytes, ranks: dict[bytes, int]) -> int:
 
 
 class Memory(dict):
-    """Counts of pieces; forgets all when full."""
+    """Counts of pieces; when full, what was not used since the last time is forgotten."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        n = self[piece] = merged_length(piece.encode(), self.ranks)
+        n = self.older.get(piece)
+        if n is None:
+            n = merged_length(piece.encode(), self.ranks)
+        self[piece] = n
         return n
 
 
+_memories: dict[int, Memory] = {}
+
+
+def _memory(ranks_b) -> Memory:
+    """The worker's memory for a broadcast vocabulary, kept from task to task."""
+    key = hash(frozenset(ranks_b.value.items()))
+    if key not in _memories:
+        _memories.clear()
+        _memories[key] = Memory(ranks_b.value)
+    return _memories[key]
+
+
 def _count(ranks_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Memory(ranks_b.value).__getitem__
+        of = _memory(ranks_b).__getitem__
         for batch in c.slices(batches, "_text"):
             counts = [None if t is None else sum(map(of, pieces(t))) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
