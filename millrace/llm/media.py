@@ -15,7 +15,9 @@ what a lost executor left behind is not read.
 Defined cases: a null payload has no member and gives no row; an empty payload is a member of 0
 bytes; payloads of any length below the limit of a Spark value (2 GB) are read whole; members with
 equal names, or archives with equal contents, are all read; a directory without archives is an
-empty table.
+empty table; a member that ends in ``/`` and has no bytes is a folder and gives no row; ids are
+percent-encoded in member names (up to 65,535 bytes), so that none looks like a folder or is cut; an
+archive whose directory can't be read is tried again as members are, and then is one row with an error.
 """
 
 from __future__ import annotations
@@ -38,7 +40,6 @@ from millrace.llm import common as c
 
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, BLOCK_BYTES = 64 << 20, 16 << 20, 4 << 20, 1 << 20
 RETRIES = 3
-_NO_NAME = "~null"
 SCHEMA = "archive string, member string, header_offset bigint, n_bytes bigint, media_type string, attempts int, error string, payload binary"
 _NAMES = ["archive", "member", "header_offset", "n_bytes", "media_type", "attempts", "error", "payload"]
 _KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary()]
@@ -88,7 +89,7 @@ def read_member(file, member: Member) -> bytes:
     if len(data) != member.packed:
         raise ValueError("the archive ends amid the member")
     if member.method == zipfile.ZIP_DEFLATED:
-        data = zlib.decompress(data, -15)
+        data = zlib.decompressobj(-15).decompress(data, member.size + 1)  # no more than the directory promises
     elif member.method != zipfile.ZIP_STORED:
         raise ValueError(f"compression method {member.method}")
     if len(data) != member.size or zlib.crc32(data) != member.crc:
@@ -128,13 +129,17 @@ class ArchiveReader(DataSourceReader):
         def opened():
             return io.BufferedReader(_Seekable(system.open_input_file(path)), BLOCK_BYTES)
 
-        file = opened()
-        try:
-            with zipfile.ZipFile(file) as directory:
-                members = [Member(i) for i in directory.infolist() if partition.start <= i.header_offset < partition.end and not i.is_dir()]
-        except zipfile.BadZipFile as broken:
+        for attempt in range(1, max(1, self.retries) + 1):
+            try:
+                with zipfile.ZipFile(opened()) as directory:
+                    members = [Member(i) for i in directory.infolist() if partition.start <= i.header_offset < partition.end and not (i.is_dir() and not i.file_size)]
+                break
+            except (OSError, ValueError, zipfile.BadZipFile) as failure:
+                broken = f"archive: {type(failure).__name__}: {failure}"
+                time.sleep(0.01 * 2**attempt)
+        else:
             if partition.start == 0:
-                yield self._batch([(partition.path, None, None, None, None, 1, f"archive: {broken}", None)])
+                yield self._batch([(partition.path, None, None, None, None, attempt, broken, None)])
             return
         file = opened()
         rows, held = [], 0
@@ -279,10 +284,11 @@ def text_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``(doc_id, media_type, n_bytes, attempts, error, sha256, text)``, one row per text that is not null.
     """
     kind = df.schema[id_col].dataType
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(_NO_NAME))
+    name = F.coalesce(F.concat(F.lit("i"), F.url_encode(F.col(id_col).cast("string"))), F.lit("n"))  # n is a null id
     directory, manifest = write_archives(df.select(name.alias("member"), F.col(text_col).cast("string").cast("binary").alias("payload")), "member", "payload")
     members = read_archives(df.sparkSession, directory, manifest=manifest)
+    named = F.when(F.col("member") != "n", F.url_decode(F.substring("member", F.lit(2), F.length("member"))))
     return members.select(
-        F.when(F.col("member") != _NO_NAME, F.col("member")).cast(kind).alias("doc_id"), "media_type", "n_bytes", "attempts", "error",
+        named.cast(kind).alias("doc_id"), "media_type", "n_bytes", "attempts", "error",
         F.sha2("payload", 256).alias("sha256"), F.decode("payload", "UTF-8").alias("text"),
     )
