@@ -9,8 +9,8 @@ which ranks of a length go to which bins, and the pieces take their slots by a j
 Ranks within a length are computed per (length, bucket of rows) and shifted by the buckets before,
 so that a common length is not ranked in one task.
 
-Defined cases: null texts and texts without words have length 0, occupy nothing and come out with a
-null ``bin_id``; equal lengths are ranked by id, then piece; rows that repeat an id are pieces of
+Defined cases: null texts and texts without words have length 0, as have rows whose given length is null
+or negative; they occupy nothing and come out with a null ``bin_id``; equal lengths are ranked by id, then piece; rows that repeat an id are pieces of
 their own; other columns are not looked at.
 """
 
@@ -92,7 +92,7 @@ def best_fit_pack(df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", t
     Returns ``(doc_id, piece, piece_start, piece_length, bin_id, bin_offset)``, one row per piece.
     """
     spark = df.sparkSession
-    n = F.coalesce((word_length(F.col(text_col)) if length is None else length).cast("bigint"), F.lit(0))
+    n = F.greatest(F.coalesce((word_length(F.col(text_col)) if length is None else length).cast("bigint"), F.lit(0)), F.lit(0))
     lengths = df.select(F.col(id_col).alias("doc_id"), n.alias("n"))
     pieces = c.stored(
         lengths.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int")))).alias("_", "piece"))
