@@ -77,15 +77,22 @@ def tasks_for(rows: int, per_task: int = ROWS_PER_TASK, least: int = 12) -> int:
 def with_row_ids(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, bool]:
     """``(all columns + _rid, rows (_rid, _id, _text), whether _rid is the id)``; ``_rid`` tells every row from every other.
 
-    Usually ``_rid`` is the id itself.  Only where ids repeat or are null, the table is written
-    once with fresh row numbers, which then hold however often it is read again.  All columns are
+    Usually ``_rid`` is the id itself.  Only where ids repeat, are null or are no integers, the table is
+    written once with fresh row numbers, which then hold however often it is read again.  They follow the
+    order of the ids (null last), and of the texts' hashes and the texts where ids are equal, however the
+    table is partitioned; ranges over id and hash split an id that many rows share.  All columns are
     named by their place (``c0``, ``c1`` ...), so that no name can clash; ``restored`` names them as they were.
     """
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     row_id, text = place(df, id_col), place(df, text_col)
     ids = plain.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(row_id)).alias("d")).first()
     unique = ids["n"] == ids["d"] and dict(plain.dtypes)[row_id] in ("tinyint", "smallint", "int", "bigint")
-    tagged = plain.withColumn("_rid", F.col(row_id).cast("bigint")) if unique else stored(plain.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    if unique:
+        tagged = plain.withColumn("_rid", F.col(row_id).cast("bigint"))
+    else:
+        order = [F.col(row_id).asc_nulls_last(), F.xxhash64(F.col(text)).asc()]
+        ranged = plain.repartitionByRange(tasks_for(ids["n"]), *order).sortWithinPartitions(*order, F.col(text).asc_nulls_last())
+        tagged = stored(ranged.withColumn("_rid", F.monotonically_increasing_id()), "rows")
     return tagged, tagged.select("_rid", F.col(row_id).alias("_id"), F.col(text).cast("string").alias("_text")), unique
 
 

@@ -67,6 +67,30 @@ def test_media_repeated_and_null_ids_and_empty_table(spark):
     assert media.text_payloads(table(spark, [])).count() == 0
 
 
+def test_media_ids_that_look_like_names(spark):
+    """Ids that end in a slash, hold NUL or look like the name of a null id come back as they were."""
+    ids = ["a/", "b", "~null", "n", "", "x\0y", "50% é+", None]
+    df = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id string, text string")
+    assert {(r.doc_id, r.text) for r in media.text_payloads(df).collect()} == {(i, f"text of {i}") for i in ids}
+
+
+def test_media_directory_is_tried_again(tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x", b"payload")
+    calls, real = [], media._Seekable.seek
+
+    def failing(self, *args):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("lost")
+        return real(self, *args)
+
+    monkeypatch.setattr(media._Seekable, "seek", failing)
+    reader = media.ArchiveReader({"path": str(tmp_path)})
+    (batch,) = reader.read(reader.partitions()[0])
+    assert batch.column("payload").to_pylist() == [b"payload"]
+
+
 def test_media_ranges_and_damage(spark, tmp_path):
     payloads = {f"m{i}": bytes([i]) * (5000 + i) for i in range(40)} | {"pic": b"\x89PNG\r\n\x1a\n123", "empty": b""}
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
@@ -168,6 +192,13 @@ def test_packing_takes_every_word_once(spark):
     assert packing.best_fit_pack(table(spark, [])).count() == 0
 
 
+def test_packing_given_lengths(spark):
+    """Null and negative lengths occupy nothing and keep their row."""
+    df = spark.createDataFrame([(1, 5), (2, -3), (3, None), (4, 0)], "doc_id bigint, n int")
+    rows = {r.doc_id: (r.piece_length, r.bin_id) for r in packing.best_fit_pack(df, 8, length=df.n, text_col="n").collect()}
+    assert rows == {1: (5, 0), 2: (0, None), 3: (0, None), 4: (0, None)}
+
+
 # 3, 4 tokens
 
 VOCABULARY = pretokens.DEFAULT_VOCABULARY
@@ -501,7 +532,12 @@ def test_columns_with_inner_names_survive(spark):
 
 def test_ids_that_are_text(spark):
     df = table(spark, ["p q r", "p q r"]).selectExpr("concat('id', doc_id) as doc_id", "text")
-    assert [tuple(r) for r in exact_dedup.exact_copies(df).collect()] in ([("id1", "id0")], [("id0", "id1")])
+    assert [tuple(r) for r in exact_dedup.exact_copies(df).collect()] == [("id1", "id0")]
+    long = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([("z", long), ("a", long), ("m", "x " + long), (None, long)], "doc_id string, text string")
+    for parts in (1, 3):
+        assert set(map(tuple, exact_dedup.exact_copies(df.repartition(parts)).collect())) == {(None, "a"), ("z", "a")}
+        assert {r.source_id for r in suffix_dedup.repeated_passages(df.repartition(parts)).collect()} == {"a"}
     assert [(r.doc_a, r.doc_b) for r in ngram_join.jaccard_join(df).collect()] == [("id0", "id1")]
 
 
