@@ -39,11 +39,7 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_join(_documents(spark, sf_dir), n=2, theta=0.65)
-
-
-def op6_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.all_pairs(_documents(spark, sf_dir), n=2, theta=0.65)
+    return ngram_join.near_classes(_documents(spark, sf_dir), n=2, theta=0.65)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,42 +94,25 @@ FROM passages GROUP BY doc_id, passage, source, shift
 SELECT doc_id, kept_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_id FROM documents WHERE text IS NOT NULL) WHERE doc_id <> kept_id
 """,
     "op6_ngram_jaccard_join": rf"""
-WITH {WORDS_SQL},
-grams AS (
-  SELECT DISTINCT doc_id, gram FROM (
-    SELECT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS gram FROM words)
-),
-sets AS (SELECT doc_id, count(*) AS size, string_agg(gram, '|' ORDER BY gram) AS content FROM grams GROUP BY doc_id),
-firsts AS (SELECT doc_id, size, min(doc_id) OVER (PARTITION BY content) AS first FROM sets),
-chosen AS (SELECT f.doc_id, f.size, g.gram FROM firsts f JOIN grams g ON g.doc_id = f.doc_id WHERE f.doc_id = f.first),
-shared AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.size AS size_a, b.size AS size_b, count(*) AS common
-  FROM chosen a JOIN chosen b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
-)
-SELECT doc_a, doc_b, common::DOUBLE / (size_a + size_b - common) AS jaccard FROM shared WHERE common::DOUBLE / (size_a + size_b - common) >= 0.65 - 1e-12
-UNION ALL
-SELECT first AS doc_a, doc_id AS doc_b, 1.0::DOUBLE AS jaccard FROM firsts WHERE doc_id <> first
-""",
-}
-
-#: Beside the ten: op6 with every pair, where ``op6_ngram_jaccard_join`` and its SQL pair a copy with the least one only.
-FURTHER = {"op6_all_pairs": op6_all_pairs}
-
-FURTHER_ORACLES = {
-    "op6_all_pairs": rf"""
-WITH {WORDS_SQL},
+WITH RECURSIVE {WORDS_SQL},
 grams AS (
   SELECT DISTINCT doc_id, gram FROM (
     SELECT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS gram FROM words)
 ),
 sets AS (SELECT doc_id, count(*) AS size FROM grams GROUP BY doc_id),
 shared AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+near AS MATERIALIZED (
+  SELECT doc_a, doc_b FROM shared JOIN sets x ON x.doc_id = doc_a JOIN sets y ON y.doc_id = doc_b
+  WHERE common::DOUBLE / (x.size + y.size - common) >= 0.65 - 1e-12
+),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, n.doc_b AS other FROM reached r JOIN near n ON n.doc_a = r.other
 ),
-scored AS (
-  SELECT doc_a, doc_b, common::DOUBLE / (x.size + y.size - common) AS jaccard
-  FROM shared JOIN sets x ON x.doc_id = doc_a JOIN sets y ON y.doc_id = doc_b
-)
-SELECT doc_a, doc_b, jaccard FROM scored WHERE jaccard >= 0.65 - 1e-12
+classes AS (SELECT doc_id, min(other) AS class_id FROM reached GROUP BY doc_id),
+links AS (SELECT doc_a, count(*) AS n FROM near GROUP BY doc_a)
+SELECT c.doc_id, c.class_id, coalesce(n, 0)::BIGINT AS n_links FROM classes c LEFT JOIN links ON doc_a = c.doc_id
 """,
 }

@@ -1,37 +1,48 @@
 """N-gram Jaccard join (operator 6): an exact metric-space self-join of documents.
 
-The space is that of word n-gram sets under the Jaccard distance d = 1 - J, which is a metric.
-
-* Pivots are the singleton sets {g}.  A global order of the grams, by the corpus count of their
-  rarest word and then by hash, breaks the ties between pivots, so the Voronoi region of g holds the sets whose first gram is g.
-* By the triangle inequality a set A can have a partner within r = 1 - theta only in regions
-  that A reaches by giving up its first i grams, which moves it by d = i / |A|: while that is at
-  most r, A is replicated to the region of its (i + 1)-th gram.  Two sets within r share a gram in
-  both windows, hence a region.
-* Inside a region the search recurses on set size (d >= 1 - |A| / |B|).  A pair is then followed
-  through all regions it shares: up to the nearer end of the two windows both sets are known, so
-  that overlap <= regions met in + the larger rest behind its window, and a pair that meets in fewer
-  regions than this needs is out of reach.  Tasks keep back pairs that met in few of their own
-  regions, which is allowed for; the pairs left are compared gram by gram.
-
-Documents as pivots were tried on paper first: unrelated documents are all at distance 1 from
-each other and from every pivot, so such windows replicate every document to every region.
-
-Texts with equal gram sets are answered once: each is paired with the least id among them
-(jaccard 1.0), and only that one is compared with others.  ``all_pairs`` expands this to every pair.
-
-Defined cases: texts that are null or have no word have no grams and no partner; a text with
-fewer than n words has one gram, all of it; ids that repeat are told apart by row, and such rows
-are reported under their ids; other columns are not looked at.
+The space is that of word n-gram sets under the Jaccard distance d = 1 - J, which is a metric; r = 1 - theta.
+Documents with equal sets are one point.  The join works on two levels of pivots.
+
+Document pivots split the points into Voronoi cells.  Points that share two of three min-hashes meet, the
+commonest of them is a pivot, each point goes to its nearest pivot within r, and each cell is centred once
+more on the member nearest to its pivot, which of a family of near copies is closest to their common origin.
+Distances to the centre are exact.  By the triangle inequality two points of a cell with d(x, p) + d(y, p) <= r
+are near: they are counted from the distances alone, and no pair of them is ever made.
+
+All other pairs, between cells and beyond that window, are found in regions of finer pivots, the single grams:
+
+* A global order of the grams, by the corpus count of their rarest word and then by hash, breaks the ties
+  between the pivots {g}, so the Voronoi region of g holds the sets whose first gram is g.
+* By the triangle inequality a set A can have a partner within r only in regions that A reaches by giving up
+  its first i grams, which moves it by d = i / |A|: while that is at most r, A is replicated to the region of
+  its (i + 1)-th gram.  Two sets within r share a gram in both windows, hence a region.
+* Inside a region the join recurses on the cells of the document pivots: cells are ordered by their least
+  set, a point meets only the cells that its size allows (d >= 1 - |A| / |B|), and within its own cell only
+  the points outside of the window d(x, p) + d(y, p) <= r.
+* A pair is then followed through all regions it shares: up to the nearer end of the two windows both sets
+  are known, so that overlap <= regions met in + the larger rest behind its window, and a pair that meets in
+  fewer regions than this needs is out of reach.  Tasks keep back pairs that met in few of their own regions,
+  which is allowed for; the pairs left are compared gram by gram, a large family in blocks.
+
+Document pivots alone do not do: unrelated documents are at distance 1 from each other and from every pivot,
+so that windows around them replicate every document to every cell (``window_share`` measures this).
+
+Grams are told apart by 48-bit hashes, in the regions by 41 bits; equal sets by size and two 64-bit sums.
+
+Defined cases: texts that are null or have no word have no grams and no partner, and are classes of their own;
+a text with fewer than n words has one gram, all of it; ids that repeat or are null are told apart by row;
+other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +52,8 @@ from millrace.llm import common as c
 PLACE_BITS = 22
 #: Entries of the region table that one task takes; candidate pairs, and documents in such, that one verification task takes.
 ENTRIES_PER_TASK, PAIRS_PER_TASK, SETS_PER_TASK = 3_000_000, 200_000, 4_000
+#: Distances to a cell's centre are rounded up to this part of 1, which keeps the counts per cell few and all that follows from them true.
+DISTANCE_STEPS = 10_000
 _SHARDS, _HASH_BITS = 16, 41
 MARGIN = 0.06
 #: Meetings that a task holds before it counts them by pair; at four times as many pairs it passes them on.
@@ -79,57 +92,90 @@ def _place(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
 
 
+_SUMMARY = "_rid bigint, size int, s1 bigint, s2 bigint, m1 bigint, m2 bigint, m3 bigint"
+
+
 def _summaries(n: int):
-    """Per text its id, set size and two sums over the grams that identify the set; at the end the word counts of the part."""
+    """Per text its id, set size, two sums over the grams that identify the set, and three min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.slices(batches, "_text"):
-            out = np.zeros((3, batch.num_rows), np.int64)
+            out = np.zeros((6, batch.num_rows), np.int64)
             for i, grams in enumerate(gram_keys(batch.column("_text"), n)):
-                out[:, i] = len(grams), int(grams.sum(dtype=np.uint64).view(np.int64)), int(c.mix(grams ^ c._BASE).sum(dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(out[0].astype(np.int32)), pa.array(out[1]), pa.array(out[2])], ["_rid", "size", "s1", "s2"])
+                if len(grams):
+                    mixed = c.mix(grams ^ c._BASE)
+                    third = (grams * c._BASE) ^ (mixed >> np.uint64(7))
+                    out[:, i] = len(grams), *(int(x.view(np.int64)) for x in (grams.sum(dtype=np.uint64), mixed.sum(dtype=np.uint64), grams[0], mixed.min(), third.min()))
+            yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(out[0].astype(np.int32)), *map(pa.array, out[1:])], ["_rid", "size", "s1", "s2", "m1", "m2", "m3"])
 
     return run
 
 
-def _place_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of a task counted by place, in shards."""
-    total = np.zeros(1 << PLACE_BITS, np.uint32)
-    for batch in c.slices(batches, "_text"):
-        codes, _, words = c.split_words(batch.column("_text"))
-        np.add.at(total, _place(c.hash_words(words)), np.bincount(codes, minlength=len(words)).astype(np.uint32))
-    for shard, part in enumerate(np.split(total, _SHARDS)):
-        at = np.nonzero(part)[0]
+_COUNTS = "part int, places binary, counts binary"
+
+
+def _counted(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for part, total in parts.items():
+        at = np.nonzero(total)[0]
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([at.astype("<u4").tobytes()]), pa.array([part[at].astype("<u4").tobytes()])], ["shard", "places", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at.astype("<u4").tobytes()]), pa.array([total[at].astype("<u8").tobytes()])], ["part", "places", "counts"])
 
 
-def _place_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the counts of each shard, one task's at a time, and give its levels: 0 for a count of 1, then two for every doubling."""
+def _place_counts(groups: int):
+    """The words of a task counted by place, in shards, for one of ``groups`` groups of tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << PLACE_BITS, np.uint64)
+        for batch in c.slices(batches, "_text"):
+            codes, _, words = c.split_words(batch.column("_text"))
+            np.add.at(total, _place(c.hash_words(words)), np.bincount(codes, minlength=len(words)).astype(np.uint64))
+        group = TaskContext.get().partitionId() % groups
+        yield from _counted({shard * groups + group: part for shard, part in enumerate(np.split(total, _SHARDS))})
+
+    return run
+
+
+def _place_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum the counts of each part, one task's at a time."""
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
-        for shard, at, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            total = totals.setdefault(shard, np.zeros((1 << PLACE_BITS) // _SHARDS, np.int64))
-            total[np.frombuffer(at, "<u4")] += np.frombuffer(counts, "<u4")
-    for shard, total in totals.items():
-        levels = np.minimum(np.round(2 * np.log2(np.maximum(total, 1))), 127).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([levels.tobytes()])], ["shard", "levels"])
+        for part, at, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            total = totals.setdefault(part, np.zeros((1 << PLACE_BITS) // _SHARDS, np.uint64))
+            total[np.frombuffer(at, "<u4")] += np.frombuffer(counts, "<u8")
+    yield from _counted(totals)
 
 
 def word_levels(rows: DataFrame) -> np.ndarray:
-    """How common words are in the corpus, by place of their hash; words that share a place count together.
+    """How common words are in the corpus, by place of their hash: 0 for a count of 1, then two levels for every doubling.
 
-    The table has 2**PLACE_BITS bytes whatever the corpus holds; it only orders the grams.
+    Words that share a place count together.  The table has 2**PLACE_BITS bytes whatever the corpus holds; it
+    only orders the grams.  Tasks are summed in groups, about as many as the square root of their number, then all.
     """
-    counts = rows.select("_text").mapInArrow(_place_counts, "shard int, places binary, counts binary")
+    groups = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+    counts = rows.select("_text").mapInArrow(_place_counts(groups), _COUNTS)
+    sums = counts.repartitionById(_SHARDS * groups, F.col("part")).mapInArrow(_place_sums, _COUNTS)
+    sums = sums.withColumn("part", F.floor(F.col("part") / groups).cast("int")).repartitionById(_SHARDS, F.col("part")).mapInArrow(_place_sums, _COUNTS)
     levels = np.zeros((_SHARDS, (1 << PLACE_BITS) // _SHARDS), np.uint8)
-    for r in counts.repartitionById(_SHARDS, F.col("shard")).mapInArrow(_place_levels, "shard int, levels binary").collect():
-        levels[r["shard"]] = np.frombuffer(r["levels"], np.uint8)
+    for r in sums.mapInArrow(_place_levels, "part int, levels binary").collect():
+        levels[r["part"]] = np.frombuffer(r["levels"], np.uint8)
     return levels.ravel()
 
 
+def _place_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, at, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            levels = np.zeros((1 << PLACE_BITS) // _SHARDS, np.uint8)
+            levels[np.frombuffer(at, "<u4")] = np.minimum(np.round(2 * np.log2(np.frombuffer(counts, "<u8").astype(np.float64))), 127)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()])], ["part", "levels"])
+
+
 _ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("ref", "<u2")])
-_HEAD = np.dtype([("rid", "<i8"), ("size", "<u4")])
+_HEAD = np.dtype([("rid", "<i8"), ("cell", "<i8"), ("size", "<u4"), ("far", "<u2")])
+
+
+def within_reach(theta: float) -> int:
+    """The greatest sum of two distances to a centre, in steps, that makes the pair near."""
+    return math.floor((1 - theta) * DISTANCE_STEPS + 1e-6)
 
 
 def window_size(size, theta: float):
@@ -149,7 +195,7 @@ def _windows(levels_b, n: int, theta: float, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.slices(batches, "_text"):
-            rids = c.ints(batch.column("_rid"))
+            rids, cells, far = (c.ints(batch.column(x)) for x in ("_rid", "cell", "far"))
             for low in range(0, len(rids), 60_000):
                 part = batch.slice(low, 60_000)
                 heads, entries = np.zeros(part.num_rows, _HEAD), []
@@ -158,7 +204,7 @@ def _windows(levels_b, n: int, theta: float, parts: int):
                     if not size:
                         continue
                     window = grams[: int(window_size(np.float64(size), theta))]
-                    heads[i] = rids[low + i], size
+                    heads[i] = rids[low + i], cells[low + i], size, far[low + i]
                     e = np.empty(len(window), _ENTRY)
                     e["low"], e["high"] = window & np.uint64(0xFFFFFFFF), window >> np.uint64(32)
                     e["ref"] = i
@@ -186,13 +232,17 @@ def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, thet
     """Pairs that meet in the regions of ``entries``: (rid, greater rid, regions met in, least number needed, last), in several parts.
 
     ``owner`` indexes ``heads``.  A pair may come in more than one part; ``last`` is 1 in the last part.
-    Of that, pairs that met in less than one of 2 * ``tasks`` shares of what they need are left out.
+    Of that, pairs that met in less than one of 2 * ``tasks`` shares of what they need are left out, and pairs
+    of one cell that are near by their distances to its centre are never made.
     """
-    by_size = np.lexsort((heads["rid"], heads["size"]))  # documents are numbered by size, so that regions need sorting by key only
+    _, cell = np.unique(heads["cell"], return_inverse=True)
+    least = np.full(len(heads), np.iinfo(np.int64).max)
+    np.minimum.at(least, cell, heads["size"].astype(np.int64))
+    at = np.lexsort((heads["rid"], heads["far"], cell, least[cell]))  # cells by their least set, then by distance: so regions need sorting by key only
     number = np.empty(len(heads), np.int32)
-    number[by_size] = np.arange(len(heads), dtype=np.int32)
-    heads = heads[by_size]
-    sizes = heads["size"].astype(np.int64)
+    number[at] = np.arange(len(heads), dtype=np.int32)
+    heads, cell, least = heads[at], cell[at].astype(np.int32), least[cell[at]]
+    sizes, far, near = heads["size"].astype(np.int64), heads["far"].astype(np.int32), within_reach(theta)
     owner = number[owner]
     at = np.argsort(owner, kind="stable")
     key, owner = _keys(entries[at]), owner[at]
@@ -220,25 +270,48 @@ def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, thet
         x, y = heads["rid"][a], heads["rid"][b]
         return np.minimum(x, y), np.maximum(x, y), counts.astype(np.int32), need, np.full(len(x), int(last), np.int32)
 
+    def meet(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal held, count
+        alike = (sizes[x] >= theta * sizes[y] - 1e-6) & (sizes[y] >= theta * sizes[x] - 1e-6)
+        if alike.any():
+            held.append((x[alike].astype(np.int64) * len(heads) + y[alike], np.ones(int(alike.sum()), np.int32)))
+            count += len(held[-1][0])
+
+    def passed_on():
+        nonlocal held, count
+        if count > HELD_PAIRS:
+            held, count = [merged()], 0
+            if len(held[0][0]) > 4 * HELD_PAIRS:
+                part, held = held[0], []
+                return [pairs(*part, False)]
+        return []
+
     low = 0
     while low < len(key):
         high = min(low + 200_000, len(key))
         while high < len(key) and key[high] == key[high - 1]:
             high += 1
         k, o = key[low:high], owner[low:high]
-        live, step = np.nonzero(k[:-1] == k[1:])[0], 1
-        while len(live):  # the live entries against the one `step` further; sizes ascend within a region
-            live = live[live + step < len(k)]
-            live = live[(k[live + step] == k[live]) & (sizes[o[live]] >= theta * sizes[o[live + step]] - 1e-6)]
-            if len(live):
-                held.append((o[live].astype(np.int64) * len(heads) + o[live + step], np.ones(len(live), np.int32)))
-                count += len(live)
+        change = np.nonzero((k[1:] != k[:-1]) | (cell[o[1:]] != cell[o[:-1]]))[0] + 1
+        ends = np.repeat(np.append(change, len(k)), np.diff(np.concatenate([[0], change, [len(k)]])))  # of an entry's cell in its region
+        live, step = np.arange(len(k)), 0
+        while len(live):  # against the entry `step` places behind the own cell; the cells' least sizes ascend within a region
+            live = live[ends[live] + step < len(k)]
+            other = ends[live] + step
+            more = (k[other] == k[live]) & (sizes[o[live]] >= theta * least[o[other]] - 1e-6)
+            live, other = live[more], other[more]
+            meet(o[live], o[other])
+            step += 1
+            yield from passed_on()
+        live, step = np.arange(len(k)), 1
+        while len(live):  # against the entry `step` places before in the own cell; distances descend that way
+            live = live[live >= step]
+            other = live - step
+            more = (k[other] == k[live]) & (cell[o[other]] == cell[o[live]]) & (far[o[other]] + far[o[live]] > near)
+            live, other = live[more], other[more]
+            meet(o[other], o[live])
             step += 1
-            if count > HELD_PAIRS:
-                held, count = [merged()], 0
-                if len(held[0][0]) > 4 * HELD_PAIRS:
-                    yield pairs(*held[0], False)
-                    held = []
+            yield from passed_on()
         low = high
     if held:
         yield pairs(*merged(), True)
@@ -321,7 +394,10 @@ def _verify(n: int, theta: float):
 
 
 def candidate_pairs(rows: DataFrame, n: int, theta: float, entries: int) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` of ``rows (_rid, _text)``; all pairs within reach are among them."""
+    """Distinct candidate pairs ``(a, b)`` of ``rows (_rid, _text, cell, far)``.
+
+    All pairs within reach are among them, but those of one cell whose ``far`` sum up to ``within_reach``.
+    """
     levels_b = rows.sparkSession.sparkContext.broadcast(word_levels(rows))
     parts = c.tasks_for(entries, ENTRIES_PER_TASK)
     blobs = rows.mapInArrow(_windows(levels_b, n, theta, parts), "part int, blob binary")
@@ -331,77 +407,135 @@ def candidate_pairs(rows: DataFrame, n: int, theta: float, entries: int) -> Data
     return c.stored(enough.select("a", "b"), "pairs")
 
 
-def jaccard_join(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All pairs of documents with Jaccard similarity at least ``theta`` (0 < theta <= 1) of their word n-gram sets.
-
-    Returns ``(doc_a, doc_b, jaccard)``.  Copies with equal sets appear once each, beside the least of them.
-    """
-    _, near, copies, ids = _joined(df, n, theta, id_col, text_col)
-    return _named(near.unionByName(copies), ids)
-
-
-def all_pairs(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``jaccard_join``, with every pair of rows: copies pair with each other and with all that is near to their set.
+def _compared(text_rows: DataFrame, pairs: DataFrame, family: str, n: int, theta: float) -> DataFrame:
+    """``(a, b, jaccard)`` of the ``pairs (a, b, family)`` within reach.
 
-    The output grows with the square of the number of copies of a set.
+    Pairs of a family go to one task, so that few sets are sent twice; a family of many pairs is cut into
+    blocks of its first times blocks of its second documents.
     """
-    _, near, copies, ids = _joined(df, n, theta, id_col, text_col)
-    near = c.stored(near, "near")
-    members = c.stored(copies.select("a", F.col("b").alias("row")).unionByName(copies.select("a", F.col("a").alias("row")).distinct()), "members")
-    members = c.small(members, 32)
-    pairs = near
-    for side in ("a", "b"):
-        rows = members.select(F.col("a").alias("least"), "row")
-        pairs = pairs.join(rows, pairs[side] == rows["least"], "left").withColumn(side, F.coalesce("row", side)).drop("least", "row")
-    within = members.withColumnRenamed("row", "x").join(members.withColumnRenamed("row", "y"), "a").where("x < y")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
-    return _named(pairs.unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("jaccard"))), ids)
-
-
-def _named(pairs: DataFrame, ids: DataFrame | None) -> DataFrame:
-    """``pairs`` of row numbers under the ids of their rows."""
-    if ids is not None:
-        for side in ("a", "b"):
-            pairs = pairs.join(ids.select(F.col("_rid").alias(side), F.col("_id").alias("doc_" + side)), side)
-        return pairs.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
-    return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
-
-
-def _joined(df: DataFrame, n: int, theta: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
-    """``df`` with row numbers ``_rid``, near pairs ``(a, b, jaccard)`` and copies of the least row, and the table of ids where row numbers aren't the ids."""
+    sizes = pairs.groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sqrt(F.count(F.lit(1)) / PAIRS_PER_TASK)).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = c.small(c.stored(sizes.drop("n"), "families"), 24)
+    tasks = max(c.tasks_for(pairs.count(), PAIRS_PER_TASK), c.tasks_for(pairs.select(F.explode(F.array("a", "b")).alias("a")).agg(F.approx_count_distinct("a")).first()[0], SETS_PER_TASK))
+    blocks = F.coalesce("blocks", F.lit(1))
+    block = [F.pmod(F.xxhash64(F.col(x)), blocks) for x in ("a", "b")]
+    cut = pairs.join(sizes, family, "left").select("a", "b", F.pmod(F.xxhash64(family, *block), F.lit(tasks)).cast("int").alias("bucket"))
+    cut = c.stored(cut, "bucketed")
+    needed = cut.select("bucket", F.explode(F.array("a", "b")).alias("_rid")).groupBy("_rid").agg(F.collect_set("bucket").alias("buckets"))
+    sets = text_rows.join(_sized(c.stored(needed, "needed"), "buckets"), "_rid").select("_rid", "_text", "buckets").mapInArrow(_packed, "place int, _rid bigint, size bigint, packed binary")
+    found = cut.groupBy("bucket").cogroup(sets.groupBy("place")).applyInArrow(_verify(n, theta), "a bigint, b bigint, jaccard double")
+    return c.stored(found, "near")
+
+
+def _sized(df: DataFrame, array: str) -> DataFrame:
+    """``df`` with a broadcast hint if its rows and the entries of its arrays, counted now, are small."""
+    counted = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(array)).alias("entries")).first()
+    return F.broadcast(df) if counted["n"] * 48 + (counted["entries"] or 0) * 8 <= c.BROADCAST_BYTES else df
+
+
+def cells(text_rows: DataFrame, points: DataFrame, n: int, theta: float) -> DataFrame:
+    """Voronoi cells of document pivots: ``(a, cell, far)`` of the ``points (a, m1, m2, m3)`` within reach of a centre, ``far`` in steps."""
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col(x), F.col(y)) for i, (x, y) in enumerate((("m1", "m2"), ("m1", "m3"), ("m2", "m3")))))
+    alike = points.groupBy("m1", "m2", "m3").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"))
+    pivots = alike.select("n", "a", F.explode(keys).alias("key")).groupBy("key").agg(F.sum("n").alias("all"), F.max_by("a", F.struct("n", -F.col("a"))).alias("pivot"))
+    pivots = c.small(c.stored(pivots.where("all > 1").drop("all"), "pivots"), 32)
+    asked = points.select("a", F.explode(keys).alias("key")).join(pivots, "key").where("a <> pivot").select("a", "pivot").distinct()
+    asked = c.stored(asked.select("a", F.col("pivot").alias("b"), F.col("pivot").alias("family")), "asked")
+    first = _compared(text_rows, asked, "family", n, theta).select("a", F.col("b").alias("pivot"), (1 - F.col("jaccard")).alias("d"))
+    own = first.select(F.col("pivot").alias("a"), "pivot", F.lit(0.0).alias("d")).distinct()
+    nearest = first.unionByName(own).groupBy("a").agg(F.min(F.struct("d", "pivot")).alias("of")).select("a", "of.pivot", "of.d")
+    nearest = c.stored(nearest, "nearest")
+    centres = nearest.where("a <> pivot").groupBy("pivot").agg(F.min(F.struct("d", "a")).alias("of")).select("pivot", F.col("of.a").alias("b"))
+    again = nearest.join(c.small(c.stored(centres, "centres"), 32), "pivot").where("a <> b").select("a", "b", F.col("b").alias("family"))
+    again = c.stored(again, "again")
+    distances = _compared(text_rows, again, "family", n, theta)
+    steps = distances.select("a", F.col("b").alias("cell"), F.ceil((1 - F.col("jaccard")) * DISTANCE_STEPS).cast("int").alias("far"))
+    return c.stored(steps.unionByName(steps.select(F.col("cell").alias("a"), "cell", F.lit(0).alias("far")).distinct()), "cells")
+
+
+def _near(df: DataFrame, n: int, theta: float, id_col: str, text_col: str, pivots: bool = True):
+    """``df`` with row numbers, all rows, whether those are the ids, classes ``(a, w)`` of equal sets, copies ``(a, b)`` of a class's least row, cells and near pairs ``(a, b, jaccard)`` of least rows."""
     if not 0 < theta <= 1 or n < 1:
         raise ValueError("theta must be in (0, 1] and n at least 1")
     tagged, rows, unique = c.with_row_ids(df, id_col, text_col)
     text_rows = rows.select("_rid", "_text")
-    sums = c.stored(text_rows.mapInArrow(_summaries(n), "_rid bigint, size int, s1 bigint, s2 bigint"), "sets").where("size > 0")
-    classes = sums.groupBy("size", "s1", "s2").agg(F.min("_rid").alias("a"), F.count(F.lit(1)).alias("copies"))
-    several = c.small(c.stored(classes.where("copies > 1"), "classes"), 64)
-    copies = c.stored(sums.join(several, ["size", "s1", "s2"]).where("_rid <> a").select("a", F.col("_rid").alias("b")), "copies")
-    chosen = text_rows.join(c.small(copies.select(F.col("b").alias("_rid")), 16), "_rid", "left_anti")
-    entries = int((1 - theta) * (sums.agg(F.sum("size")).first()[0] or 0)) + 1
+    sums = c.stored(text_rows.mapInArrow(_summaries(n), _SUMMARY), "sets").where("size > 0")
+    same = ["size", "s1", "s2"]
+    classes = sums.groupBy(*same).agg(F.min("_rid").alias("a"), F.count(F.lit(1)).alias("w"), *(F.min(m).alias(m) for m in ("m1", "m2", "m3")))
+    classes = c.stored(classes, "classes")
+    several = c.small(c.stored(classes.where("w > 1").select(*same, "a"), "several"), 64)
+    copies = c.stored(sums.join(several, same).where("_rid <> a").select("a", F.col("_rid").alias("b")), "copies")
+    none = tagged.sparkSession.createDataFrame([], "a bigint, cell bigint, far int")
+    placed = cells(text_rows, classes.select("a", "m1", "m2", "m3"), n, theta) if pivots else none
+    marks = copies.select(F.col("b").alias("_rid"), F.lit(None).cast("bigint").alias("cell"), F.lit(-1).alias("far")).unionByName(placed.withColumnRenamed("a", "_rid"))
+    chosen = text_rows.join(c.small(c.stored(marks, "marks"), 48), "_rid", "left").where("far is null or far >= 0")
+    chosen = chosen.select("_rid", "_text", F.coalesce("cell", "_rid").alias("cell"), F.coalesce("far", F.lit(0)).alias("far"))
+    entries = int((1 - theta) * (classes.agg(F.sum("size")).first()[0] or 0)) + 1
     pairs = candidate_pairs(chosen, n, theta, entries)
     ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = c.small(c.stored(ends.groupBy("a").agg(F.least("a", F.min("b")).alias("label")), "near"), 32)
-    label = c.stored(ends.join(near.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label")), "label")
-    tasks = max(c.tasks_for(pairs.count(), PAIRS_PER_TASK), c.tasks_for(label.count(), SETS_PER_TASK))
-    label = c.small(label, 32)  # pairs of one family mostly have one label, so that few of its sets are sent twice
+    near = c.small(c.stored(ends.groupBy("a").agg(F.least("a", F.min("b")).alias("label")), "labels"), 32)
+    label = c.stored(ends.join(near.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label")), "labels")
+    label = c.small(label, 32)  # pairs of one family mostly have one label
     both = pairs.join(label.withColumnRenamed("label", "label_a"), "a").join(label.select(F.col("a").alias("b"), F.col("label").alias("label_b")), "b")
-    pairs = c.stored(both.select("a", "b", F.pmod(F.xxhash64(F.least("label_a", "label_b")), F.lit(tasks)).cast("int").alias("bucket")), "bucketed")
-    needed = pairs.select("bucket", F.explode(F.array("a", "b")).alias("_rid")).groupBy("_rid").agg(F.collect_set("bucket").alias("buckets"))
-    sets = text_rows.join(c.small(c.stored(needed, "needed"), 64), "_rid").select("_rid", "_text", "buckets").mapInArrow(_packed, "place int, _rid bigint, size bigint, packed binary")
-    found = pairs.groupBy("bucket").cogroup(sets.groupBy("place")).applyInArrow(_verify(n, theta), "a bigint, b bigint, jaccard double")
-    return tagged, found, copies.withColumn("jaccard", F.lit(1.0)), None if unique else rows.select("_rid", "_id")
+    found = _compared(text_rows, c.stored(both.select("a", "b", F.least("label_a", "label_b").alias("family")), "families"), "family", n, theta)
+    return tagged, rows, unique, classes.select("a", "w"), copies, placed, found
 
 
+def near_classes(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, class_id, n_links)``, one row per row of ``df``.
 
-def drop_near_copies(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each group of near copies: the row that comes first in each connected component of ``jaccard_join``.
+    ``n_links`` is the number of other rows with Jaccard similarity at least ``theta`` (0 < theta <= 1) of the
+    word n-gram sets, copies among them.  Rows are of one class if such links lead from one to the other;
+    ``class_id`` is the id of its least row, in the order of the ids (null last): the own id without any link.
+    """
+    _, rows, unique, classes, copies, placed, found = _near(df, n, theta, id_col, text_col)
+    reach = within_reach(theta)
+    weights = c.small(c.stored(classes.where("w > 1"), "weights"), 32)
+
+    def weighted(part: DataFrame, row: str) -> DataFrame:
+        return part.join(weights.select(F.col("a").alias(row), F.col("w").alias("_w")), row, "left").withColumn("w", F.coalesce("_w", F.lit(1))).drop("_w")
+
+    ends = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    by_pair = weighted(ends, "b").groupBy("a").agg(F.sum("w").alias("n"))
+    inside = c.stored(weighted(placed, "a"), "inside")
+    counts = inside.groupBy("cell", "far").agg(F.sum("w").alias("w")).groupBy("cell").agg(F.collect_list(F.struct("far", "w")).alias("rows"))  # at most one entry per step
+    sums = F.aggregate(F.filter("rows", lambda y: y["far"] + F.col("x.far") <= reach), F.lit(0).cast("bigint"), lambda s, y: s + y["w"])
+    counts = c.small(c.stored(counts.select("cell", "rows", F.explode("rows").alias("x")).select("cell", F.col("x.far").alias("far"), sums.alias("n")), "counts"), 32)
+    by_cell = inside.join(counts, ["cell", "far"]).select("a", (F.col("n") - F.when(2 * F.col("far") <= reach, F.col("w")).otherwise(0)).alias("n"))
+    by_copy = classes.where("w > 1").select("a", (F.col("w") - 1).alias("n"))
+    links = c.stored(by_pair.unionByName(by_cell).unionByName(by_copy).groupBy("a").agg(F.sum("n").alias("n_links")).where("n_links > 0"), "links")
+    labels = components(found.select("a", "b").unionByName(placed.where("a <> cell").select("a", F.col("cell").alias("b"))))
+    linked = links.join(labels, "a", "left").select("a", "n_links", F.coalesce("label", "a").alias("label"))
+    linked = c.stored(linked, "linked")
+    each = linked.withColumnRenamed("a", "_rid").unionByName(copies.join(c.small(linked, 32), "a").select(F.col("b").alias("_rid"), "n_links", "label"))
+    each = c.small(c.stored(each, "each"), 32)
+    out = rows.select("_rid", "_id").join(each, "_rid", "left").select("_id", F.coalesce("label", "_rid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    kind = df.schema[id_col].dataType
+    if unique:
+        return out.select(F.col("_id").alias("doc_id"), F.col("label").cast(kind).alias("class_id"), "n_links")
+    return out.join(rows.select(F.col("_rid").alias("label"), F.col("_id").alias("class_id")), "label").select(F.col("_id").alias("doc_id"), "class_id", "n_links")
+
+
+def near_pairs(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_a, doc_b, jaccard)``: all near pairs of different sets, by the least row of either, and each copy beside the least row with its set (1.0).
+
+    The pairs of a family of near copies grow with the square of its size; ``near_classes`` does without them.
+    """
+    _, rows, unique, _, copies, _, found = _near(df, n, theta, id_col, text_col, pivots=False)
+    pairs = found.unionByName(copies.withColumn("jaccard", F.lit(1.0)))
+    if unique:
+        return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("_rid").alias(side), F.col("_id").alias("doc_" + side)), side)
+    return pairs.select("doc_a", "doc_b", "jaccard")
 
-    Components are found by hooking every row to its least neighbour's label until nothing changes; the number of
-    rounds grows with the logarithm of a component's diameter, as labels are also followed to their own labels.
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(a, label)``: the least row of the connected component of every row of ``edges (a, b)``.
+
+    Every row is hooked to its least neighbour's label until nothing changes; the number of rounds grows with
+    the logarithm of a component's diameter, as labels are also followed to their own labels.
     """
-    tagged, near, copies, _ = _joined(df, n, theta, id_col, text_col)
-    edges = c.stored(near.unionByName(copies).select("a", "b"), "edges")
+    edges = c.stored(edges, "edges")
     edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = c.stored(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
@@ -411,6 +545,35 @@ def drop_near_copies(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str
         done = c.stored(jumped.select("a", F.least("new", "far").alias("label"), (F.least("new", "far") < F.col("label")).alias("moved")), "labels")
         labels = done.select("a", "label")
         if not done.where("moved").limit(1).count():
-            break
-    gone = c.stored(labels.where("a <> label").select(F.col("a").alias("_rid")), "gone")
-    return c.restored(tagged.join(c.small(gone, 16), "_rid", "left_anti"), df)
+            return labels
+
+
+def drop_near_copies(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with the least row of each class of ``near_classes``."""
+    tagged, _, _, _, copies, placed, found = _near(df, n, theta, id_col, text_col)
+    labels = components(found.select("a", "b").unionByName(placed.where("a <> cell").select("a", F.col("cell").alias("b"))))
+    gone = labels.where("a <> label").select(F.col("a").alias("_rid")).unionByName(copies.select(F.col("b").alias("_rid")))
+    return c.restored(tagged.join(c.small(c.stored(gone, "gone"), 16), "_rid", "left_anti"), df)
+
+
+def window_share(df: DataFrame, n: int = 2, theta: float = 0.65, pivots: int = 64, text_col: str = "text") -> DataFrame:
+    """What document pivots alone would replicate: ``(pivots, mean_share)``, the mean share of ``pivots`` cells that a document reaches by d(x, q) <= d(x, p) + 2 r.
+
+    The pivots are the rows with the least hashes of their texts, a measurement's parameter; all documents are measured.
+    """
+    rows = df.select(F.col(text_col).cast("string").alias("_text")).where("_text is not null")
+    chosen = [r["_text"] for r in rows.select("_text").distinct().orderBy(F.xxhash64("_text")).limit(pivots).collect()]
+    sets = [g for g in gram_keys(pa.array(chosen, pa.string()), n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = count = 0
+        for batch in c.slices(batches, "_text"):
+            for grams in gram_keys(batch.column("_text"), n):
+                if len(grams):
+                    common = np.array([len(np.intersect1d(grams, p, assume_unique=True)) for p in sets])
+                    d = 1 - common / (len(grams) + np.array([len(p) for p in sets]) - common)
+                    total, count = total + int((d <= d.min() + 2 * (1 - theta)).sum()), count + 1
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([count], pa.int64())], ["reached", "n"])
+
+    reached = rows.mapInArrow(run, "reached bigint, n bigint").agg(F.sum("reached").alias("reached"), F.sum("n").alias("n"))
+    return reached.select(F.lit(len(sets)).alias("pivots"), (F.col("reached") / F.col("n") / len(sets)).alias("mean_share"))

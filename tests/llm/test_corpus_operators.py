@@ -324,7 +324,7 @@ def gram_set(text, n):
 
 @pytest.mark.parametrize(("n", "theta"), [(2, 0.65), (1, 0.5), (3, 0.3), (2, 1.0)])
 def test_jaccard_join_is_exact(spark, n, theta):
-    values = texts()
+    values = texts() + family(20)
     sets = [gram_set(t, n) for t in values]
     first = {}
     expected = {}
@@ -335,22 +335,56 @@ def test_jaccard_join_is_exact(spark, n, theta):
         score = len(s & u) / len(s | u)
         if score >= theta:
             expected[min(i, j), max(i, j)] = score
-    rows = ngram_join.jaccard_join(table(spark, values, extra=True), n=n, theta=theta).collect()
+    rows = ngram_join.near_pairs(table(spark, values, extra=True), n=n, theta=theta).collect()
     assert {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in rows} == expected
     assert len(rows) == len(expected)
 
 
-def test_all_pairs_has_every_pair(spark):
-    """Every row is a query: three copies make three pairs, and each copy has the near partners of its set."""
-    rng = random.Random(12)
+def family(k, seed=21, share=0.16):
+    """Near copies of one text, some of which may be too far from each other, and copies of copies."""
+    rng = random.Random(seed)
     base = prose(rng, 120)
-    values = [prose(rng, 50), near(rng, base, 0.03), base, base.upper(), base, near(rng, base, 0.03), None, "", "one", "One!", "one"]
-    sets = [gram_set(t, 2) for t in values]
-    expected = {(i, j): len(x & y) / len(x | y) for (i, x), (j, y) in combinations(enumerate(sets), 2) if x and y and len(x & y) / len(x | y) >= 0.65}
-    assert {(2, 3), (2, 4), (3, 4), (1, 3), (4, 5), (8, 9), (9, 10)} <= set(expected)
-    rows = ngram_join.all_pairs(table(spark, values, extra=True)).collect()
-    assert len(rows) == len(expected)
-    assert {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in rows} == expected
+    made = [near(rng, base, rng.random() * share) for _ in range(k)]
+    return made + made[: k // 5]
+
+
+@pytest.mark.parametrize(("n", "theta"), [(2, 0.65), (1, 0.5)])
+def test_classes_and_links_are_exact(spark, n, theta):
+    values = texts() + family(60) + family(30, 22)
+    sets = [gram_set(t, n) for t in values]
+    links, label = defaultdict(int), list(range(len(values)))
+    for i, j in combinations(range(len(values)), 2):
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= theta:
+            links[i] += 1
+            links[j] += 1
+            if label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    rows = ngram_join.near_classes(table(spark, values, extra=True), n=n, theta=theta).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in rows) == [(i, x, links[i]) for i, x in enumerate(label)]
+    assert max(links.values()) > 30
+
+
+def test_pairs_of_a_cell_are_not_made(spark):
+    """Near copies of one text end up in one cell, so that hardly any pair of them has to be compared."""
+    df = table(spark, family(80, share=0.06))
+    _, _, _, classes, _, placed, found = ngram_join._near(df, 2, 0.65, "doc_id", "text")
+    _, _, _, _, _, _, every = ngram_join._near(df, 2, 0.65, "doc_id", "text", pivots=False)
+    assert placed.count() > 0.7 * classes.count()
+    assert found.count() < 0.5 * every.count()
+
+
+def test_large_families_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_TASK", 50)
+    values = family(40)
+    sets = [gram_set(t, 2) for t in dict.fromkeys(values)]
+    expected = sum(len(a & b) / len(a | b) >= 0.65 for a, b in combinations(sets, 2))
+    rows = ngram_join.near_pairs(table(spark, list(dict.fromkeys(values))), n=2, theta=0.65)
+    assert rows.count() == rows.select("doc_a", "doc_b").distinct().count() == expected
+
+
+def test_windows_of_document_pivots_replicate(spark):
+    assert ngram_join.window_share(table(spark, texts()), pivots=8).first().mean_share > 0.5
 
 
 @pytest.mark.parametrize("held", [20, 300, 10**6])
@@ -369,7 +403,7 @@ def test_no_pair_is_lost_in_the_regions(monkeypatch, held):
     heads = np.zeros(len(sets), ngram_join._HEAD)
     rows = []
     for i, s in enumerate(sets):
-        heads[i] = 1000 + i, len(s)
+        heads[i] = 1000 + i, 1000 + i, len(s), 0
         rows += [(k, i) for k in s[: int(ngram_join.window_size(len(s), theta))].tolist()]
     met, need, told = defaultdict(int), {}, defaultdict(int)
     for task in range(tasks):
@@ -387,9 +421,10 @@ def test_no_pair_is_lost_in_the_regions(monkeypatch, held):
 
 
 def test_jaccard_join_cases(spark):
-    assert ngram_join.jaccard_join(table(spark, [])).count() == 0
-    rows = ngram_join.jaccard_join(table(spark, ["p q r", "p q r", "x"], ids=[5, 5, None])).collect()
-    assert [(r.doc_a, r.doc_b, r.jaccard) for r in rows] == [(5, 5, 1.0)]
+    assert ngram_join.near_classes(table(spark, [])).count() == 0
+    rows = ngram_join.near_classes(table(spark, ["p q r", "p q r", "x", "x", "y"], ids=[5, 5, 4, None, None])).collect()
+    assert sorted(map(tuple, rows), key=str) == [(4, 4, 1), (5, 5, 1), (5, 5, 1), (None, 4, 1), (None, None, 0)]
+    assert [tuple(r) for r in ngram_join.near_pairs(table(spark, ["p q r", "p q r"], ids=[5, None])).collect()] == [(5, None, 1.0)]
 
 
 def test_one_of_each_group_stays(spark):
@@ -534,11 +569,11 @@ def test_ids_that_are_text(spark):
     df = table(spark, ["p q r", "p q r"]).selectExpr("concat('id', doc_id) as doc_id", "text")
     assert [tuple(r) for r in exact_dedup.exact_copies(df).collect()] == [("id1", "id0")]
     long = " ".join(f"w{i}" for i in range(80))
+    assert [(r.doc_a, r.doc_b) for r in ngram_join.near_pairs(df).collect()] == [("id0", "id1")]
     df = spark.createDataFrame([("z", long), ("a", long), ("m", "x " + long), (None, long)], "doc_id string, text string")
     for parts in (1, 3):
         assert set(map(tuple, exact_dedup.exact_copies(df.repartition(parts)).collect())) == {(None, "a"), ("z", "a")}
         assert {r.source_id for r in suffix_dedup.repeated_passages(df.repartition(parts)).collect()} == {"a"}
-    assert [(r.doc_a, r.doc_b) for r in ngram_join.jaccard_join(df).collect()] == [("id0", "id1")]
 
 
 # 10 toxicity
