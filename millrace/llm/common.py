@@ -70,6 +70,12 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def sized(df: DataFrame, array: str) -> DataFrame:
+    """``df`` with a broadcast hint if its rows and the entries of its array column, counted now, fit ``BROADCAST_BYTES``."""
+    counted = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(array)).alias("entries")).first()
+    return F.broadcast(df) if counted["n"] * 48 + (counted["entries"] or 0) * 32 <= BROADCAST_BYTES else df
+
+
 def tasks_for(rows: int, per_task: int = ROWS_PER_TASK, least: int = 12) -> int:
     return max(least, -(-rows // per_task))
 

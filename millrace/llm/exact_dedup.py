@@ -4,13 +4,14 @@ All documents start in one group.  Each round splits every group by the next byt
 documents, most significant first; a group that has become a single document, or whose documents
 have all ended, is done.  The digit grows from round to round (64 bytes, then 4 KB, 64 KB, and 1 MB
 for as long as anything is left), so that the many documents that differ early leave after one
-narrow round and long copies don't need one round a byte.  Digits are compared as bytes; there is
-no digest.  A group is named by the least row in it, and equal digits of a group meet as one
+narrow round and long copies don't need one round a byte.  After the first rounds the rest of the documents
+that are still alike is written, so that later rounds don't read the corpus again.  Digits are compared as
+bytes; there is no digest.  A group is named by the least row in it, and equal digits of a group meet as one
 partial aggregate per task, so thousands of copies of one text make no hot key.
 
 Defined cases: null texts are copies of nothing; empty texts are copies of each other; among equal
-texts the row with the least id stays (the first row of the table's numbering where ids repeat or
-are null); other columns are not looked at.
+texts the row with the least id stays (in the order of ids of any type, null last, one row of those with
+the same id); other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,16 +27,15 @@ DIGITS = (64, 4096, 65_536, 1 << 20)
 
 def _copies(rows: DataFrame) -> DataFrame:
     """``(_rid, first)`` of the rows ``(_rid, _text)`` whose text equals that of the smaller row ``first``."""
-    data = rows.where(F.col("_text").isNotNull()).select("_rid", F.col("_text").cast("binary").alias("_bytes"))
+    data = rows.where(F.col("_text").isNotNull()).select("_rid", F.lit(0).cast("bigint").alias("group"), F.col("_text").cast("binary").alias("_bytes"))
     alive, done, start, turn = None, [], 1, 0
     while True:
         width = DIGITS[min(turn, len(DIGITS) - 1)]
-        digit = F.expr(f"substring(_bytes, {start}, {width})").alias("digit")
-        ended = (F.octet_length("_bytes") < start + width).alias("ended")
-        if alive is None:
-            digits = data.select("_rid", F.lit(0).cast("bigint").alias("group"), digit, ended)
-        else:
-            digits = data.join(alive, "_rid").select("_rid", "group", digit, ended)
+        live = data if alive is None else data.drop("group").join(alive, "_rid")
+        if 0 < turn < len(DIGITS) - 1:  # most documents leave early: what follows reads only the rest of the others
+            data = live = c.stored(live.select("_rid", "group", F.expr(f"substring(_bytes, {start})").alias("_bytes")), "rest")
+            start = 1
+        digits = live.select("_rid", "group", F.expr(f"substring(_bytes, {start}, {width})").alias("digit"), (F.octet_length("_bytes") < start + width).alias("ended"))
         groups = digits.groupBy("group", "digit", "ended").agg(F.min("_rid").alias("next"), F.count(F.lit(1)).alias("n")).where("n > 1")
         groups = c.stored(groups.drop("n"), "digits")
         split = digits.join(c.small(groups, 2 * width + 64), ["group", "digit", "ended"]).select("_rid", F.col("next").alias("group"), "ended")

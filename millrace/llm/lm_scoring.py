@@ -4,8 +4,9 @@ The vocabulary is every word of the corpus, counted over all documents.  Words a
 classes: each of the commonest words is a class by itself, the others are put together by how often
 they occur, their length and their last letters, in about as many classes as the square root of
 their number.  A word's probability is that of its class after the two classes before it, times its
-share of the occurrences of its class.  The table of words leaves out those that occur once: a word
-that isn't in it has a count of 1 and finds its class by its letters.
+share of the occurrences of its class.  The table of words leaves out the rarest, those that occur once and
+as many counts above as keep it within ``LISTED`` words: a word that isn't in it finds its class by its letters
+and has the mean count of the words that were left out of that class, so that shares still sum to 1.
 
 The context predicts the class: the sum of the two context vectors (one table per position) is
 multiplied with the target vectors, plus a bias.  As context, the classes of several words share their
@@ -38,6 +39,8 @@ from millrace.llm import common as c
 
 VOCABULARY, WIDTH, NOISE, STEP = 4096, 16, 64, 4096
 RATE = 0.1
+#: Words in the table that goes to all workers, 20 bytes each.
+LISTED = 2_000_000
 _OTHER, _START = 0, 1
 _SHARDS = 16
 #: Levels of how often a word occurs, and bands of its length, that tell classes apart; log partition functions that a scorer remembers.
@@ -64,10 +67,12 @@ def _signature(words: pa.Array, counts: np.ndarray, spread: int) -> np.ndarray:
     return (level * _BANDS + np.minimum((length - 1) // 4, _BANDS - 1)) * spread + (c.mix(last ^ c._BASE) % np.uint64(spread)).astype(np.int64)
 
 
-def _other_words(head_b, spread: int):
-    """Of the words that are not in the head: hash, signature and count, and how many of each signature occur once."""
+def _other_words(head_b, spread: int, least: int):
+    """Of the words that are not in the head: hash, signature and count of those that occur ``least`` times or more, and how many the rest of each signature are and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        rare = np.zeros((2, _BANDS * spread), np.int64)
         for batch in batches:
             words, n = batch.column("word"), c.ints(batch.column("n"))
             hashes = c.hash_words(words)
@@ -75,11 +80,14 @@ def _other_words(head_b, spread: int):
             if not len(some):
                 continue
             hashes, n = hashes[some], n[some]
-            of = _signature(words.take(pa.array(some)), n, spread)
-            once = np.bincount(of[n == 1], minlength=_LEVELS * _BANDS * spread)[: _BANDS * spread]
-            more = n > 1
-            parts = hashes[more].astype("<u8"), of[more].astype("<i4"), n[more].astype("<i8"), once.astype("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["hashes", "of", "n", "once"])
+            more = n >= least
+            of = _signature(words.take(pa.array(some)), np.where(more, n, 1), spread)
+            np.add.at(rare[0], of[~more], 1)
+            np.add.at(rare[1], of[~more], n[~more])
+            found.append((hashes[more].astype("<u8"), of[more].astype("<i4"), n[more].astype("<i8")))
+        if found:
+            parts = *(np.concatenate(x) for x in zip(*found)), *rare
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["hashes", "of", "n", "rare", "rare_n"])
 
     return run
 
@@ -94,13 +102,16 @@ class Vocabulary:
         read = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in others)])
         hashes, of, n = read("hashes", "<u8"), read("of", "<i4"), read("n", "<i8")
         total = np.bincount(of, weights=n, minlength=_LEVELS * _BANDS * spread)
+        rare, rare_n = np.zeros(len(total)), np.zeros(len(total))
         for r in others:
-            total[: _BANDS * spread] += np.frombuffer(r["once"], "<i8")
+            rare[: _BANDS * spread] += np.frombuffer(r["rare"], "<i8")
+            rare_n[: _BANDS * spread] += np.frombuffer(r["rare_n"], "<i8")
+        total = total + rare_n
         used = np.nonzero(total)[0]
         self.spread = spread
         self.class_of = np.full(len(total), _OTHER, np.int64)
         self.class_of[used] = np.arange(len(used)) + len(words) + 2
-        self.once = -np.log(np.maximum(total, 1)).astype(np.float32)
+        self.once = np.log(np.where(rare > 0, rare_n / np.maximum(rare, 1), 1) / np.maximum(total, 1)).astype(np.float32)
         hashes = np.concatenate([c.hash_words(pa.array(words, pa.string())), hashes])
         at = np.argsort(hashes)
         self.hashes = hashes[at]
@@ -132,7 +143,15 @@ def build_vocabulary(rows: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     words = [r["word"] for r in top]
     spread = max(1, math.ceil(math.sqrt(counts.count() - len(words)) / (8 * _BANDS)))
     head_b = rows.sparkSession.sparkContext.broadcast(c.hash_words(pa.array(words, pa.string())))
-    others = counts.mapInArrow(_other_words(head_b, spread), "hashes binary, of binary, n binary, once binary").collect()
+    often = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
+    least, listed = 1 << 17, -len(words)
+    for r in often:
+        listed += r["words"]
+        if r["n"] == 1 or listed > LISTED:
+            break
+        least = r["n"]
+    columns = ("hashes", "of", "n", "rare", "rare_n")
+    others = counts.mapInArrow(_other_words(head_b, spread, least), ", ".join(f"{x} binary" for x in columns)).collect()
     return Vocabulary(words, np.array([r["n"] for r in top], np.int64), others, spread)
 
 

@@ -51,7 +51,7 @@ from millrace.llm import common as c
 #: Places in the table of word counts that orders the grams, as a power of 2.
 PLACE_BITS = 22
 #: Entries of the region table that one task takes; candidate pairs, and documents in such, that one verification task takes.
-ENTRIES_PER_TASK, PAIRS_PER_TASK, SETS_PER_TASK = 3_000_000, 200_000, 4_000
+ENTRIES_PER_TASK, PAIRS_PER_TASK, SETS_PER_TASK = 2_000_000, 200_000, 4_000
 #: Distances to a cell's centre are rounded up to this part of 1, which keeps the counts per cell few and all that follows from them true.
 DISTANCE_STEPS = 10_000
 _SHARDS, _HASH_BITS = 16, 41
@@ -125,10 +125,10 @@ def _place_counts(groups: int):
     """The words of a task counted by place, in shards, for one of ``groups`` groups of tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << PLACE_BITS, np.uint64)
+        total = np.zeros(1 << PLACE_BITS, np.uint32)
         for batch in c.slices(batches, "_text"):
             codes, _, words = c.split_words(batch.column("_text"))
-            np.add.at(total, _place(c.hash_words(words)), np.bincount(codes, minlength=len(words)).astype(np.uint64))
+            np.add.at(total, _place(c.hash_words(words)), np.bincount(codes, minlength=len(words)).astype(np.uint32))
         group = TaskContext.get().partitionId() % groups
         yield from _counted({shard * groups + group: part for shard, part in enumerate(np.split(total, _SHARDS))})
 
@@ -421,17 +421,11 @@ def _compared(text_rows: DataFrame, pairs: DataFrame, family: str, n: int, theta
     cut = pairs.join(sizes, family, "left").select("a", "b", F.pmod(F.xxhash64(family, *block), F.lit(tasks)).cast("int").alias("bucket"))
     cut = c.stored(cut, "bucketed")
     needed = cut.select("bucket", F.explode(F.array("a", "b")).alias("_rid")).groupBy("_rid").agg(F.collect_set("bucket").alias("buckets"))
-    sets = text_rows.join(_sized(c.stored(needed, "needed"), "buckets"), "_rid").select("_rid", "_text", "buckets").mapInArrow(_packed, "place int, _rid bigint, size bigint, packed binary")
+    sets = text_rows.join(c.sized(c.stored(needed, "needed"), "buckets"), "_rid").select("_rid", "_text", "buckets").mapInArrow(_packed, "place int, _rid bigint, size bigint, packed binary")
     found = cut.groupBy("bucket").cogroup(sets.groupBy("place")).applyInArrow(_verify(n, theta), "a bigint, b bigint, jaccard double")
     return c.stored(found, "near")
 
 
-def _sized(df: DataFrame, array: str) -> DataFrame:
-    """``df`` with a broadcast hint if its rows and the entries of its arrays, counted now, are small."""
-    counted = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(array)).alias("entries")).first()
-    return F.broadcast(df) if counted["n"] * 48 + (counted["entries"] or 0) * 8 <= c.BROADCAST_BYTES else df
-
-
 def cells(text_rows: DataFrame, points: DataFrame, n: int, theta: float) -> DataFrame:
     """Voronoi cells of document pivots: ``(a, cell, far)`` of the ``points (a, m1, m2, m3)`` within reach of a centre, ``far`` in steps."""
     keys = F.array(*(F.xxhash64(F.lit(i), F.col(x), F.col(y)) for i, (x, y) in enumerate((("m1", "m2"), ("m1", "m3"), ("m2", "m3")))))

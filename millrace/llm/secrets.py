@@ -48,7 +48,7 @@ _ALPHABETS = {
 }
 _SETS = {name: frozenset(a) for name, a in _ALPHABETS.items()}
 _PLACES = {name: np.array([a.find(chr(i)) for i in range(128)]) for name, a in _ALPHABETS.items()}
-_SIMULATED = 3000
+_SIMULATED, _LONGEST = 3000, 1024
 _LOG_P_STEP = 0.05
 
 
@@ -154,6 +154,23 @@ class OrdinaryText:
                 p = min(p, math.exp(max(_log_tail(n, k, self._switch(kind)), -690.0)))
         return min(1.0, 2 * p)
 
+    def expected(self, encoding: str, length: int) -> tuple[float, float]:
+        """Mean and deviation of the statistic for any length.
+
+        Lengths below 64 are simulated as they are, others at powers of 2 with straight lines between them.  Beyond
+        the longest simulated strings the sum of the logarithms grows with the length, until all three p-values are at
+        their floor, and the deviation, which then only shrinks, is kept.
+        """
+        if length < 64:
+            return self.fitted(encoding, length)
+        if length >= _LONGEST:
+            mean, deviation = self.fitted(encoding, _LONGEST)
+            return -math.log1p(min(math.expm1(-mean) * length / _LONGEST, -3 * math.log(1e-300))), deviation
+        low = 1 << (length.bit_length() - 1)
+        part = math.log2(length / low)
+        a, b = self.fitted(encoding, low), self.fitted(encoding, 2 * low)
+        return a[0] + part * (b[0] - a[0]), a[1] + part * (b[1] - a[1])
+
     @lru_cache(maxsize=None)
     def fitted(self, encoding: str, length: int) -> tuple[float, float]:
         """Mean and deviation of the statistic over simulated strings."""
@@ -178,8 +195,7 @@ class OrdinaryText:
     def p_value(self, encoding: str, s: str, statistic: float) -> float:
         """Fisher's combination: ordinary text would stay in the alphabet, change classes as often, and look as random."""
         length = len(s)
-        simulated = length if length < 64 else min(64 << int(math.log2(length / 64)), 1024)
-        mean, deviation = self.fitted(encoding, simulated)
+        mean, deviation = self.expected(encoding, length)
         x = math.log(_heavy_sf((statistic - mean) / deviation)) + max((length - 1) * self.log_stay(encoding), -600.0) + math.log(max(self.class_runs(s), 1e-30))
         return min(1.0, max(math.exp(max(x, -690.0)) * (1 - x + x * x / 2), 1e-300))
 
@@ -227,7 +243,8 @@ def _candidates(pairs_b):
 
 
 def _length_class(length: Column) -> Column:
-    return F.least(F.floor(F.log2(length) * 2), F.lit(16)).cast("int")
+    """Two classes for every doubling."""
+    return F.floor(F.log2(length) * 2).cast("int")
 
 
 def find_secrets(rows: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -239,7 +256,7 @@ def find_secrets(rows: DataFrame, fdr: float = FDR) -> DataFrame:
     pairs_b = rows.sparkSession.sparkContext.broadcast(pairs.reshape(128, 128))
     tested = c.stored(rows.select("_rid", "_text").mapInArrow(_candidates(pairs_b), _FOUND), "tested")
     tested = tested.withColumn("class", _length_class(F.col("length"))).withColumn("step", F.floor(F.log10("p_value") / _LOG_P_STEP).cast("int"))
-    counts = tested.select("class", "step", "string").distinct().groupBy("class", "step").agg(F.count(F.lit(1)).alias("n"))  # at most 17 classes x 6,000 steps
+    counts = tested.select("class", "step", "string").distinct().groupBy("class", "step").agg(F.count(F.lit(1)).alias("n"))  # at most 62 classes x 6,000 steps
     so_far = F.sum("n").over(Window.partitionBy("class").orderBy("step"))
     tests = F.sum("n").over(Window.partitionBy("class"))
     q = F.least(F.lit(1.0), F.pow(F.lit(10.0), (F.col("step") + 1) * _LOG_P_STEP) * tests / so_far)
@@ -260,7 +277,7 @@ def redact(df: DataFrame, mask: str = "[SECRET]", fdr: float = FDR, id_col: str
     """``df`` with every secret replaced by ``mask``; where that changes a text, ``length_col`` (if there is one) is counted anew."""
     tagged, rows, _ = c.with_row_ids(df, id_col, text_col)
     spans = find_secrets(rows, fdr).groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("start", "length")), asc=False).alias("_spans"))
-    spans = c.small(c.stored(spans, "spans"), 256)
+    spans = c.sized(c.stored(spans, "spans"), "_spans")
     text = c.place(df, text_col)
     clean = F.aggregate(
         "_spans", F.col(text).cast("string"),

@@ -10,20 +10,25 @@ hashed), written range-partitioned and sorted.  The family holds arrays by level
 merge-scanned against every array in it for suffixes that begin alike, and is then added: two arrays
 of one level merge into one of the next, so that there are at most log2(batches) arrays and each
 suffix is rewritten as often.  An array keeps the earliest suffix of those that begin alike, so what
-thousands of documents share is one entry.
+thousands of documents share is one entry.  ``SuffixIndex.save`` and ``load`` carry a family over to
+another session, where later batches are added.
 
-Around the suffixes that met, all stretches of ``min_words`` words are compared; every one that
+Around the suffixes that met, all stretches of ``min_words`` words are compared by 64-bit hashes; every one that
 an earlier document has is a repeat, repeats in a row are joined, and each is reported with the
-place of its earliest copy.  The rows are in number linear in the repeats.
+place of its earliest copy.  The rows are in number linear in the repeats.  A stretch's anchor is the suffix
+in it that is sampled for its content alone; stretches whose anchor begins more than ``HOT`` suffixes
+(license lines, boilerplate) are aggregated before they are shuffled and get their earliest copy by a join,
+so that no group of equal stretches that comes to one task is larger than that.
 
 Defined cases: null and short texts (under ``min_words`` words) repeat nothing; case, punctuation and
 white space don't count, only words do; what a document repeats of itself alone is no repeat; rows
-that repeat an id are documents of their own; the earliest document is that of the least id; offsets
-are 0-based and count words.
+that repeat an id are documents of their own; the earliest document is that of the least id, in the order of
+ids of any type, null last; offsets are 0-based and count words; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,8 @@ from pyspark.sql.window import Window
 from millrace.llm import common as c
 
 MIN_WORDS, KEY_WORDS, BATCHES = 50, 18, 4
+#: Suffixes that begin alike, beyond which what they hold is aggregated before the shuffle.
+HOT = 100_000
 _ENTRY = "key bigint, _rid bigint, pos int"
 
 
@@ -88,13 +95,13 @@ class SuffixIndex:
 
     @staticmethod
     def _array(suffixes: DataFrame) -> DataFrame:
-        """Sorted, with the earliest of the suffixes that begin alike; ``docs`` tells one document from more."""
-        first = suffixes.groupBy("key").agg(F.min("_rid").alias("_rid"), F.max("last").alias("last"))
+        """Sorted, with the earliest of the suffixes that begin alike, the last document that has one, and their number."""
+        first = suffixes.groupBy("key").agg(F.min("_rid").alias("_rid"), F.max("last").alias("last"), F.sum("n").alias("n"))
         return c.stored(first.repartitionByRange("key").sortWithinPartitions("key"), "array")
 
     def add(self, suffixes: DataFrame) -> DataFrame:
         """Merge-scan a batch against the family, then add it.  Returns the keys that more than one document now has and that this batch brought."""
-        mine = self._array(suffixes.select("key", "_rid", F.col("_rid").alias("last")))
+        mine = self._array(suffixes.select("key", "_rid", F.col("_rid").alias("last"), F.lit(1).cast("bigint").alias("n")))
         met = mine.where("_rid <> last").select("key")
         for array in self.levels.values():
             met = met.unionByName(mine.select("key", F.col("_rid").alias("r")).join(array.select("key", F.col("_rid").alias("s")).hint("merge"), "key").where("r <> s").select("key"))
@@ -106,17 +113,42 @@ class SuffixIndex:
         self.levels[level] = mine
         return met
 
+    def hot(self, most: int) -> DataFrame:
+        """Keys that begin more than ``most`` suffixes of the family."""
+        every = None
+        for array in self.levels.values():
+            part = array.select("key", "n")
+            every = part if every is None else every.unionByName(part)
+        return every.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("key")
+
+    def save(self, folder: str) -> None:
+        """Write the family below ``folder``; what a save was interrupted in isn't read, as levels are listed last."""
+        version = uuid.uuid4().hex
+        for level, array in self.levels.items():
+            array.write.parquet(f"{folder}/{version}/{level}")
+        listed = [(self.min_words, self.key_words, version, level) for level in self.levels]
+        self.spark.createDataFrame(listed, "min_words int, key_words int, version string, level int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/levels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> SuffixIndex:
+        listed = spark.read.parquet(f"{folder}/levels").collect()
+        index = cls(spark, *(listed[0][:2] if listed else ()))
+        index.levels = {r["level"]: spark.read.parquet(f"{folder}/{r['version']}/{r['level']}") for r in listed}
+        return index
+
 
-_STRETCH = "key bigint, _rid bigint, pos int"
+_STRETCH = "key bigint, _rid bigint, pos int, hot boolean"
 
 
-def _stretches(min_words: int, key_words: int):
-    """All stretches of ``min_words`` words that hold a suffix that met, by hash."""
+def _stretches(min_words: int, key_words: int, hot_b):
+    """All stretches of ``min_words`` words that hold a suffix that met, by hash; ``hot`` if the anchor is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_keys = hot_b.value
         for batch in c.slices(batches, "_text"):
             codes, offsets, words = c.split_words(batch.column("_text"))
-            hashes = c.Rolling(c.hash_words(words)[codes]).runs(min_words)
+            rolling = c.Rolling(c.hash_words(words)[codes])
+            hashes = rolling.runs(min_words)
             places = batch.column("places")
             doc = np.repeat(np.arange(batch.num_rows), np.diff(c.ints(places.offsets)))
             pos = c.ints(places.flatten()).astype(np.int64)
@@ -128,12 +160,16 @@ def _stretches(min_words: int, key_words: int):
             np.add.at(marks, (offsets[doc] + high + 1)[ok], -1)
             at = np.nonzero(np.cumsum(marks)[: len(hashes)] > 0)[0]
             owner = np.searchsorted(offsets, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), batch.column("_rid").take(pa.array(owner)), pa.array((at - offsets[owner]).astype(np.int32))], ["key", "_rid", "pos"])
+            hot = np.zeros(len(at), bool)
+            if len(hot_keys) and len(at):
+                anchors = _sliding(rolling.runs(key_words), min_words - key_words + 1, np.minimum)[at].view(np.int64)
+                hot = hot_keys[np.minimum(np.searchsorted(hot_keys, anchors), len(hot_keys) - 1)] == anchors
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), batch.column("_rid").take(pa.array(owner)), pa.array((at - offsets[owner]).astype(np.int32)), pa.array(hot)], ["key", "_rid", "pos", "hot"])
 
     return run
 
 
-def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_WORDS, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_WORDS, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``(doc_id, start, n_words, source_id, source_start)``: every passage of at least ``min_words`` words that an earlier document has too."""
     spark = df.sparkSession
     _, rows, unique = c.with_row_ids(df, id_col, text_col)
@@ -144,11 +180,16 @@ def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, key_words: int
         keys = index.add(everything.where(F.col("batch") == k).drop("batch"))
         met = keys if met is None else met.unionByName(keys)
     places = everything.join(c.small(c.stored(met.distinct(), "keys"), 16), "key", "left_semi").groupBy("_rid").agg(F.collect_list("pos").alias("places"))
-    texts = rows.select("_rid", "_text").join(c.small(c.stored(places, "places"), 160), "_rid").select("_rid", "_text", "places")
-    stretches = texts.mapInArrow(_stretches(min_words, key_words), _STRETCH)
+    texts = rows.select("_rid", "_text").join(c.sized(c.stored(places, "places"), "places"), "_rid").select("_rid", "_text", "places")
+    hot_keys = np.sort(np.array([r["key"] for r in index.hot(hot).collect()], np.int64))  # at most one for every ``hot`` suffixes
+    stretches = texts.mapInArrow(_stretches(min_words, key_words, spark.sparkContext.broadcast(hot_keys)), _STRETCH)
     shared = Window.partitionBy("key")
-    first = F.min(F.struct("_rid", "pos")).over(shared)
-    repeats = stretches.withColumn("first", first).where("_rid <> first._rid").select("_rid", "pos", F.col("first._rid").alias("source"), (F.col("first.pos") - F.col("pos")).alias("shift"))
+    firsts = stretches.where("not hot").withColumn("first", F.min(F.struct("_rid", "pos")).over(shared))
+    if len(hot_keys):
+        often = stretches.where("hot").select("key", "_rid", "pos")
+        least = c.small(c.stored(often.groupBy("key").agg(F.min(F.struct("_rid", "pos")).alias("first")), "firsts"), 40)
+        firsts = firsts.select("key", "_rid", "pos", "first").unionByName(often.join(least, "key").select("key", "_rid", "pos", "first"))
+    repeats = firsts.where("_rid <> first._rid").select("_rid", "pos", F.col("first._rid").alias("source"), (F.col("first.pos") - F.col("pos")).alias("shift"))
     # stretches in a row with one source and one shift make a passage
     order = Window.partitionBy("_rid").orderBy("pos")
     new = F.when((F.col("pos") == F.lag("pos").over(order) + 1) & (F.col("source") == F.lag("source").over(order)) & (F.col("shift") == F.lag("shift").over(order)), 0).otherwise(1)

@@ -3,11 +3,13 @@
 Features are the words of a document, its word pairs and its pairs with one word skipped, hashed
 into 2**20 places; a feature counts once per document.  Training is FTRL-proximal with a learning
 rate per coordinate and L1, on a bounded number of labelled documents (``per_class``, a parameter);
-the few weights that are not zero are broadcast, and every document of the corpus is scored whole.
+one task trains, the few weights that are not zero are broadcast, and every document of the corpus is scored
+whole.
 
 Defined cases: null texts and texts without words score the bias alone and are not toxic unless
 the training documents mostly were; a text with one word has one feature; repeated rows are scored
-alike; labels that are null or without a document are not trained on; without any labelled
+alike; labels that are null or without a document are not trained on, and a document that is toxic by one of its
+labels is toxic; without any labelled
 document nothing is toxic.
 """
 
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +58,7 @@ def train(examples: list[np.ndarray], labels: np.ndarray, passes: int = PASSES)
     order = np.random.default_rng(7)
     for _ in range(passes):
         for i in order.permutation(len(examples)):
-            at = np.append(examples[i], bias)
+            at = np.append(examples[i], np.int32(bias))
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
@@ -85,16 +88,25 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         chosen = some if chosen is None else chosen.unionByName(some)
     chosen = F.broadcast(c.stored(chosen, "labelled"))  # at most 2 * per_class rows
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(chosen, "_id").select("toxic", "_text", F.xxhash64("_id").alias("o"))
-    table = rows.select("toxic", "_text").mapInArrow(_example_rows, "toxic int, places array<int>").toArrow()
-    if not table.num_rows:
+    examples = rows.select("toxic", "_text").mapInArrow(_example_rows, "toxic int, places array<int>")
+    weights = c.stored(examples.repartition(1).mapInArrow(_fitted, "places binary, weights binary, bias double"), "weights").first()  # at most 2 * per_class examples in that task
+    if weights is None:
         return np.zeros(0, np.int64), np.zeros(0), -35.0
-    flat = table.column("places").combine_chunks()
-    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-    ends, values = c.ints(flat.offsets), c.ints(flat.values).astype(np.int64)
-    examples = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    order = sorted(range(len(examples)), key=lambda i: (len(examples[i]), examples[i].tobytes()))  # rows arrive in any order
-    y = c.ints(table.column("toxic").combine_chunks()).astype(np.float64)
-    return train([examples[i] for i in order], y[order])
+    return np.frombuffer(weights["places"], np.int64), np.frombuffer(weights["weights"], np.float64), weights["bias"]
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Train on all examples, in an order of their own, as rows arrive in any."""
+    found = []
+    for batch in batches:
+        ends, values = c.ints(batch.column("places").offsets), c.ints(batch.column("places").values)
+        found += [(values[a:b], y) for a, b, y in zip(ends[:-1], ends[1:], batch.column("toxic").to_pylist())]
+    if found:
+        found.sort(key=lambda x: (len(x[0]), xxhash.xxh3_128_digest(x[0].tobytes()), x[1]))
+        places, weights, bias = train([x for x, _ in found], np.array([y for _, y in found], np.float64))
+        del found
+        c.trim()
+        yield pa.RecordBatch.from_arrays([pa.array([places.tobytes()]), pa.array([weights.tobytes()]), pa.array([bias])], ["places", "weights", "bias"])
 
 
 def _scores(weights_b):

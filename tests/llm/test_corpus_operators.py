@@ -312,6 +312,83 @@ def test_class_runs_count_at_every_length(spark):
     assert {r.doc_id for r in secrets.scan(table(spark, [*values, "key " + secret])).collect()} == {300}
 
 
+def naive_battery(symbols, k):
+    """The three p-values, one symbol at a time."""
+    import math
+
+    n = len(symbols)
+    chi = sum((symbols.count(x) - n / k) ** 2 / (n / k) for x in range(k))
+    df = k - 1
+    z = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    high = [x >= k // 2 for x in symbols]
+    ones, zeros = sum(high), n - sum(high)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    both = 2 * ones * zeros
+    z_runs = abs(runs - both / n - 1) / math.sqrt(max(both * (both - n) / (n * n * (n - 1)), 0.25)) if both else math.sqrt(n)
+    mean = sum(symbols) / n
+    spread = sum((x - mean) ** 2 for x in symbols)
+    r = sum((a - mean) * (b - mean) for a, b in zip(symbols, symbols[1:])) / spread if spread else 1.0
+    return tail(z), min(1, 2 * tail(z_runs)), min(1, 2 * tail(abs(r + 1 / n) * math.sqrt(n)))
+
+
+def test_scan_against_brute_force(spark):
+    """Every candidate tested naively, then Benjamini-Hochberg by length class over distinct strings; ids repeat, one text is very long."""
+    import math
+    import re
+
+    rng = random.Random(31)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    values = []
+    for i in range(150):
+        t = prose(rng, 30) + " " + "".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 12)))
+        if i % 10 == 0:
+            t += " " + "".join(rng.choice(letters if i % 20 else "0123456789abcdef") for _ in range(rng.randrange(18, 60)))
+        values.append(t)
+    values += [values[0], prose(rng, 20_000) + " " + "".join(rng.choice(letters) for _ in range(3000)), None, ""]
+    ids = [7 if i < 3 else i for i in range(len(values))]
+    pairs = np.zeros((128, 128), np.int64)
+    for t in values:
+        for a, b in zip(t or "", (t or "")[1:]):
+            pairs[ord(a), ord(b)] += 1
+    ordinary = secrets.OrdinaryText(pairs)
+    tests, where = {}, []
+    for i, t in zip(ids, values):
+        for m in re.finditer(r"[A-Za-z0-9+/_\-]{16,}={0,2}", t or ""):
+            s = m.group().strip("-_/=")
+            kind = secrets.encoding_of(s)
+            if kind is None or len(s) < 16:
+                continue
+            alphabet = secrets._ALPHABETS[kind]
+            p = naive_battery([alphabet.index(x) for x in s], len(alphabet))
+            assert secrets.battery(np.array([[alphabet.index(x) for x in s]]), len(alphabet))[0] == pytest.approx(p, rel=1e-6, abs=1e-12)
+            value = ordinary.p_value(kind, s, -math.log1p(-sum(math.log(max(x, 1e-300)) for x in p)))
+            step = math.floor(math.log10(value) / 0.05)
+            tests[s] = math.floor(math.log2(len(s)) * 2), 10 ** ((step + 1) * 0.05)
+            where.append((i, m.start() + m.group().index(s) + 1, len(s), s))
+    found = set()
+    for k in {x for x, _ in tests.values()}:
+        ps = sorted((p, s) for s, (x, p) in tests.items() if x == k)
+        passed = [j for j, (p, _) in enumerate(ps, 1) if p * len(ps) / j <= 0.01 * (1 + 1e-9)]
+        limit = ps[passed[-1] - 1][0] if passed else 0
+        found |= {s for p, s in ps if p <= limit * (1 + 1e-9)}
+    rows = secrets.scan(table(spark, values, ids=ids)).collect()
+    assert sorted((r.doc_id, r.start, r.length) for r in rows) == sorted((i, a, n) for i, a, n, s in where if s in found)
+    assert len(found) >= 15
+
+
+def test_ordinary_text_is_expected_at_every_length():
+    """No length is taken for another: the mean of long ordinary strings goes on as their simulation does."""
+    pairs = np.zeros((128, 128), np.int64)
+    pairs[97:123, 97:123] = 10_000 // np.arange(1, 27) ** 2
+    ordinary = secrets.OrdinaryText(pairs)
+    means = [ordinary.expected("lower", n)[0] for n in (63, 64, 90, 128, 700, 1023, 1024, 5000, 10**6, 10**8)]
+    assert all(b < a + 0.01 for a, b in zip(means, means[1:])) and means[-1] < means[0] - 1
+    assert ordinary.expected("lower", 1023)[0] == pytest.approx(ordinary.expected("lower", 1024)[0], abs=0.01)
+    real = ordinary.fitted("lower", 3000)[0]
+    assert ordinary.expected("lower", 3000)[0] == pytest.approx(real, abs=0.1)
+
+
 # 6 n-gram join
 
 
@@ -494,6 +571,38 @@ def test_lm_tells_all_words_apart(spark):
     assert pairs and all(p[a] / p[b] == pytest.approx(count[a] / count[b], rel=1e-3) for a, b in pairs)
 
 
+@pytest.mark.parametrize("listed", [2_000_000, 60])
+def test_lm_scores_against_a_naive_softmax(spark, monkeypatch, listed):
+    """Every word's score from the parameters, one exponential at a time; also where the table of words is cut to a size."""
+    import math
+
+    monkeypatch.setattr(lm_scoring, "LISTED", listed)
+    rng = random.Random(19)
+    names = [f"{w}{x}" for w in WORDS for x in range(12)]
+    values = [" ".join(rng.choices(names, [1 / (i + 1) for i in range(len(names))], k=rng.randrange(1, 40))) for _ in range(40)] + ["alpha0 unseen", None, ""]
+    count = defaultdict(int)
+    for w in " ".join(v for v in values if v).split():
+        count[w] += 1
+    vocabulary, m = lm_scoring.train(table(spark, values).selectExpr("text as _text"), size=16, width=4)
+    rows = {r.doc_id: r.token_log_probs for r in lm_scoring.score(table(spark, values), vocabulary, m).collect()}
+    classes = {w: int(vocabulary.find(pa.array([w]))[0][0]) for w in count}
+    total = defaultdict(int)
+    for w, n in count.items():
+        total[classes[w]] += n
+    within = {w: math.exp(vocabulary.find(pa.array([w]))[1][0]) for w in count}
+    if listed > len(count):
+        assert within == pytest.approx({w: n / total[classes[w]] for w, n in count.items()}, rel=1e-5)
+    for k in total:
+        assert sum(within[w] for w in count if classes[w] == k) == pytest.approx(1, rel=1e-5)
+    for i, t in enumerate(values):
+        before = [1, 1]
+        for w, score in zip((t or "").split(), rows[i] or []):
+            q = [float(x + y) for x, y in zip(m.two[before[-2]], m.one[before[-1]])]
+            s = [sum(x * float(y) for x, y in zip(q, v)) + float(b) for v, b in zip(m.target, m.bias)]
+            assert score == pytest.approx(s[classes[w]] - math.log(sum(map(math.exp, s))) + math.log(within[w]), abs=1e-3)
+            before = [before[-1], int(vocabulary.context[classes[w]])]
+
+
 # 8 repeated passages
 
 
@@ -513,14 +622,15 @@ def brute_passages(values, k):
     return sorted(map(tuple, out))
 
 
-@pytest.mark.parametrize(("k", "key"), [(50, 18), (20, 8), (3, 3)])
-def test_passages_are_exact(spark, k, key):
+@pytest.mark.parametrize(("k", "key", "hot"), [(50, 18, 100_000), (20, 8, 2), (3, 3, 1)])
+def test_passages_are_exact(spark, k, key, hot):
+    """Also where what many documents share is aggregated before the shuffle."""
     values = texts()
-    rows = suffix_dedup.repeated_passages(table(spark, values, extra=True), min_words=k, key_words=key).collect()
+    rows = suffix_dedup.repeated_passages(table(spark, values, extra=True), min_words=k, key_words=key, hot=hot).collect()
     assert sorted((r.doc_id, r.start, r.n_words, r.source_id, r.source_start) for r in rows) == brute_passages(values, k)
 
 
-def test_passages_in_batches(spark):
+def test_passages_in_batches(spark, tmp_path):
     index = suffix_dedup.SuffixIndex(spark)
     rng = random.Random(8)
     t = prose(rng, 90)
@@ -530,6 +640,12 @@ def test_passages_in_batches(spark):
         brought.append(index.add(index.suffixes(rows)).count())
     assert [n > 0 for n in brought] == [False, False, False, False, True]
     assert sorted(index.levels) == [0, 2]
+    index.save(str(tmp_path / "family"))
+    again = suffix_dedup.SuffixIndex.load(spark, str(tmp_path / "family"))
+    rows = spark.createDataFrame([(9, t), (10, prose(rng, 90))], "_rid bigint, _text string")
+    assert again.add(again.suffixes(rows)).count() == brought[4] and sorted(again.levels) == [1, 2]
+    again.save(str(tmp_path / "family"))
+    assert sorted(suffix_dedup.SuffixIndex.load(spark, str(tmp_path / "family")).levels) == [1, 2]
     assert suffix_dedup.repeated_passages(table(spark, [])).count() == 0
 
 
@@ -602,6 +718,36 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(table(spark, []), model).count() == 0
 
 
+def test_training_against_a_naive_one():
+    """FTRL-proximal one coordinate at a time, in the same order."""
+    import math
+
+    rng = np.random.default_rng(8)
+    examples = [np.unique(rng.integers(0, 300, rng.integers(1, 40))) for _ in range(80)]
+    labels = np.array([float(17 in e or 4 in e) for e in examples])
+    places, weights, bias = toxicity.train(examples, labels, passes=3)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        shrink = 0 if i == "bias" else toxicity.L1
+        if abs(z[i]) <= shrink:
+            return 0.0
+        return -(z[i] - math.copysign(shrink, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for e in order.permutation(len(examples)):
+            at = [*examples[e].tolist(), "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[e]
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    naive = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert dict(zip(places.tolist(), weights)) == pytest.approx(naive, rel=1e-6)
+    assert bias == pytest.approx(weight("bias"), rel=1e-6)
+
+
 def test_training_does_not_depend_on_partitions(spark):
     df = table(spark, texts())
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
