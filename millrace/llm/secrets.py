@@ -71,14 +71,21 @@ def _heavy_sf(t: float) -> float:
     return upper if t < 30 else 6 / t**4
 
 
+def _uniformity(symbols: np.ndarray, k: int) -> np.ndarray:
+    """Chi-squared over its degrees of freedom of each row."""
+    m, n = symbols.shape
+    counts = np.bincount((symbols + np.arange(m)[:, None] * k).ravel(), minlength=m * k).reshape(m, k)
+    return ((counts - n / k) ** 2).sum(1) / (n / k) / (k - 1)
+
+
+def _wilson_hilferty(ratio, df: int):
+    return (ratio ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+
+
 def battery(symbols: np.ndarray, k: int) -> np.ndarray:
     """p-values (chi-squared, runs, serial correlation) of each row of ``symbols``, numbers below ``k``; rows have one length."""
     m, n = symbols.shape
-    counts = np.bincount((symbols + np.arange(m)[:, None] * k).ravel(), minlength=m * k).reshape(m, k)
-    expected = n / k
-    chi = ((counts - expected) ** 2).sum(1) / expected
-    df = k - 1
-    z_chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    z_chi = _wilson_hilferty(_uniformity(symbols, k), k - 1)
     high = symbols >= k // 2
     ones = high.sum(1)
     zeros = n - ones
@@ -158,22 +165,27 @@ class OrdinaryText:
         """Mean and deviation of the statistic for any length.
 
         Lengths below 64 are simulated as they are, others at powers of 2 with straight lines between them.  Beyond
-        the longest simulated strings the sum of the logarithms grows with the length, until all three p-values are at
-        their floor, and the deviation, which then only shrinks, is kept.
+        the longest simulated strings chi-squared goes on with the length, as does what the other tests' logarithms have
+        above those of random strings (1), until a p-value is at its floor; the deviation, which then only shrinks, is kept.
         """
         if length < 64:
-            return self.fitted(encoding, length)
+            return self.fitted(encoding, length)[:2]
         if length >= _LONGEST:
-            mean, deviation = self.fitted(encoding, _LONGEST)
-            return -math.log1p(min(math.expm1(-mean) * length / _LONGEST, -3 * math.log(1e-300))), deviation
+            mean, deviation, logs, ratio = self.fitted(encoding, _LONGEST)
+            df, times = len(_ALPHABETS[encoding]) - 1, length / _LONGEST
+            longer = np.maximum(logs, 1 + (logs - 1) * times)
+            here, there = (math.log(max(float(_normal_sf(_wilson_hilferty(x, df))[0]), 1e-300)) for x in (ratio, 1 + max(ratio - 1, 0.0) * times))
+            longer[0] = logs[0] + max(here - there, 0.0)
+            longer = np.minimum(longer, -math.log(1e-300))
+            return mean + math.log1p(logs.sum()) - math.log1p(max(longer.sum(), logs.sum())), deviation
         low = 1 << (length.bit_length() - 1)
         part = math.log2(length / low)
         a, b = self.fitted(encoding, low), self.fitted(encoding, 2 * low)
         return a[0] + part * (b[0] - a[0]), a[1] + part * (b[1] - a[1])
 
     @lru_cache(maxsize=None)
-    def fitted(self, encoding: str, length: int) -> tuple[float, float]:
-        """Mean and deviation of the statistic over simulated strings."""
+    def fitted(self, encoding: str, length: int) -> tuple[float, float, np.ndarray, float]:
+        """Over simulated strings mean and deviation of the statistic, the mean negative logarithm of each test's p-value, and mean chi-squared by degrees of freedom."""
         alphabet = _ALPHABETS[encoding]
         at = np.frombuffer(alphabet.encode(), np.uint8).astype(int)
         lower = _FOLD[at]
@@ -189,8 +201,9 @@ class OrdinaryText:
         for i in range(1, length):
             state = np.minimum((steps[state] < u[i][:, None]).sum(1), len(at) - 1)
             rows[:, i] = state
-        t = _statistic(battery(rows, len(at)))
-        return float(t.mean()), float(max(t.std(), 0.1))
+        p = battery(rows, len(at))
+        t = _statistic(p)
+        return float(t.mean()), float(max(t.std(), 0.1)), -np.log(np.maximum(p, 1e-300)).mean(0), float(_uniformity(rows, len(at)).mean())
 
     def p_value(self, encoding: str, s: str, statistic: float) -> float:
         """Fisher's combination: ordinary text would stay in the alphabet, change classes as often, and look as random."""
