@@ -42,7 +42,7 @@ class Engine:
         system.rename(jvm.org.apache.hadoop.fs.Path(new), target)
 
     def store(self) -> DataFrame:
-        return self._table("store", "chunk_key string, chunk_id bigint, content string, source string, doc_type string, embedding array<double>")
+        return self._table("store", "chunk_id string, content string, source string, doc_type string, embedding array<double>")
 
     def state(self) -> DataFrame:
         return self._table("state", "source string, hash string, doc_type string")
@@ -87,7 +87,7 @@ class Engine:
         c, e = self.config.chunking, self.config.embedding
         chunks = ingest.ingest_chunks(docs, c.strategy, c.max_chunk_size, c.overlap)
         kinds = docs.groupBy("source").agg(F.max("doc_type").alias("doc_type"))
-        rows = chunks.join(kinds, "source").select(F.col("chunk_id").alias("chunk_key"), F.xxhash64("chunk_id").alias("chunk_id"), "content", "source", "doc_type")
+        rows = chunks.join(kinds, "source").select("chunk_id", "content", "source", "doc_type")
         vectors = embed.embed(rows, "content", self._embedder(remote), e.batch_size)
         self._replace("store", ingest.replace_source(self.store(), vectors))
         self._spent("embedding", estimated_tokens(F.col("content")), rows, as_of, e.model)
@@ -114,7 +114,7 @@ class Engine:
         self._budget(as_of)
         variants = rewrite.expand(F.col("query")) if expand else F.array("query")
         asked = queries.select("query_id", F.posexplode(variants).alias("variant", "query"))
-        asked = asked.withColumn("variant_id", F.xxhash64("query_id", "variant"))
+        asked = asked.withColumn("variant_id", F.concat_ws("|", "variant", "query_id"))
         vectors = embed.embed(asked, "query", self._embedder(remote), self.config.embedding.batch_size)
         store = self.store() if where is None else self.store().where(where)
         text = store.select("chunk_id", "content", "source")
@@ -143,8 +143,8 @@ class Engine:
 
     def evaluate(self, golden_path: str, as_of: str, k: int = 0) -> DataFrame:
         k = k or self.config.quality.evaluation.get("k") or self.config.retrieval.top_k
-        golden = documents.scan_golden(self.spark, golden_path).withColumn("query_id", F.xxhash64("query"))
-        relevant = golden.select("query_id", F.explode("relevant_ids").alias("chunk_key")).join(self.store().select("chunk_key", "chunk_id"), "chunk_key")
+        golden = documents.scan_golden(self.spark, golden_path).withColumn("query_id", F.col("query"))
+        relevant = golden.select("query_id", F.explode("relevant_ids").alias("chunk_id")).join(self.store().select("chunk_id"), "chunk_id")
         return evaluate.evaluate_run(self.query(golden.select("query_id", "query").distinct(), as_of, k), relevant.select("query_id", "chunk_id"), k)
 
     def cost_report(self, as_of: str) -> DataFrame:

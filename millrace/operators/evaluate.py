@@ -55,11 +55,16 @@ def answer_relevancy(query: Column, answer: Column) -> Column:
 
 
 def evaluate_queries(results: DataFrame, golden: DataFrame, k: int) -> DataFrame:
-    """All metrics per query, with binary relevance."""
-    binary = golden.select("query_id", "chunk_id").distinct().withColumn("relevance", F.lit(1))
-    return (
-        precision_at_k(results, golden, k).join(recall_at_k(results, golden, k), "query_id").join(reciprocal_rank(results, golden), "query_id")
-        .join(ndcg_at_k(results, binary, k), "query_id", "left").withColumn("ndcg", F.coalesce("ndcg", F.lit(0.0)))
+    """All metrics per query, with binary relevance; the results are read and grouped once."""
+    rows = hits(results, golden).withColumn("ideal", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hit"), "rank")))
+    gain = lambda place: F.sum(F.when(F.col(place) <= k, F.col("hit") / F.log2(F.col(place) + 1.0)).otherwise(0.0))
+    found = rows.groupBy("query_id").agg(
+        F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias("n"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), gain("rank").alias("dcg"), gain("ideal").alias("best")
+    )
+    n = F.coalesce("n", F.lit(0))
+    return _queries(golden).join(found, "query_id", "left").select(
+        "query_id", (F.lit(0.0) if k <= 0 else n / F.lit(float(k))).alias("precision"), (n / F.col("relevant").cast("double")).alias("recall"),
+        F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("mrr"), F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).otherwise(0.0).alias("ndcg"),
     )
 
 

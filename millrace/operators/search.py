@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,51 +25,87 @@ BROADCAST_BYTES = 32 << 20
 DIGITS = 9
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low in range(0, batch.num_rows, BLOCK_ROWS):
-            part = batch.slice(low, BLOCK_ROWS)
-            vectors = part.column("v")
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            matrix = flat.reshape(part.num_rows, -1) if part.num_rows else flat.reshape(0, 0)
-            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-            matrix = np.divide(matrix, norms, out=matrix, where=norms > 0)
-            yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy(zero_copy_only=False).astype("<i8").tobytes()]), pa.array([matrix.tobytes()])], ["ids", "data"])
+def _blocks(kind: str):
+    """Blocks of unit vectors of one length: ids, length, matrix.  A null entry counts as 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+            for width in np.unique(lengths).tolist():
+                mine = batch.filter(pa.array(lengths == width))
+                for low in range(0, mine.num_rows, BLOCK_ROWS):
+                    part = mine.slice(low, BLOCK_ROWS)
+                    flat = pc.fill_null(part.column("v").flatten().cast(pa.float64()), 0.0)
+                    matrix = flat.to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
+                    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+                    matrix = np.divide(matrix, norms, out=matrix.copy(), where=norms > 0)
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([width], pa.int32()), pa.array([matrix.tobytes()])], ["ids", "width", "data"])
+
+    return run, f"ids array<{kind}>, width int, data binary"
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``k`` columns of every row by score, ties by id."""
+    order = np.argsort(ids, axis=1, kind="stable")
+    scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
 def _block_topk(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple] = {}
+        kinds = None
         for batch in batches:
-            for qi, qd, si, sd in zip(*(batch.column(n).to_pylist() for n in ("q_ids", "q_data", "s_ids", "s_data"))):
-                q_ids, s_ids = np.frombuffer(qi, "<i8"), np.frombuffer(si, "<i8")
-                if not len(q_ids) or not len(s_ids):
-                    continue
-                scores = np.round(np.frombuffer(qd).reshape(len(q_ids), -1) @ np.frombuffer(sd).reshape(len(s_ids), -1).T, DIGITS)
+            q_no, q_width, s_width = (batch.column(n).to_pylist() for n in ("q_no", "q_width", "s_width"))
+            kinds = batch.column("q_ids").type.value_type, batch.column("s_ids").type.value_type
+            for i, no in enumerate(q_no):
+                q_ids, s_ids = batch.column("q_ids")[i].values, batch.column("s_ids")[i].values.to_numpy(zero_copy_only=False)
+                q = np.frombuffer(batch.column("q_data")[i].as_buffer()).reshape(len(q_ids), q_width[i])
+                s = np.frombuffer(batch.column("s_data")[i].as_buffer()).reshape(len(s_ids), s_width[i])
+                common = min(q_width[i], s_width[i])
                 order = np.argsort(s_ids, kind="stable")
-                best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-                row = np.repeat(np.arange(len(q_ids)), best.shape[1])
-                best = best.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(s_ids[best]), pa.array(scores[row, best])], ["query_id", "chunk_id", "score"])
+                scores = np.round(q[:, :common] @ s[:, :common].T, DIGITS)[:, order]
+                at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(scores, at, 1), s_ids[order][at]
+                if no in found:
+                    best = _best(*(np.hstack(x) for x in zip(found[no][1:], best)), k)
+                found[no] = q_ids, *best
+        for q_ids, scores, ids in found.values():
+            row = pa.array(np.repeat(np.arange(len(q_ids)), scores.shape[1]))
+            yield pa.RecordBatch.from_arrays([q_ids.take(row), pa.array(ids.ravel(), kinds[1]), pa.array(scores.ravel())], ["query_id", "chunk_id", "score"])
 
     return run
 
 
+def _id(rows: DataFrame, name: str) -> Column:
+    return F.col(name).cast("bigint") if rows.schema[name].dataType.typeName() in ("byte", "short", "integer") else F.col(name)
+
+
 def vector_search(store: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None) -> DataFrame:
     """The ``k`` store vectors with the highest cosine for every query: ``(query_id, rank, chunk_id, score)``.
 
     ``store (chunk_id, embedding, ...)`` is filtered by ``where`` before scoring.  Both sides are cut into
-    blocks, each pair of blocks is one matrix product that keeps k candidates per query, and a window ranks
-    those.  Scores are rounded to 9 digits and ties go to the smaller id.
+    blocks, each pair of blocks is one matrix product, a task keeps the k best of all its blocks for every
+    query, and a window ranks those.  Scores are rounded to 9 digits and ties go to the smaller id.
+
+    Ids are of any type that has an order.  Vectors of different lengths are multiplied over their common length,
+    each divided by its own norm; a null entry counts as 0; rows without id or vector are not searched.
     """
     if where is not None:
         store = store.where(where)
-    s = store.where(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("bigint").alias("id"), F.col("embedding").alias("v"))
-    q = queries.where(F.col("embedding").isNotNull()).select(F.col("query_id").cast("bigint").alias("id"), F.col("embedding").alias("v"))
-    size = q.agg(F.sum(F.size("v") * 8 + 8)).first()[0] or 0
-    qb = q.mapInArrow(_blocks, "ids binary, data binary").toDF("q_ids", "q_data")
-    sb = s.mapInArrow(_blocks, "ids binary, data binary").toDF("s_ids", "s_data")
+    sides = []
+    for rows, name in ((store, "chunk_id"), (queries, "query_id")):
+        there = rows.where(F.col("embedding").isNotNull() & F.col(name).isNotNull())
+        sides.append(there.select(_id(rows, name).alias("id"), F.col("embedding").cast("array<double>").alias("v")))
+    s, q = sides
+    s_kind, q_kind = (x.schema["id"].dataType.simpleString() for x in sides)
+    size = q.agg(F.sum(F.size("v") * 8 + 64)).first()[0] or 0
+    qb = q.mapInArrow(*_blocks(q_kind)).toDF("q_ids", "q_width", "q_data").withColumn("q_no", F.monotonically_increasing_id())
+    sb = s.mapInArrow(*_blocks(s_kind)).toDF("s_ids", "s_width", "s_data")
     pairs = sb.crossJoin(F.broadcast(qb) if size <= BROADCAST_BYTES else qb)
-    found = pairs.mapInArrow(_block_topk(k), "query_id bigint, chunk_id bigint, score double")
+    found = pairs.mapInArrow(_block_topk(k), f"query_id {q_kind}, chunk_id {s_kind}, score double")
     return top_k(found, k, F.desc("score"), F.col("chunk_id")).select("query_id", "rank", "chunk_id", "score")
 
 
@@ -100,28 +137,31 @@ def average_length(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("query_id").agg(F.avg(F.size(tokens(F.col("content")))).alias("avg_length"))
 
 
-def bm25(candidates: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """``(query_id, chunk_id, bm25)``: keyword score in [0, 1] with the statistics of the query's candidates.
-
-    ``candidates (query_id, chunk_id, content)``, ``queries (query_id, query)``.  A term that a query repeats
-    counts as often; without a common term the score is 0.
-    """
+def _with_bm25(candidates: DataFrame, queries: DataFrame, k1: float, b: float, *keep: str) -> DataFrame:
+    """``(query_id, chunk_id, *keep, bm25)``; the candidates are read once, ``keep`` and what is counted travel with their terms."""
     per_query = Window.partitionBy("query_id")
-    sized = candidates.select("query_id", "chunk_id", F.size(tokens(F.col("content"))).alias("length"))
+    row = ["query_id", "chunk_id", *keep, "length", "avg_length", "n"]
+    sized = candidates.select("query_id", "chunk_id", *keep, tokens(F.col("content")).alias("terms")).withColumn("length", F.size("terms"))
     sized = sized.select("*", F.avg("length").over(per_query).alias("avg_length"), F.count(F.lit(1)).over(per_query).alias("n"))
-    wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("repeats"))
-    tf = term_frequencies(candidates, "query_id", "chunk_id").join(wanted, ["query_id", "term"])
+    tf = sized.select(*row, F.explode_outer("terms").alias("term")).groupBy(*row, "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("query_id", "term")))
+    asked = queries.select("query_id", tokens(F.col("query")).alias("terms"))
+    wanted = asked.select("query_id", F.size("terms").alias("q"), F.explode("terms").alias("term")).groupBy("query_id", "term", "q").agg(F.count(F.lit(1)).alias("repeats"))
     n, df, f = F.col("n"), F.col("df"), F.col("tf")
     idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
     part = F.col("repeats") * idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    sums = tf.join(sized, ["query_id", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("raw"))
-    sizes = queries.select("query_id", F.size(tokens(F.col("query"))).alias("q"))
-    best = F.col("q") * F.log(F.col("n") + 1.0) * (k1 + 1)
-    return (
-        sized.join(sums, ["query_id", "chunk_id"], "left").join(sizes, "query_id", "left")
-        .select("query_id", "chunk_id", F.when(F.col("raw").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("raw") / best)).alias("bm25"))
-    )
+    sums = tf.join(wanted, ["query_id", "term"], "left").groupBy(*row).agg(F.sum(part).alias("raw"), F.max("q").alias("q"))
+    best = F.col("q") * F.log(n + 1.0) * (k1 + 1)
+    return sums.select("query_id", "chunk_id", *keep, F.when(F.col("raw").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("raw") / best)).alias("bm25"))
+
+
+def bm25(candidates: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """``(query_id, chunk_id, bm25)``: keyword score in [0, 1] with the statistics of the query's candidates.
+
+    ``candidates (query_id, chunk_id, content)``, ``queries (query_id, query)``.  A term that a query repeats
+    counts as often; without a common term the score is 0.
+    """
+    return _with_bm25(candidates, queries, k1, b)
 
 
 def hybrid_rank(candidates: DataFrame, queries: DataFrame, k: int = 5, semantic: float = 0.7, keyword: float = 0.3) -> DataFrame:
@@ -129,7 +169,7 @@ def hybrid_rank(candidates: DataFrame, queries: DataFrame, k: int = 5, semantic:
 
     ``(query_id, rank, chunk_id, score)``; ties keep the candidates' order.  ``k`` of 0 means 5.
     """
-    scored = candidates.withColumnRenamed("rank", "before").join(bm25(candidates, queries), ["query_id", "chunk_id"])
+    scored = _with_bm25(candidates.withColumnRenamed("rank", "before"), queries, K1, B, "before", "score")
     score = F.round(F.lit(semantic) * clamp01(F.col("score")) + F.lit(keyword) * F.col("bm25"), 6)
     return top_k(scored.withColumn("score", score), k or 5, F.desc("score"), F.col("before")).select("query_id", "rank", "chunk_id", "score")
 

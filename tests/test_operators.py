@@ -48,6 +48,19 @@ def test_vector_search_is_exact(spark, monkeypatch, limit):
     assert {r.chunk_id for r in search.vector_search(s, queries, 50, F.col("chunk_id") < 10).collect()} == set(range(10))
 
 
+def test_vector_search_of_any_ids_and_lengths(spark):
+    s = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0, 0.0, 0.0]), ("d", [None, 3.0, 0.0]), ("e", []), ("f", None), (None, [1.0, 0.0])], "chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([("x", [1.0, 0.0, 0.0]), ("y", [0.0, 1.0])], "query_id string, embedding array<double>")
+    rows = search.vector_search(s, q, 10).collect()
+    assert {(r.query_id, r.rank): (r.chunk_id, r.score) for r in rows} == {
+        ("x", 1): ("a", 1.0), ("x", 2): ("b", 1.0), ("x", 3): ("c", 0.0), ("x", 4): ("d", 0.0), ("x", 5): ("e", 0.0),
+        ("y", 1): ("c", 1.0), ("y", 2): ("d", 1.0), ("y", 3): ("a", 0.0), ("y", 4): ("b", 0.0), ("y", 5): ("e", 0.0),
+    }
+    plan = search.hybrid_rank(search.vector_search(s, q, 4).join(s.withColumn("content", F.col("chunk_id")), "chunk_id"), q.withColumn("query", F.lit("a b")), 3)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
+    assert {r.chunk_id for r in plan.where("query_id = 'x'").collect()} == {"a", "b", "c"}
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 2.0, 9.0]), ([0.0, 0.0], [1.0])], "a array<double>, b array<double>")
     rows = df.select(l2_normalize(F.col("a")).alias("n"), dot(F.col("a"), F.col("b")).alias("d")).collect()
@@ -376,7 +389,7 @@ def test_engine(spark, tmp_path):
     policies = spark.createDataFrame([("t", ["s2"])], "tenant_id string, sources array<string>")
     assert {r.source for r in e.query_audited(asked, "t", "2024-01-03", policies).collect()} <= {"s2"}
     assert e.audit().count() == 2
-    key = e.store().where("source = 's1'").first().chunk_key
+    key = e.store().where("source = 's1'").first().chunk_id
     (tmp_path / "g.json").write_text(json.dumps([{"query": "short", "relevant_ids": [key]}]))
     assert e.evaluate(str(tmp_path / "g.json"), "2024-01-03").first().mrr == 1.0
     assert e.cost_report("2024-01-03").first().total == 0.0
