@@ -30,6 +30,7 @@ PER_CLASS, PASSES = 4_000, 12
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 8.0, 0.1
 THRESHOLD = 0.5
 
+_CODEC = pa.Codec("zstd", 3)
 _SALTS = c.mix(np.arange(11, 14, dtype=np.uint64))
 
 
@@ -69,14 +70,19 @@ def train(examples: list[np.ndarray], labels: np.ndarray, passes: int = PASSES)
     return kept, w[kept], float(weights(np.array([bias]))[0])
 
 
+_EXAMPLES = "toxic binary, sizes binary, steps binary, n_steps bigint, n bigint"
+
+
 def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The examples of each slice as one row of packed arrays: labels, numbers of places, and the differences of places that follow each other."""
     for batch in c.slices(batches, "_text"):
         codes, offsets, words = c.split_words(batch.column("_text"))
         place, doc = features(codes, offsets, c.hash_words(words))
         pairs = np.unique(doc << BITS | place)
         ends = np.searchsorted(pairs >> BITS, np.arange(batch.num_rows + 1))
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists], ["toxic", "places"])
+        steps = np.diff(pairs & ((1 << BITS) - 1), prepend=0).astype("<i4")
+        parts = c.ints(batch.column("toxic")).astype("<i4"), np.diff(ends).astype("<i4"), steps
+        yield pa.RecordBatch.from_arrays([pa.array([_CODEC.compress(x.tobytes(), asbytes=True)]) for x in parts] + [pa.array([len(steps)], pa.int64()), pa.array([batch.num_rows], pa.int64())], _EXAMPLES.replace(" binary", "").replace(" bigint", "").split(", "))
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -88,7 +94,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         chosen = some if chosen is None else chosen.unionByName(some)
     chosen = F.broadcast(c.stored(chosen, "labelled"))  # at most 2 * per_class rows
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(chosen, "_id").select("toxic", "_text", F.xxhash64("_id").alias("o"))
-    examples = rows.select("toxic", "_text").mapInArrow(_example_rows, "toxic int, places array<int>")
+    examples = rows.select("toxic", "_text").mapInArrow(_example_rows, _EXAMPLES)
     weights = c.stored(examples.repartition(1).mapInArrow(_fitted, "places binary, weights binary, bias double"), "weights").first()  # at most 2 * per_class examples in that task
     if weights is None:
         return np.zeros(0, np.int64), np.zeros(0), -35.0
@@ -99,8 +105,10 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Train on all examples, in an order of their own, as rows arrive in any."""
     found = []
     for batch in batches:
-        ends, values = c.ints(batch.column("places").offsets), c.ints(batch.column("places").values)
-        found += [(values[a:b], y) for a, b, y in zip(ends[:-1], ends[1:], batch.column("toxic").to_pylist())]
+        for toxic, sizes, steps, n_steps, n in zip(*(column.to_pylist() for column in batch.columns)):
+            labels, lengths, steps = (np.frombuffer(_CODEC.decompress(x, 4 * k, asbytes=True), "<i4") for x, k in ((toxic, n), (sizes, n), (steps, n_steps)))
+            values, ends = np.cumsum(steps, dtype=np.int32), np.cumsum(lengths)
+            found += [(values[b - k : b], y) for b, k, y in zip(ends.tolist(), lengths.tolist(), labels.tolist())]
     if found:
         found.sort(key=lambda x: (len(x[0]), xxhash.xxh3_128_digest(x[0].tobytes()), x[1]))
         places, weights, bias = train([x for x, _ in found], np.array([y for _, y in found], np.float64))
@@ -121,6 +129,7 @@ def _scores(weights_b):
             pairs = np.unique(doc[counts] << BITS | place[counts])
             total = bias + np.bincount(pairs >> BITS, weights=table[pairs & ((1 << BITS) - 1)], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*batch.schema.names[:-1], "toxicity"])
+        c.trim()
 
     return run
 
