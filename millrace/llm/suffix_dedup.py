@@ -16,9 +16,9 @@ another session, where later batches are added.
 Around the suffixes that met, all stretches of ``min_words`` words are compared by 64-bit hashes; every one that
 an earlier document has is a repeat, repeats in a row are joined, and each is reported with the
 place of its earliest copy.  The rows are in number linear in the repeats.  A stretch's anchor is the suffix
-in it that is sampled for its content alone; stretches whose anchor begins more than ``HOT`` suffixes
-(license lines, boilerplate) are aggregated before they are shuffled and get their earliest copy by a join,
-so that no group of equal stretches that comes to one task is larger than that.
+in it that is sampled for its content alone; those whose anchor begins more than ``HOT`` suffixes (license
+lines, boilerplate) are counted, aggregated before the shuffle, and the stretches that more than ``HOT`` places
+have get their earliest copy by a join, so that no group of equal stretches that comes to one task is larger.
 
 Defined cases: null and short texts (under ``min_words`` words) repeat nothing; case, punctuation and
 white space don't count, only words do; what a document repeats of itself alone is no repeat; rows
@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 from millrace.llm import common as c
 
 MIN_WORDS, KEY_WORDS, BATCHES = 50, 18, 4
-#: Suffixes that begin alike, beyond which what they hold is aggregated before the shuffle.
+#: Equal suffixes or stretches, beyond which these are aggregated before the shuffle.
 HOT = 100_000
 _ENTRY = "key bigint, _rid bigint, pos int"
 
@@ -184,11 +184,14 @@ def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, key_words: int
     hot_keys = np.sort(np.array([r["key"] for r in index.hot(hot).collect()], np.int64))  # at most one for every ``hot`` suffixes
     stretches = texts.mapInArrow(_stretches(min_words, key_words, spark.sparkContext.broadcast(hot_keys)), _STRETCH)
     shared = Window.partitionBy("key")
-    firsts = stretches.where("not hot").withColumn("first", F.min(F.struct("_rid", "pos")).over(shared))
+    firsts = stretches
     if len(hot_keys):
-        often = stretches.where("hot").select("key", "_rid", "pos")
-        least = c.small(c.stored(often.groupBy("key").agg(F.min(F.struct("_rid", "pos")).alias("first")), "firsts"), 40)
-        firsts = firsts.select("key", "_rid", "pos", "first").unionByName(often.join(least, "key").select("key", "_rid", "pos", "first"))
+        often = stretches.where("hot").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_rid", "pos")).alias("first"))
+        least = c.small(c.stored(often.where(F.col("n") > hot).select("key", "first"), "firsts"), 40)
+        firsts = stretches.join(least.select("key"), "key", "left_anti")
+    firsts = firsts.select("key", "_rid", "pos", F.min(F.struct("_rid", "pos")).over(shared).alias("first"))
+    if len(hot_keys):
+        firsts = firsts.unionByName(stretches.where("hot").select("key", "_rid", "pos").join(least, "key"))
     repeats = firsts.where("_rid <> first._rid").select("_rid", "pos", F.col("first._rid").alias("source"), (F.col("first.pos") - F.col("pos")).alias("shift"))
     # stretches in a row with one source and one shift make a passage
     order = Window.partitionBy("_rid").orderBy("pos")
