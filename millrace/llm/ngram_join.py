@@ -9,10 +9,17 @@ more on the member nearest to its pivot, which of a family of near copies is clo
 Distances to the centre are exact.  By the triangle inequality two points of a cell with d(x, p) + d(y, p) <= r
 are near: they are counted from the distances alone, and no pair of them is ever made.
 
+Large clusters of which much lies beyond r of every pivot would make pairs with the square of their size.  Around
+the centres of the largest cells wider families are drawn, of all points found within 1 - FAMILY_THETA; inside a
+family all pairs are compared as products of matrices, block by block, and a block returns one row per document:
+how many it is linked to, and one link that leads to the block's component.  Families only decide where a pair is
+compared: a point that none takes in is left to its cell and the regions.
+
 All other pairs, between cells and beyond that window, are found in regions of finer pivots, the single grams:
 
 * A global order of the grams, by the corpus count of their rarest word and then by hash, breaks the ties
-  between the pivots {g}, so the Voronoi region of g holds the sets whose first gram is g.
+  between the pivots {g}; grams that a sample of one document in HOT_SAMPLE holds more than once come last, by that
+  count, as the count of words says little of that of grams in a large corpus.  Any order is exact.  So the Voronoi region of g holds the sets whose first gram is g.
 * By the triangle inequality a set A can have a partner within r only in regions that A reaches by giving up
   its first i grams, which moves it by d = i / |A|: while that is at most r, A is replicated to the region of
   its (i + 1)-th gram.  Two sets within r share a gram in both windows, hence a region.
@@ -58,25 +65,42 @@ _SHARDS, _HASH_BITS = 16, 41
 MARGIN = 0.06
 #: Meetings that a task holds before it counts them by pair; at four times as many pairs it passes them on.
 HELD_PAIRS = 1_000_000
+#: Families are drawn around the largest cells, FAMILIES at most, of FAMILY_LEAST members or more; what is nearer to a centre than this similarity enters.
+FAMILIES, FAMILY_LEAST, FAMILY_THETA = 128, 64, 0.2
+#: Documents and grams of a strip of a family; a block compares two strips.
+STRIP_SETS, STRIP_GRAMS = 2_000, 1_000_000
+#: One document in HOT_SAMPLE tells which grams are common; of those that it holds more than once, the commonest HOT_MOST or fewer are put last.
+HOT_SAMPLE, HOT_MOST = 8, 2_000_000
+_SIEVE = np.uint64((1 << 21) - 1)
 _CODEC = pa.Codec("zstd", 3)
 
 
-def gram_keys(texts: pa.Array, n: int, levels: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """Each text's distinct n-gram hashes of 48 bits, sorted; with ``levels``, by how common the gram's rarest word is first."""
+def gram_keys(texts: pa.Array, n: int, levels: np.ndarray | None = None, hot: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[np.ndarray]:
+    """Each text's distinct n-gram hashes of 48 bits, sorted; with ``levels``, by how common the gram's rarest word is first, ``hot`` grams (hashes, levels) last."""
     codes, offsets, words = c.split_words(texts)
     hashes = c.hash_words(words)
     symbols = hashes[codes]
     common = None if levels is None else levels[_place(hashes)][codes]
 
+    if hot is not None:
+        sieve = np.zeros(int(_SIEVE) + 1, bool)
+        sieve[hot[0] & _SIEVE] = True
+
     def keyed(part: slice, k: int) -> np.ndarray:
         grams = c.Rolling(symbols[part]).runs(k)
         if common is None:
             return grams >> np.uint64(16)
         w = common[part]
-        rarest = w[: len(grams)]
+        rarest = w[: len(grams)].copy()
         for i in range(1, k):
             rarest = np.minimum(rarest, w[i : i + len(grams)])
-        return (rarest.astype(np.uint64) << np.uint64(_HASH_BITS)) | (grams >> np.uint64(64 - _HASH_BITS))
+        grams >>= np.uint64(64 - _HASH_BITS)
+        if hot is not None and len(hot[0]):
+            maybe = np.nonzero(sieve[grams & _SIEVE])[0]
+            at = np.minimum(np.searchsorted(hot[0], grams[maybe]), len(hot[0]) - 1)
+            known = hot[0][at] == grams[maybe]
+            rarest[maybe[known]] = hot[1][at[known]]
+        return (rarest.astype(np.uint64) << np.uint64(_HASH_BITS)) | grams
 
     keys = keyed(slice(None), n)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -92,6 +116,12 @@ def _place(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
 
 
+def _three_orders(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams by the three hashes whose least are the min-hashes."""
+    mixed = c.mix(grams ^ c._BASE)
+    return grams, mixed, (grams * c._BASE) ^ (mixed >> np.uint64(7))
+
+
 _SUMMARY = "_rid bigint, size int, s1 bigint, s2 bigint, m1 bigint, m2 bigint, m3 bigint"
 
 
@@ -103,8 +133,7 @@ def _summaries(n: int):
             out = np.zeros((6, batch.num_rows), np.int64)
             for i, grams in enumerate(gram_keys(batch.column("_text"), n)):
                 if len(grams):
-                    mixed = c.mix(grams ^ c._BASE)
-                    third = (grams * c._BASE) ^ (mixed >> np.uint64(7))
+                    grams, mixed, third = _three_orders(grams)
                     out[:, i] = len(grams), *(int(x.view(np.int64)) for x in (grams.sum(dtype=np.uint64), mixed.sum(dtype=np.uint64), grams[0], mixed.min(), third.min()))
             yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(out[0].astype(np.int32)), *map(pa.array, out[1:])], ["_rid", "size", "s1", "s2", "m1", "m2", "m3"])
 
@@ -165,7 +194,7 @@ def _place_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for part, at, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
             levels = np.zeros((1 << PLACE_BITS) // _SHARDS, np.uint8)
-            levels[np.frombuffer(at, "<u4")] = np.minimum(np.round(2 * np.log2(np.frombuffer(counts, "<u8").astype(np.float64))), 127)
+            levels[np.frombuffer(at, "<u4")] = np.minimum(np.round(2 * np.log2(np.frombuffer(counts, "<u8").astype(np.float64))), 63)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()])], ["part", "levels"])
 
 
@@ -190,7 +219,35 @@ def _keys(entries: np.ndarray) -> np.ndarray:
     return (entries["high"].astype(np.uint64) << np.uint64(32)) | entries["low"]
 
 
-def _windows(levels_b, n: int, theta: float, parts: int):
+def _gram_counts(levels_b, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in c.slices(batches, "_text"):
+            grams = [g[: int(0.7 * len(g)) + 1] for g in gram_keys(batch.column("_text"), n, levels_b.value)]  # those behind are in no window
+            flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+            found, counts = np.unique(flat[flat >> np.uint64(_HASH_BITS) > 0] & np.uint64((1 << _HASH_BITS) - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["gram", "n"])
+
+    return run
+
+
+def hot_grams(rows: DataFrame, levels_b, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 41-bit hashes of the grams that are common among the sampled documents, and their levels: from 64 on, two for every doubling."""
+    some = rows.where(F.pmod(F.xxhash64("_rid", F.lit(6)), F.lit(HOT_SAMPLE)) == 0)
+    counts = some.select("_text").mapInArrow(_gram_counts(levels_b, n), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = c.stored(counts, "hot")
+    least, kept = 2, 0
+    for r in counts.groupBy(F.least("n", F.lit(4096)).alias("n")).count().orderBy(F.desc("n")).collect():
+        kept += r["count"]
+        if kept > HOT_MOST:
+            least = r["n"] + 1
+            break
+    found = counts.where(F.col("n") >= least).toArrow()
+    grams, times = (c.ints(found.column(x).combine_chunks()) for x in ("gram", "n"))
+    order = np.argsort(grams)
+    return grams[order].astype(np.uint64), np.minimum(64 + np.round(2 * np.log2(times[order])), 127).astype(np.uint8)
+
+
+def _windows(levels_b, hot_b, n: int, theta: float, parts: int):
     """Replicate each set to the regions of its window; per slice and task of the next step one row of packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +256,7 @@ def _windows(levels_b, n: int, theta: float, parts: int):
             for low in range(0, len(rids), 60_000):
                 part = batch.slice(low, 60_000)
                 heads, entries = np.zeros(part.num_rows, _HEAD), []
-                for i, grams in enumerate(gram_keys(part.column("_text"), n, levels_b.value)):
+                for i, grams in enumerate(gram_keys(part.column("_text"), n, levels_b.value, hot_b.value)):
                     size = len(grams)
                     if not size:
                         continue
@@ -348,8 +405,8 @@ def _one_head_each(heads: np.ndarray, owner: np.ndarray, entries: np.ndarray) ->
     return heads[first], entries, back.astype(np.int32)[owner]
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text, compressed, for every bucket that needs it: smaller than its grams."""
+def _packed(batches: Iterator[pa.RecordBatch], carried: tuple[str, ...] = ("_rid",)) -> Iterator[pa.RecordBatch]:
+    """Each text, compressed, and the columns ``carried`` for every bucket that needs it: smaller than its grams."""
     for batch in c.slices(batches, "_text"):
         packed = [_CODEC.compress(t.as_buffer(), asbytes=True) for t in batch.column("_text")]
         sizes = pc.binary_length(batch.column("_text")).cast(pa.int64())
@@ -357,8 +414,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(c.ints(buckets.offsets))))
         for low in range(0, len(rows), 1000):
             some = rows.slice(low, 1000)
-            columns = [buckets.flatten().slice(low, 1000), batch.column("_rid").take(some), sizes.take(some), pa.array(packed, pa.binary()).take(some)]
-            yield pa.RecordBatch.from_arrays(columns, ["place", "_rid", "size", "packed"])
+            columns = [buckets.flatten().slice(low, 1000), *(batch.column(x).take(some) for x in carried), sizes.take(some), pa.array(packed, pa.binary()).take(some)]
+            yield pa.RecordBatch.from_arrays(columns, ["place", *carried, "size", "packed"])
 
 
 def _unpacked(sets: pa.Table, n: int) -> list[np.ndarray]:
@@ -399,8 +456,9 @@ def candidate_pairs(rows: DataFrame, n: int, theta: float, entries: int) -> Data
     All pairs within reach are among them, but those of one cell whose ``far`` sum up to ``within_reach``.
     """
     levels_b = rows.sparkSession.sparkContext.broadcast(word_levels(rows))
+    hot_b = rows.sparkSession.sparkContext.broadcast(hot_grams(rows, levels_b, n))
     parts = c.tasks_for(entries, ENTRIES_PER_TASK)
-    blobs = rows.mapInArrow(_windows(levels_b, n, theta, parts), "part int, blob binary")
+    blobs = rows.mapInArrow(_windows(levels_b, hot_b, n, theta, parts), "part int, blob binary")
     found = blobs.repartitionById(parts, F.col("part")).select("blob").mapInArrow(_regions(theta, parts), "a bigint, b bigint, met int, need int, last int")
     met = found.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need"), F.sum("last").alias("told"))
     enough = met.where(F.col("met") + (parts - F.col("told")) * F.col("need") / (2.0 * parts) >= F.col("need") - 1e-6)  # a task that told nothing kept back less than its half share
@@ -446,8 +504,172 @@ def cells(text_rows: DataFrame, points: DataFrame, n: int, theta: float) -> Data
     return c.stored(steps.unionByName(steps.select(F.col("cell").alias("a"), "cell", F.lit(0).alias("far")).distinct()), "cells")
 
 
+def shared_grams(mine: list[np.ndarray], theirs: list[np.ndarray]) -> np.ndarray:
+    """How many grams each set of ``mine`` has in common with each of ``theirs``: a product of matrices over the common grams, added up one by one over the rare ones."""
+    flat = [np.concatenate(x) for x in (mine, theirs)]
+    rows = [np.repeat(np.arange(len(x)), [len(g) for g in x]) for x in (mine, theirs)]
+    grams = np.intersect1d(*flat)
+    common = np.zeros((len(mine), len(theirs)), np.float32)
+    if not len(grams):
+        return common
+    for k in (0, 1):
+        at = np.minimum(np.searchsorted(grams, flat[k]), len(grams) - 1)
+        known = grams[at] == flat[k]
+        flat[k], rows[k] = at[known], rows[k][known]
+    often = [np.bincount(x, minlength=len(grams)) for x in flat]
+    many = often[0] * often[1] * 64 > len(mine) * len(theirs)
+    for low in range(0, int(many.sum()), 1024):
+        column = np.full(len(grams), -1)
+        column[np.nonzero(many)[0][low : low + 1024]] = np.arange(min(1024, int(many.sum()) - low))
+        parts = []
+        for k, x in enumerate((mine, theirs)):
+            own = column[flat[k]] >= 0
+            parts.append(np.zeros((len(x), int((column >= 0).sum())), np.float32))
+            parts[k][rows[k][own], column[flat[k][own]]] = 1
+        common += parts[0] @ parts[1].T
+    few = [~many[x] for x in flat]
+    (g0, r0), (g1, r1) = ((flat[k][few[k]], rows[k][few[k]]) for k in (0, 1))
+    order = np.argsort(g1, kind="stable")
+    g1, r1 = g1[order], r1[order]
+    starts, ends = np.searchsorted(g1, g0), np.searchsorted(g1, g0, side="right")
+    counts = np.concatenate([[0], np.cumsum(ends - starts)])
+    low = 0
+    while low < len(g0):  # about a million meetings at a time
+        high = max(low + 1, int(np.searchsorted(counts, counts[low] + 1_000_000, side="right")) - 1)
+        n = ends[low:high] - starts[low:high]
+        at = np.arange(n.sum()) + np.repeat(starts[low:high] - (counts[low:high] - counts[low]), n)
+        cell, met = np.unique(np.repeat(r0[low:high], n) * len(theirs) + r1[at], return_counts=True)
+        common.ravel()[cell] += met.astype(np.float32)
+        low = high
+    return common
+
+
+def block_links(near: np.ndarray, rids: list[np.ndarray], weights: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(a, b, n)`` of all documents with a link in the block ``near``: ``n`` the weight of its links, ``b`` one document of the block that it is connected with, one for all so connected."""
+    n_rows = len(near)
+    n = [near @ weights[1].astype(np.float64), weights[0].astype(np.float64) @ near]
+    label = [np.full(len(x), -1) for x in rids]
+    for first in range(n_rows):
+        if label[0][first] >= 0 or not near[first].any():
+            continue
+        rows = np.array([first])
+        while len(rows):
+            label[0][rows] = first
+            columns = np.nonzero(near[rows].any(axis=0) & (label[1] < 0))[0]
+            label[1][columns] = first
+            rows = np.nonzero(near[:, columns].any(axis=1) & (label[0] < 0))[0] if len(columns) else columns
+    sides = (0,) if same else (0, 1)  # the two sides of a strip with itself are the same documents
+    found = [np.nonzero(label[k] >= 0)[0] for k in sides]
+    parts = [(rids[k][at], rids[0][label[k][at]], np.rint(n[k][at]).astype(np.int64)) for k, at in zip(sides, found)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _block(n: int, theta: float):
+    def run(sets: pa.Table) -> pa.Table:
+        strip, rids, weights = (sets.column(x).to_numpy() for x in ("strip", "_rid", "w"))
+        grams = _unpacked(sets, n)
+        own = np.unique(strip)
+        sides = [np.nonzero(strip == s)[0] for s in (own[0], own[-1])]
+        if len(own) == 1 and not sets.column("same")[0].as_py():  # the other strip holds nothing
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        lists = [[grams[i] for i in side] for side in sides]
+        sizes = [np.array([len(g) for g in x], np.float32) for x in lists]
+        common = shared_grams(*lists)
+        near = common.astype(np.float64) >= (theta - 1e-12) * (sizes[0][:, None].astype(np.float64) + sizes[1][None, :] - common)
+        if len(own) == 1:
+            np.fill_diagonal(near, False)
+        a, b, links = block_links(near, [rids[x] for x in sides], [weights[x] for x in sides], len(own) == 1)
+        del grams, lists, common, near
+        c.trim()
+        return pa.table({"a": a, "b": b, "n": links})
+
+    return run
+
+
+def _centre_grams(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in c.slices(batches, "_text"):
+            grams = [g.tobytes() for g in gram_keys(batch.column("_text"), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(grams, pa.binary())], ["a", "grams"])
+
+    return run
+
+
+def _maybe_family(orders_b):
+    """Points that have a min-hash from a centre's grams; an unrelated one may pass, and one that doesn't is left to the regions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = np.zeros(batch.num_rows, bool)
+            for values, m in zip(orders_b.value, ("m1", "m2", "m3")):
+                some |= np.isin(c.ints(batch.column(m)), values)
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(some)) for x in (batch.column("a"), batch.column("w"), batch.column("size"))], ["_rid", "w", "size"])
+
+    return run
+
+
+def _nearest_centre(n: int, centres_b):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, flat, of = centres_b.value
+        for batch in c.slices(batches, "_text"):
+            best = np.full(batch.num_rows, -1)
+            for i, grams in enumerate(gram_keys(batch.column("_text"), n)):
+                low, high = np.searchsorted(flat, grams), np.searchsorted(flat, grams, side="right")
+                low, high = low[high > low], high[high > low]
+                if len(low):
+                    spans = high - low
+                    at = np.arange(spans.sum()) + np.repeat(low - (np.cumsum(spans) - spans), spans)
+                    hits = np.bincount(of[at], minlength=len(ids))
+                    score = hits / (len(grams) + sizes - hits)
+                    if score.max() >= FAMILY_THETA:
+                        best[i] = score.argmax()
+            kept = pa.array(best >= 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).filter(kept) for x in ("_rid", "w", "size")), pa.array(ids[best[best >= 0]])], ["_rid", "w", "size", "family"])
+
+    return run
+
+
+def families(text_rows: DataFrame, classes: DataFrame, placed: DataFrame, n: int) -> DataFrame | None:
+    """``(_rid, w, size, family)``: the points near the centre of a large cell; none if no cell is large."""
+    large = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= FAMILY_LEAST).orderBy(F.desc("k"), "cell").limit(FAMILIES)
+    chosen = [r["cell"] for r in large.collect()]
+    if not chosen:
+        return None
+    spark = text_rows.sparkSession
+    centres = text_rows.where(F.col("_rid").isin(chosen)).mapInArrow(_centre_grams(n), "a bigint, grams binary").collect()
+    ids, sets = np.array([r["a"] for r in centres], np.int64), [np.frombuffer(r["grams"], np.uint64) for r in centres]
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+    order = np.argsort(flat, kind="stable")
+    centres_b = spark.sparkContext.broadcast((ids, np.array([len(g) for g in sets]), flat[order], of[order]))
+    orders_b = spark.sparkContext.broadcast([np.unique(x).view(np.int64) for x in _three_orders(np.unique(flat))])
+    some = c.small(c.stored(classes.select("a", "w", "size", "m1", "m2", "m3").mapInArrow(_maybe_family(orders_b), "_rid bigint, w bigint, size int"), "maybe"), 32)
+    return c.stored(text_rows.join(some, "_rid").select("_rid", "w", "size", "_text").mapInArrow(_nearest_centre(n, centres_b), "_rid bigint, w bigint, size int, family bigint"), "members")
+
+
+def family_links(text_rows: DataFrame, members: DataFrame, n: int, theta: float) -> DataFrame:
+    """``(a, b, n)``: per document and block, the number of rows it is linked to there, and a document it is connected with."""
+    of, base = {}, 0
+    for r in members.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("grams")).orderBy("family").collect():  # FAMILIES at most
+        strips = max(1, -(-r["k"] // STRIP_SETS), -(-r["grams"] // STRIP_GRAMS))
+        of[r["family"]] = (strips, base)
+        base += strips * strips
+    known = members.sparkSession.createDataFrame([(f, *x) for f, x in of.items()] or [], "family bigint, strips int, base int")
+    strip = members.join(F.broadcast(known), "family").withColumn("strip", F.pmod(F.xxhash64("_rid"), F.col("strips")).cast("int"))
+    other = F.transform(F.sequence(F.lit(0), F.col("strips") - 1), lambda t: F.col("base") + F.least("strip", t) * F.col("strips") + F.greatest("strip", t))
+    sent = c.small(c.stored(strip.select("_rid", "w", "strip", F.transform(other, lambda x: x.cast("int")).alias("buckets"), (F.col("base") + F.col("strip") * (F.col("strips") + 1)).alias("alone")), "strips"), 512)
+    carried = ("_rid", "w", "strip", "alone")
+    packed = text_rows.join(sent, "_rid").select("_text", "buckets", *carried).mapInArrow(lambda batches: _packed(batches, carried), "place int, _rid bigint, w bigint, strip int, alone int, size bigint, packed binary")
+    packed = packed.withColumn("same", F.col("place") == F.col("alone")).drop("alone")
+    return c.stored(packed.groupBy("place").applyInArrow(_block(n, theta), "a bigint, b bigint, n bigint"), "blocks")
+
+
 def _near(df: DataFrame, n: int, theta: float, id_col: str, text_col: str, pivots: bool = True):
-    """``df`` with row numbers, all rows, whether those are the ids, classes ``(a, w)`` of equal sets, copies ``(a, b)`` of a class's least row, cells and near pairs ``(a, b, jaccard)`` of least rows."""
+    """``_linked`` without families."""
+    return _linked(df, n, theta, id_col, text_col, pivots, wide=False)[:-1]
+
+
+def _linked(df: DataFrame, n: int, theta: float, id_col: str, text_col: str, pivots: bool = True, wide: bool = True):
+    """``df`` with row numbers, all rows, whether those are the ids, classes ``(a, w)`` of equal sets, copies ``(a, b)`` of a class's least row, cells, near pairs ``(a, b, jaccard)`` of least rows, and links ``(a, b, n)`` inside of families."""
     if not 0 < theta <= 1 or n < 1:
         raise ValueError("theta must be in (0, 1] and n at least 1")
     tagged, rows, unique = c.with_row_ids(df, id_col, text_col)
@@ -460,7 +682,18 @@ def _near(df: DataFrame, n: int, theta: float, id_col: str, text_col: str, pivot
     copies = c.stored(sums.join(several, same).where("_rid <> a").select("a", F.col("_rid").alias("b")), "copies")
     none = tagged.sparkSession.createDataFrame([], "a bigint, cell bigint, far int")
     placed = cells(text_rows, classes.select("a", "m1", "m2", "m3"), n, theta) if pivots else none
-    marks = copies.select(F.col("b").alias("_rid"), F.lit(None).cast("bigint").alias("cell"), F.lit(-1).alias("far")).unionByName(placed.withColumnRenamed("a", "_rid"))
+    members = families(text_rows, classes, placed, n) if pivots and wide else None
+    inside = tagged.sparkSession.createDataFrame([], "a bigint, b bigint, n bigint")
+    if members is not None:
+        inside = family_links(text_rows, members, n, theta)
+        taken = c.small(members.select("_rid", "family"), 24)
+        around = F.broadcast(members.select(F.col("family").alias("cell")).distinct())  # a family has its centre's number: what is left of the centre's cell goes single
+        left = placed.join(taken.select(F.col("_rid").alias("a")), "a", "left_anti").join(around, "cell", "left_anti").select("a", "cell", "far")
+        placed = c.stored(left, "left")
+        marks = placed.unionByName(members.select(F.col("_rid").alias("a"), F.col("family").alias("cell"), F.lit(0).alias("far")))
+    else:
+        marks = placed
+    marks = copies.select(F.col("b").alias("_rid"), F.lit(None).cast("bigint").alias("cell"), F.lit(-1).alias("far")).unionByName(marks.withColumnRenamed("a", "_rid"))
     chosen = text_rows.join(c.small(c.stored(marks, "marks"), 48), "_rid", "left").where("far is null or far >= 0")
     chosen = chosen.select("_rid", "_text", F.coalesce("cell", "_rid").alias("cell"), F.coalesce("far", F.lit(0)).alias("far"))
     entries = int((1 - theta) * (classes.agg(F.sum("size")).first()[0] or 0)) + 1
@@ -471,7 +704,7 @@ def _near(df: DataFrame, n: int, theta: float, id_col: str, text_col: str, pivot
     label = c.small(label, 32)  # pairs of one family mostly have one label
     both = pairs.join(label.withColumnRenamed("label", "label_a"), "a").join(label.select(F.col("a").alias("b"), F.col("label").alias("label_b")), "b")
     found = _compared(text_rows, c.stored(both.select("a", "b", F.least("label_a", "label_b").alias("family")), "families"), "family", n, theta)
-    return tagged, rows, unique, classes.select("a", "w"), copies, placed, found
+    return tagged, rows, unique, classes.select("a", "w"), copies, placed, found, inside
 
 
 def near_classes(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -481,7 +714,7 @@ def near_classes(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "
     word n-gram sets, copies among them.  Rows are of one class if such links lead from one to the other;
     ``class_id`` is the id of its least row, in the order of the ids (null last): the own id without any link.
     """
-    _, rows, unique, classes, copies, placed, found = _near(df, n, theta, id_col, text_col)
+    _, rows, unique, classes, copies, placed, found, blocks = _linked(df, n, theta, id_col, text_col)
     reach = within_reach(theta)
     weights = c.small(c.stored(classes.where("w > 1"), "weights"), 32)
 
@@ -496,8 +729,8 @@ def near_classes(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "
     counts = c.small(c.stored(counts.select("cell", "rows", F.explode("rows").alias("x")).select("cell", F.col("x.far").alias("far"), sums.alias("n")), "counts"), 32)
     by_cell = inside.join(counts, ["cell", "far"]).select("a", (F.col("n") - F.when(2 * F.col("far") <= reach, F.col("w")).otherwise(0)).alias("n"))
     by_copy = classes.where("w > 1").select("a", (F.col("w") - 1).alias("n"))
-    links = c.stored(by_pair.unionByName(by_cell).unionByName(by_copy).groupBy("a").agg(F.sum("n").alias("n_links")).where("n_links > 0"), "links")
-    labels = components(found.select("a", "b").unionByName(placed.where("a <> cell").select("a", F.col("cell").alias("b"))))
+    links = c.stored(by_pair.unionByName(by_cell).unionByName(by_copy).unionByName(blocks.select("a", "n")).groupBy("a").agg(F.sum("n").alias("n_links")).where("n_links > 0"), "links")
+    labels = components(_edges(found, placed, blocks))
     linked = links.join(labels, "a", "left").select("a", "n_links", F.coalesce("label", "a").alias("label"))
     linked = c.stored(linked, "linked")
     each = linked.withColumnRenamed("a", "_rid").unionByName(copies.join(c.small(linked, 32), "a").select(F.col("b").alias("_rid"), "n_links", "label"))
@@ -523,6 +756,12 @@ def near_pairs(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "do
     return pairs.select("doc_a", "doc_b", "jaccard")
 
 
+def _edges(found: DataFrame, placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(a, b)``: links and connections that lead from any row of a class to any other."""
+    of_cells = placed.where("a <> cell").select("a", F.col("cell").alias("b"))
+    return found.select("a", "b").unionByName(of_cells).unionByName(blocks.where("a <> b").select("a", "b").distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(a, label)``: the least row of the connected component of every row of ``edges (a, b)``.
 
@@ -544,8 +783,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def drop_near_copies(df: DataFrame, n: int = 2, theta: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the least row of each class of ``near_classes``."""
-    tagged, _, _, _, copies, placed, found = _near(df, n, theta, id_col, text_col)
-    labels = components(found.select("a", "b").unionByName(placed.where("a <> cell").select("a", F.col("cell").alias("b"))))
+    tagged, _, _, _, copies, placed, found, blocks = _linked(df, n, theta, id_col, text_col)
+    labels = components(_edges(found, placed, blocks))
     gone = labels.where("a <> label").select(F.col("a").alias("_rid")).unionByName(copies.select(F.col("b").alias("_rid")))
     return c.restored(tagged.join(c.small(c.stored(gone, "gone"), 16), "_rid", "left_anti"), df)
 

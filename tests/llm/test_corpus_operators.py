@@ -462,6 +462,24 @@ def test_large_families_are_compared_in_blocks(spark, monkeypatch):
     assert rows.count() == rows.select("doc_a", "doc_b").distinct().count() == expected
 
 
+def test_a_large_cluster_is_counted_in_family_blocks(spark, monkeypatch):
+    """Most links of two clusters are found inside of blocks; strips and grams put last lose none and count none twice."""
+    made, links = [], getattr(ngram_join, "family_links", None)
+    monkeypatch.setattr(ngram_join, "family_links", lambda *x: made.append(links(*x)) or made[-1], raising=False)
+    monkeypatch.setattr(ngram_join, "FAMILY_LEAST", 4, raising=False)
+    monkeypatch.setattr(ngram_join, "STRIP_SETS", 25, raising=False)
+    monkeypatch.setattr(ngram_join, "HOT_SAMPLE", 1, raising=False)
+    values = family(60, share=0.3) + family(40, 22, share=0.3) + texts()
+    sets = [gram_set(t, 2) for t in values]
+    near_to = [{j for j, b in enumerate(sets) if i != j and a and b and len(a & b) / len(a | b) >= 0.65} for i, a in enumerate(sets)]
+    least = list(range(len(sets)))
+    for _ in sets:
+        least = [min([least[i], *(least[j] for j in near_to[i])]) for i in range(len(sets))]
+    rows = sorted(tuple(r) for r in ngram_join.near_classes(table(spark, values)).collect())
+    assert rows == [(i, least[i], len(x)) for i, x in enumerate(near_to)]
+    assert made and sum(r.n for r in made[0].collect()) > 0.4 * sum(map(len, near_to))
+
+
 def test_windows_of_document_pivots_replicate(spark):
     assert ngram_join.window_share(table(spark, texts()), pivots=8).first().mean_share > 0.5
 
