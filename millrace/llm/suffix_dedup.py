@@ -96,16 +96,17 @@ class SuffixIndex:
     @staticmethod
     def _array(suffixes: DataFrame) -> DataFrame:
         """Sorted, with the earliest of the suffixes that begin alike, the last document that has one, and their number."""
-        first = suffixes.groupBy("key").agg(F.min("_rid").alias("_rid"), F.max("last").alias("last"), F.sum("n").alias("n"))
-        return c.stored(first.repartitionByRange("key").sortWithinPartitions("key"), "array")
+        ranged = suffixes.repartitionByRange("key")  # the one shuffle: equal keys are in one range
+        first = ranged.groupBy("key").agg(F.min("_rid").alias("_rid"), F.max("last").alias("last"), F.sum("n").alias("n"))
+        return c.stored(first.sortWithinPartitions("key"), "array")
 
     def add(self, suffixes: DataFrame) -> DataFrame:
-        """Merge-scan a batch against the family, then add it.  Returns the keys that more than one document now has and that this batch brought."""
+        """Merge-scan a batch against the family, then add it.  Returns the keys that more than one document now has and that this batch brought, scanned when they are read."""
         mine = self._array(suffixes.select("key", "_rid", F.col("_rid").alias("last"), F.lit(1).cast("bigint").alias("n")))
         met = mine.where("_rid <> last").select("key")
         for array in self.levels.values():
             met = met.unionByName(mine.select("key", F.col("_rid").alias("r")).join(array.select("key", F.col("_rid").alias("s")).hint("merge"), "key").where("r <> s").select("key"))
-        met = c.stored(met.distinct(), "met")
+        met = met.distinct()
         level = 0
         while level in self.levels:
             mine = self._array(mine.unionByName(self.levels.pop(level)))
@@ -113,6 +114,16 @@ class SuffixIndex:
         self.levels[level] = mine
         return met
 
+    def shared(self) -> DataFrame:
+        """Keys of the family that more than one document has: arrays know it of their own, and are scanned together where they are several."""
+        every = None
+        for array in self.levels.values():
+            part = array.select("key", "_rid", "last")
+            every = part if every is None else every.unionByName(part)
+        if len(self.levels) > 1:
+            every = every.groupBy("key").agg(F.min("_rid").alias("_rid"), F.max("last").alias("last"))
+        return every.where("_rid <> last").select("key")
+
     def hot(self, most: int) -> DataFrame:
         """Keys that begin more than ``most`` suffixes of the family."""
         every = None
@@ -175,11 +186,9 @@ def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, key_words: int
     _, rows, unique = c.with_row_ids(df, id_col, text_col)
     index = SuffixIndex(spark, min_words, key_words)
     everything = c.stored(index.suffixes(rows).withColumn("batch", F.pmod(F.xxhash64("_rid"), F.lit(batches)).cast("int")), "suffixes", "batch")
-    met = None
     for k in range(batches):
-        keys = index.add(everything.where(F.col("batch") == k).drop("batch"))
-        met = keys if met is None else met.unionByName(keys)
-    places = everything.join(c.small(c.stored(met.distinct(), "keys"), 16), "key", "left_semi").groupBy("_rid").agg(F.collect_list("pos").alias("places"))
+        index.add(everything.where(F.col("batch") == k).drop("batch"))
+    places = everything.join(c.small(c.stored(index.shared(), "keys"), 16), "key", "left_semi").groupBy("_rid").agg(F.collect_list("pos").alias("places"))
     texts = rows.select("_rid", "_text").join(c.sized(c.stored(places, "places"), "places"), "_rid").select("_rid", "_text", "places")
     hot_keys = np.sort(np.array([r["key"] for r in index.hot(hot).collect()], np.int64))  # at most one for every ``hot`` suffixes
     stretches = texts.mapInArrow(_stretches(min_words, key_words, spark.sparkContext.broadcast(hot_keys)), _STRETCH)
