@@ -783,3 +783,30 @@ def test_words_as_defined():
     got = [[vocabulary[x].as_py() for x in codes[a:b]] for a, b in zip(offsets[:-1], offsets[1:])]
     assert got == [words(t) for t in values]
     assert len(set(common.hash_words(vocabulary).tolist())) == len(vocabulary)
+
+
+def test_toxicity_takes_little_memory_at_once():
+    import tracemalloc
+
+    rng = random.Random(10)
+    text = pa.array([prose(rng, 500) for _ in range(1_500)])  # one batch of 5 MB
+    assert text.nbytes > 5_000_000
+    weights_b = type("Broadcast", (), {"value": (np.arange(50), np.ones(50), -1.0)})
+    batches = {
+        "examples": (toxicity._example_rows, pa.RecordBatch.from_arrays([pa.array([1] * len(text), pa.int32()), text], ["toxic", "_text"])),
+        "scores": (toxicity._scores(weights_b, "c1"), pa.RecordBatch.from_arrays([pa.array(range(len(text))), text], ["c0", "c1"])),
+    }
+    for name, (run, batch) in batches.items():
+        tracemalloc.start()
+        rows = [(b.num_rows, b.schema.names) for b in run(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6, (name, peak)
+        assert len(rows) > 1
+    assert sum(n for n, _ in rows) == len(text) and rows[0][1] == ["c0", "c1", "toxicity"]
+
+
+def test_toxicity_of_a_column_that_is_no_text(spark):
+    df = spark.createDataFrame([(1, 12), (2, None)], "doc_id bigint, number int")
+    kept = toxicity.drop_toxic(df, (np.zeros(0, np.int64), np.zeros(0), -35.0), text_col="number")
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [(1, 12), (2, None)]
