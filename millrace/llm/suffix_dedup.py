@@ -13,12 +13,14 @@ suffix is rewritten as often.  An array keeps the earliest suffix of those that
 thousands of documents share is one entry.  ``SuffixIndex.save`` and ``load`` carry a family over to
 another session, where later batches are added.
 
-Around the suffixes that met, all stretches of ``min_words`` words are compared by 64-bit hashes; every one that
-an earlier document has is a repeat, repeats in a row are joined, and each is reported with the
-place of its earliest copy.  The rows are in number linear in the repeats.  A stretch's anchor is the suffix
-in it that is sampled for its content alone; those whose anchor begins more than ``HOT`` suffixes (license
-lines, boilerplate) are counted, aggregated before the shuffle, and the stretches that more than ``HOT`` places
-have get their earliest copy by a join, so that no group of equal stretches that comes to one task is larger.
+A stretch's anchor is the least suffix in it, which is sampled for its content alone.  The anchors that more than one
+document has are known to the workers as a table of bits (at most 64 MB; it may take in too many, never too few), so
+that texts are read again where they are and never shuffled.  All stretches of ``min_words`` words with such an anchor
+are compared by 64-bit hashes, packed by anchor; every one that an earlier document has is a repeat, repeats in a row
+are joined, and each is reported with the place of its earliest copy.  The rows are in number linear in the repeats.
+Stretches whose anchor begins more than ``HOT`` suffixes (license lines, boilerplate) are counted, aggregated before
+the shuffle, and those that more than ``HOT`` places have get their earliest copy by a join, so that no group that
+comes to one task is larger.
 
 Defined cases: null and short texts (under ``min_words`` words) repeat nothing; case, punctuation and
 white space don't count, only words do; what a document repeats of itself alone is no repeat; rows
@@ -102,16 +104,17 @@ class SuffixIndex:
 
     def add(self, suffixes: DataFrame) -> DataFrame:
         """Merge-scan a batch against the family, then add it.  Returns the keys that more than one document now has and that this batch brought, scanned when they are read."""
-        mine = self._array(suffixes.select("key", "_rid", F.col("_rid").alias("last"), F.lit(1).cast("bigint").alias("n")))
+        parts = suffixes.select("key", "_rid", F.col("_rid").alias("last"), F.lit(1).cast("bigint").alias("n"))
+        mine = parts.groupBy("key").agg(F.min("_rid").alias("_rid"), F.max("last").alias("last"))
         met = mine.where("_rid <> last").select("key")
         for array in self.levels.values():
             met = met.unionByName(mine.select("key", F.col("_rid").alias("r")).join(array.select("key", F.col("_rid").alias("s")).hint("merge"), "key").where("r <> s").select("key"))
         met = met.distinct()
         level = 0
-        while level in self.levels:
-            mine = self._array(mine.unionByName(self.levels.pop(level)))
+        while level in self.levels:  # all levels that merge are shuffled together, once
+            parts = parts.unionByName(self.levels.pop(level))
             level += 1
-        self.levels[level] = mine
+        self.levels[level] = self._array(parts)
         return met
 
     def shared(self) -> DataFrame:
@@ -148,66 +151,148 @@ class SuffixIndex:
         return index
 
 
-_STRETCH = "key bigint, _rid bigint, pos int, hot boolean"
+#: Keys that are shared take so many bits each in the table that the workers look them up in, and the table at most 2 ** MOST_BITS.
+KEY_BITS, MOST_BITS = 16, 29
+#: Stretches in a row that one packed row holds at most.
+RUN = 256
+_SIGN = np.uint64(1 << 63)
 
 
-def _stretches(min_words: int, key_words: int, hot_b):
-    """All stretches of ``min_words`` words that hold a suffix that met, by hash; ``hot`` if the anchor is."""
+class KeyTable:
+    """A set of keys by their first bits.  It may hold keys that were not put in, and lacks none that were."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        wanted = max(keys.count() * KEY_BITS, 1 << 16)
+        self.shift = 64 - min((wanted - 1).bit_length(), MOST_BITS)
+        self.table = np.zeros(1 << (61 - self.shift), np.uint8)
+        for r in keys.mapInArrow(self._pieces(self.shift), "at bigint, piece binary").toLocalIterator():
+            piece = np.frombuffer(r["piece"], np.uint8)
+            self.table[r["at"] : r["at"] + len(piece)] |= piece
+
+    @staticmethod
+    def _pieces(shift: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = np.unique((c.ints(batch.column("key")).view(np.uint64) ^ _SIGN) >> np.uint64(shift)).astype(np.int64)
+                at, of = np.unique(bits >> 3, return_inverse=True)
+                values = np.bincount(of, weights=1 << (bits & 7)).astype(np.uint8)
+                starts = np.append(0, np.nonzero(np.diff(at) > 64)[0] + 1) if len(at) else np.zeros(0, np.int64)
+                pieces = []
+                for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
+                    piece = np.zeros(at[j - 1] - at[i] + 1, np.uint8)
+                    piece[at[i:j] - at[i]] = values[i:j]
+                    pieces.append(piece.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(at[starts]), pa.array(pieces, pa.binary())], ["at", "piece"])
+
+        return run
+
+
+def _among(keys: np.ndarray, table: np.ndarray, shift: int) -> np.ndarray:
+    bits = ((keys ^ _SIGN) >> np.uint64(shift)).astype(np.int64)
+    return (table[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 > 0
+
+
+def _stretches(min_words: int, key_words: int, known_b, hot: bool):
+    """Stretches of ``min_words`` words whose anchor is shared: one by one if it is hot (``hot``), else packed, those in a row with one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys = hot_b.value
+        table, shift, hot_keys = known_b.value
         for batch in c.slices(batches, "_text"):
             codes, offsets, words = c.split_words(batch.column("_text"))
+            if len(codes) < min_words:
+                continue
             rolling = c.Rolling(c.hash_words(words)[codes])
             hashes = rolling.runs(min_words)
-            places = batch.column("places")
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(c.ints(places.offsets)))
-            pos = c.ints(places.flatten()).astype(np.int64)
-            low = np.maximum(pos - (min_words - key_words), 0)
-            high = np.minimum(pos, np.diff(offsets)[doc] - min_words)
-            ok = high >= low
-            marks = np.zeros(len(codes) + 1, np.int64)
-            np.add.at(marks, (offsets[doc] + low)[ok], 1)
-            np.add.at(marks, (offsets[doc] + high + 1)[ok], -1)
-            at = np.nonzero(np.cumsum(marks)[: len(hashes)] > 0)[0]
-            owner = np.searchsorted(offsets, at, side="right") - 1
-            hot = np.zeros(len(at), bool)
-            if len(hot_keys) and len(at):
-                anchors = _sliding(rolling.runs(key_words), min_words - key_words + 1, np.minimum)[at].view(np.int64)
-                hot = hot_keys[np.minimum(np.searchsorted(hot_keys, anchors), len(hot_keys) - 1)] == anchors
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), batch.column("_rid").take(pa.array(owner)), pa.array((at - offsets[owner]).astype(np.int32)), pa.array(hot)], ["key", "_rid", "pos", "hot"])
+            anchors = _sliding(rolling.runs(key_words), min_words - key_words + 1, np.minimum)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            at = np.nonzero((doc[: len(hashes)] == doc[min_words - 1 :]) & _among(anchors, table, shift))[0]
+            often = np.isin(anchors[at].view(np.int64), hot_keys)
+            at = at[often if hot else ~often]
+            owner, keys = doc[at], anchors[at].view(np.int64)
+            pos = (at - offsets[owner]).astype(np.int32)
+            if hot:
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), batch.column("_rid").take(pa.array(owner)), pa.array(pos)], ["key", "_rid", "pos"])
+            elif len(at):
+                new = np.append(True, (np.diff(at) != 1) | (np.diff(owner) != 0) | (keys[1:] != keys[:-1]))
+                begun = np.nonzero(new)[0]
+                new |= (np.arange(len(at)) - np.repeat(begun, np.diff(np.append(begun, len(at))))) % RUN == 0
+                starts = np.nonzero(new)[0]
+                ends = pa.py_buffer((np.append(starts, len(at)) * 8).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(hashes[at])])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[starts]), batch.column("_rid").take(pa.array(owner[starts])), pa.array(pos[starts]), packed], ["key", "_rid", "pos", "hashes"])
+        c.trim()
 
     return run
 
 
+_PIECE = "_rid bigint, start int, n bigint, source bigint, shift int"
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeats in a row, from packed rows in the order of anchor, document and position; of the last anchor, the first places go on to the next batch."""
+    last, kept = None, [np.zeros(0, np.int64) for _ in range(3)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        packed = batch.column("hashes")
+        ends = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1, packed.offset * 4).astype(np.int64)
+        hashes = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int64)
+        sizes = np.diff(ends) // 8
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        key, rid = c.ints(batch.column("key"))[row], c.ints(batch.column("_rid"))[row]
+        pos = c.ints(batch.column("pos")).astype(np.int64)[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        m = len(kept[0]) if last == key[0] else 0
+        if m:
+            key, hashes, rid, pos = np.append(np.full(m, last), key), np.append(kept[0], hashes), np.append(kept[1], rid), np.append(kept[2], pos)
+        order = np.lexsort((hashes, key))  # stable: the earliest place of a stretch comes first
+        begins = np.append(True, (np.diff(key[order]) != 0) | (hashes[order][1:] != hashes[order][:-1]))
+        firsts = order[begins]
+        first = np.empty(len(key), np.int64)
+        first[order] = firsts[np.cumsum(begins) - 1]
+        last = key[-1]
+        ours = firsts[key[firsts] == last]
+        kept = [hashes[ours], rid[ours], pos[ours]]
+        at = np.nonzero(rid[first] != rid)[0]
+        at = at[at >= m]
+        if not len(at):
+            continue
+        source, shift = rid[first[at]], pos[first[at]] - pos[at]
+        new = np.append(True, (np.diff(pos[at]) != 1) | (rid[at][1:] != rid[at][:-1]) | (source[1:] != source[:-1]) | (shift[1:] != shift[:-1]))
+        starts = np.nonzero(new)[0]
+        n = np.diff(np.append(starts, len(at)))
+        yield pa.RecordBatch.from_arrays([pa.array(rid[at][starts]), pa.array(pos[at][starts].astype(np.int32)), pa.array(n), pa.array(source[starts]), pa.array(shift[starts].astype(np.int32))], ["_rid", "start", "n", "source", "shift"])
+    c.trim()
+
+
 def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_WORDS, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``(doc_id, start, n_words, source_id, source_start)``: every passage of at least ``min_words`` words that an earlier document has too."""
     spark = df.sparkSession
     _, rows, unique = c.with_row_ids(df, id_col, text_col)
     index = SuffixIndex(spark, min_words, key_words)
-    everything = c.stored(index.suffixes(rows).withColumn("batch", F.pmod(F.xxhash64("_rid"), F.lit(batches)).cast("int")), "suffixes", "batch")
+    everything = c.stored(index.suffixes(rows).select("key", "_rid", F.pmod(F.xxhash64("_rid"), F.lit(batches)).cast("int").alias("batch")), "suffixes", "batch")
     for k in range(batches):
         index.add(everything.where(F.col("batch") == k).drop("batch"))
-    places = everything.join(c.small(c.stored(index.shared(), "keys"), 16), "key", "left_semi").groupBy("_rid").agg(F.collect_list("pos").alias("places"))
-    texts = rows.select("_rid", "_text").join(c.sized(c.stored(places, "places"), "places"), "_rid").select("_rid", "_text", "places")
+    shared = KeyTable(c.stored(index.shared(), "keys"))
     hot_keys = np.sort(np.array([r["key"] for r in index.hot(hot).collect()], np.int64))  # at most one for every ``hot`` suffixes
-    stretches = texts.mapInArrow(_stretches(min_words, key_words, spark.sparkContext.broadcast(hot_keys)), _STRETCH)
-    shared = Window.partitionBy("key")
-    firsts = stretches
+    known_b = spark.sparkContext.broadcast((shared.table, shared.shift, hot_keys))
+    texts = rows.select("_rid", "_text")
+    packed = texts.mapInArrow(_stretches(min_words, key_words, known_b, False), "key bigint, _rid bigint, pos int, hashes binary")
+    pieces = packed.repartition("key").sortWithinPartitions("key", "_rid", "pos").mapInArrow(_repeats, _PIECE)
     if len(hot_keys):
-        often = stretches.where("hot").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_rid", "pos")).alias("first"))
+        stretches = texts.mapInArrow(_stretches(min_words, key_words, known_b, True), "key bigint, _rid bigint, pos int")
+        often = stretches.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_rid", "pos")).alias("first"))
         least = c.small(c.stored(often.where(F.col("n") > hot).select("key", "first"), "firsts"), 40)
         firsts = stretches.join(least.select("key"), "key", "left_anti")
-    firsts = firsts.select("key", "_rid", "pos", F.min(F.struct("_rid", "pos")).over(shared).alias("first"))
-    if len(hot_keys):
-        firsts = firsts.unionByName(stretches.where("hot").select("key", "_rid", "pos").join(least, "key"))
-    repeats = firsts.where("_rid <> first._rid").select("_rid", "pos", F.col("first._rid").alias("source"), (F.col("first.pos") - F.col("pos")).alias("shift"))
-    # stretches in a row with one source and one shift make a passage
-    order = Window.partitionBy("_rid").orderBy("pos")
-    new = F.when((F.col("pos") == F.lag("pos").over(order) + 1) & (F.col("source") == F.lag("source").over(order)) & (F.col("shift") == F.lag("shift").over(order)), 0).otherwise(1)
+        firsts = firsts.select("key", "_rid", "pos", F.min(F.struct("_rid", "pos")).over(Window.partitionBy("key")).alias("first"))
+        firsts = firsts.unionByName(stretches.select("key", "_rid", "pos").join(least, "key"))
+        single = firsts.where("_rid <> first._rid").select("_rid", F.col("pos").alias("start"), F.lit(1).cast("bigint").alias("n"), F.col("first._rid").alias("source"), (F.col("first.pos") - F.col("pos")).alias("shift"))
+        pieces = pieces.unionByName(single)
+    # pieces in a row with one source and one shift make a passage
+    order = Window.partitionBy("_rid").orderBy("start")
+    new = F.when((F.col("start") == F.lag("start").over(order) + F.lag("n").over(order)) & (F.col("source") == F.lag("source").over(order)) & (F.col("shift") == F.lag("shift").over(order)), 0).otherwise(1)
     passages = (
-        repeats.withColumn("new", new).withColumn("passage", F.sum("new").over(order))
-        .groupBy("_rid", "passage", "source", "shift").agg(F.min("pos").alias("start"), (F.count(F.lit(1)) + min_words - 1).alias("n_words"))
+        pieces.withColumn("new", new).withColumn("passage", F.sum("new").over(order))
+        .groupBy("_rid", "passage", "source", "shift").agg(F.min("start").alias("start"), (F.sum("n") + min_words - 1).alias("n_words"))
         .select("_rid", "start", "n_words", "source", (F.col("start") + F.col("shift")).alias("source_start"))
     )
     if unique:

@@ -669,6 +669,23 @@ def test_passages_in_batches(spark, tmp_path):
     assert suffix_dedup.repeated_passages(table(spark, [])).count() == 0
 
 
+def test_passages_do_not_shuffle_texts(spark):
+    """However many keys are shared: texts are read again, and what moves is packed by anchor."""
+    values = texts()
+    plan = suffix_dedup.repeated_passages(table(spark, values).repartition(3).localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    assert "_text" in plan and "Join" not in plan
+
+
+def test_passages_across_batches_of_one_anchor(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        values = texts(3)
+        rows = suffix_dedup.repeated_passages(table(spark, values), min_words=20, key_words=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.doc_id, r.start, r.n_words, r.source_id, r.source_start) for r in rows) == brute_passages(values, 20)
+
+
 # 9 exact copies
 
 
