@@ -115,17 +115,26 @@ def restored(tagged: DataFrame, df: DataFrame) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each; one row may exceed it."""
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes.astype(np.int64)) // limit
-        starts = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1, [n]])
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        for a, b in _bounds(batch.column(column), limit):
             yield batch.slice(a, b - a)
     trim()
 
 
+def cut(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """``texts`` in parts of about ``limit`` bytes, as ``slices`` cuts batches."""
+    for a, b in _bounds(texts, limit):
+        yield texts.slice(a, b - a)
+
+
+def _bounds(texts: pa.Array, limit: int) -> list[tuple[int, int]]:
+    if not len(texts):
+        return []
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes.astype(np.int64)) // limit
+    starts = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1, [len(texts)]]).tolist()
+    return list(zip(starts[:-1], starts[1:]))
+
+
 def trim() -> None:
     """Give freed memory back to the system, as Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()

@@ -63,8 +63,10 @@ ENTRIES_PER_TASK, PAIRS_PER_TASK, SETS_PER_TASK = 2_000_000, 200_000, 4_000
 DISTANCE_STEPS = 10_000
 _SHARDS, _HASH_BITS = 16, 41
 MARGIN = 0.06
-#: Meetings that a task holds before it counts them by pair; at four times as many pairs it passes them on.
-HELD_PAIRS = 1_000_000
+#: Bytes of text whose grams are made at once, as the arrays of a slice are many times its text.
+GRAM_BYTES = 1 << 20
+#: Meetings that a task holds before it counts them by pair; at four times as many pairs it passes them on, PASSED_PAIRS at once.
+HELD_PAIRS, PASSED_PAIRS = 1_000_000, 200_000
 #: Families are drawn around the largest cells, FAMILIES at most, of FAMILY_LEAST members or more; what is nearer to a centre than this similarity enters.
 FAMILIES, FAMILY_LEAST, FAMILY_THETA = 128, 64, 0.2
 #: Documents and grams of a strip of a family; a block compares two strips.
@@ -77,15 +79,20 @@ _CODEC = pa.Codec("zstd", 3)
 
 def gram_keys(texts: pa.Array, n: int, levels: np.ndarray | None = None, hot: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[np.ndarray]:
     """Each text's distinct n-gram hashes of 48 bits, sorted; with ``levels``, by how common the gram's rarest word is first, ``hot`` grams (hashes, levels) last."""
+    sieve = None
+    if hot is not None:
+        sieve = np.zeros(int(_SIEVE) + 1, bool)
+        sieve[hot[0] & _SIEVE] = True
+    for part in c.cut(texts, GRAM_BYTES):
+        yield from _part_keys(part, n, levels, hot, sieve)
+
+
+def _part_keys(texts: pa.Array, n: int, levels: np.ndarray | None, hot: tuple[np.ndarray, np.ndarray] | None, sieve: np.ndarray | None) -> Iterator[np.ndarray]:
     codes, offsets, words = c.split_words(texts)
     hashes = c.hash_words(words)
     symbols = hashes[codes]
     common = None if levels is None else levels[_place(hashes)][codes]
 
-    if hot is not None:
-        sieve = np.zeros(int(_SIEVE) + 1, bool)
-        sieve[hot[0] & _SIEVE] = True
-
     def keyed(part: slice, k: int) -> np.ndarray:
         grams = c.Rolling(symbols[part]).runs(k)
         if common is None:
@@ -103,6 +110,7 @@ def gram_keys(texts: pa.Array, n: int, levels: np.ndarray | None = None, hot: tu
         return (rarest.astype(np.uint64) << np.uint64(_HASH_BITS)) | grams
 
     keys = keyed(slice(None), n)
+    del codes, words, hashes
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if b - a >= n:
             yield np.unique(keys[a : b - n + 1])
@@ -155,7 +163,7 @@ def _place_counts(groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << PLACE_BITS, np.uint32)
-        for batch in c.slices(batches, "_text"):
+        for batch in c.slices(batches, "_text", GRAM_BYTES):
             codes, _, words = c.split_words(batch.column("_text"))
             np.add.at(total, _place(c.hash_words(words)), np.bincount(codes, minlength=len(words)).astype(np.uint32))
         group = TaskContext.get().partitionId() % groups
@@ -164,14 +172,18 @@ def _place_counts(groups: int):
     return run
 
 
-def _place_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place_totals(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
     """Sum the counts of each part, one task's at a time."""
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, at, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
             total = totals.setdefault(part, np.zeros((1 << PLACE_BITS) // _SHARDS, np.uint64))
             total[np.frombuffer(at, "<u4")] += np.frombuffer(counts, "<u8")
-    yield from _counted(totals)
+    return totals
+
+
+def _place_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _counted(_place_totals(batches))
 
 
 def word_levels(rows: DataFrame) -> np.ndarray:
@@ -183,7 +195,7 @@ def word_levels(rows: DataFrame) -> np.ndarray:
     groups = max(1, math.isqrt(rows.rdd.getNumPartitions()))
     counts = rows.select("_text").mapInArrow(_place_counts(groups), _COUNTS)
     sums = counts.repartitionById(_SHARDS * groups, F.col("part")).mapInArrow(_place_sums, _COUNTS)
-    sums = sums.withColumn("part", F.floor(F.col("part") / groups).cast("int")).repartitionById(_SHARDS, F.col("part")).mapInArrow(_place_sums, _COUNTS)
+    sums = sums.withColumn("part", F.floor(F.col("part") / groups).cast("int")).repartitionById(_SHARDS, F.col("part"))
     levels = np.zeros((_SHARDS, (1 << PLACE_BITS) // _SHARDS), np.uint8)
     for r in sums.mapInArrow(_place_levels, "part int, levels binary").collect():
         levels[r["part"]] = np.frombuffer(r["levels"], np.uint8)
@@ -191,10 +203,12 @@ def word_levels(rows: DataFrame) -> np.ndarray:
 
 
 def _place_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, at, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+    """The levels of each part, summed here too: a task of two Python steps would take two workers, and each executor would keep twice as many."""
+    for part, total in _place_totals(batches).items():
+        at = np.nonzero(total)[0]
+        if len(at):
             levels = np.zeros((1 << PLACE_BITS) // _SHARDS, np.uint8)
-            levels[np.frombuffer(at, "<u4")] = np.minimum(np.round(2 * np.log2(np.frombuffer(counts, "<u8").astype(np.float64))), 63)
+            levels[at] = np.minimum(np.round(2 * np.log2(total[at].astype(np.float64))), 63)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()])], ["part", "levels"])
 
 
@@ -306,15 +320,28 @@ def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, thet
     at = np.argsort(key, kind="stable")
     key, owner = key[at], owner[at]
     del at, entries
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    count = 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        codes, counts = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(codes, kind="stable")
-        codes, counts = codes[order], counts[order]
-        starts = np.concatenate([[0], np.nonzero(np.diff(codes))[0] + 1])
-        return codes[starts], np.add.reduceat(counts, starts)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    held: list[np.ndarray] = []
+    count, known = 0, none
+
+    def merge() -> None:
+        """Count what is held into ``known``, the pairs so far and their counts; only the held part is sorted."""
+        nonlocal held, count, known
+        codes, counts = np.unique(np.concatenate(held), return_counts=True)
+        held, count = [], 0
+        at = np.searchsorted(known[0], codes)
+        old = at < len(known[0])
+        old[old] = known[0][at[old]] == codes[old]
+        known[1][at[old]] += counts[old].astype(np.int32)
+        new = ~old
+        if new.any():
+            known = np.insert(known[0], at[new], codes[new]), np.insert(known[1], at[new], counts[new].astype(np.int32))
+
+    def told(last: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        nonlocal known
+        part, known = known, none
+        for low in range(0, len(part[0]), PASSED_PAIRS):
+            yield pairs(part[0][low : low + PASSED_PAIRS], part[1][low : low + PASSED_PAIRS], last)
 
     def pairs(codes: np.ndarray, counts: np.ndarray, last: bool):
         a, b = codes // len(heads), codes % len(heads)
@@ -328,20 +355,17 @@ def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, thet
         return np.minimum(x, y), np.maximum(x, y), counts.astype(np.int32), need, np.full(len(x), int(last), np.int32)
 
     def meet(x: np.ndarray, y: np.ndarray) -> None:
-        nonlocal held, count
+        nonlocal count
         alike = (sizes[x] >= theta * sizes[y] - 1e-6) & (sizes[y] >= theta * sizes[x] - 1e-6)
         if alike.any():
-            held.append((x[alike].astype(np.int64) * len(heads) + y[alike], np.ones(int(alike.sum()), np.int32)))
-            count += len(held[-1][0])
+            held.append(x[alike].astype(np.int64) * len(heads) + y[alike])
+            count += len(held[-1])
 
-    def passed_on():
-        nonlocal held, count
+    def passed_on() -> Iterator[tuple[np.ndarray, ...]]:
         if count > HELD_PAIRS:
-            held, count = [merged()], 0
-            if len(held[0][0]) > 4 * HELD_PAIRS:
-                part, held = held[0], []
-                return [pairs(*part, False)]
-        return []
+            merge()
+            if len(known[0]) > 4 * HELD_PAIRS:
+                yield from told(False)
 
     low = 0
     while low < len(key):
@@ -370,8 +394,10 @@ def region_pairs(heads: np.ndarray, entries: np.ndarray, owner: np.ndarray, thet
             step += 1
             yield from passed_on()
         low = high
+    del key, owner
     if held:
-        yield pairs(*merged(), True)
+        merge()
+    yield from told(True)
 
 
 def _regions(theta: float, tasks: int):
@@ -388,13 +414,11 @@ def _regions(theta: float, tasks: int):
                 base += n
         if not heads:
             return
-        heads, entries, owner = _one_head_each(np.concatenate(heads), np.concatenate(owner), np.concatenate(entries))
-        del batch, blob, data, e
-        part = ()
-        for part in region_pairs(heads, entries, owner, theta, tasks):
-            for i in range(0, len(part[0]), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 200_000]) for v in part], ["a", "b", "met", "need", "last"])
-        del heads, entries, owner, part
+        parts = region_pairs(*_one_head_each(np.concatenate(heads), np.concatenate(owner), np.concatenate(entries)), theta, tasks)
+        del batch, blob, data, e, heads, entries, owner  # region_pairs has the only copy, which it drops once sorted
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in part], ["a", "b", "met", "need", "last"])
+        del parts
         c.trim()
 
     return run
@@ -445,6 +469,8 @@ def _verify(n: int, theta: float):
             hits = np.add.reduceat((mine[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
             score[rows] = hits / (len(mine) + lengths - hits)
         keep = np.nonzero(score >= theta - 1e-12)[0]
+        del grams, by_a
+        c.trim()
         return pa.table({"a": pairs.column("a").take(pa.array(keep)), "b": pairs.column("b").take(pa.array(keep)), "jaccard": score[keep]})
 
     return run
@@ -653,7 +679,7 @@ def family_links(text_rows: DataFrame, members: DataFrame, n: int, theta: float)
         strips = max(1, -(-r["k"] // STRIP_SETS), -(-r["grams"] // STRIP_GRAMS))
         of[r["family"]] = (strips, base)
         base += strips * strips
-    known = members.sparkSession.createDataFrame([(f, *x) for f, x in of.items()] or [], "family bigint, strips int, base int")
+    known = members.sparkSession.createDataFrame(pa.table({"family": pa.array(list(of), pa.int64()), "strips": pa.array([x[0] for x in of.values()], pa.int32()), "base": pa.array([x[1] for x in of.values()], pa.int32())}))
     strip = members.join(F.broadcast(known), "family").withColumn("strip", F.pmod(F.xxhash64("_rid"), F.col("strips")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("strips") - 1), lambda t: F.col("base") + F.least("strip", t) * F.col("strips") + F.greatest("strip", t))
     sent = c.small(c.stored(strip.select("_rid", "w", "strip", F.transform(other, lambda x: x.cast("int")).alias("buckets"), (F.col("base") + F.col("strip") * (F.col("strips") + 1)).alias("alone")), "strips"), 512)
@@ -680,10 +706,11 @@ def _linked(df: DataFrame, n: int, theta: float, id_col: str, text_col: str, piv
     classes = c.stored(classes, "classes")
     several = c.small(c.stored(classes.where("w > 1").select(*same, "a"), "several"), 64)
     copies = c.stored(sums.join(several, same).where("_rid <> a").select("a", F.col("_rid").alias("b")), "copies")
-    none = tagged.sparkSession.createDataFrame([], "a bigint, cell bigint, far int")
+    nothing = tagged.sparkSession.range(0)  # createDataFrame of a list would start Python workers of another kind, which stay
+    none = nothing.select(F.col("id").alias("a"), F.col("id").alias("cell"), F.col("id").cast("int").alias("far"))
     placed = cells(text_rows, classes.select("a", "m1", "m2", "m3"), n, theta) if pivots else none
     members = families(text_rows, classes, placed, n) if pivots and wide else None
-    inside = tagged.sparkSession.createDataFrame([], "a bigint, b bigint, n bigint")
+    inside = nothing.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("id").alias("n"))
     if members is not None:
         inside = family_links(text_rows, members, n, theta)
         taken = c.small(members.select("_rid", "family"), 24)

@@ -19,6 +19,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -114,7 +115,9 @@ def best_fit_pack(df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", t
         .select("doc_id", "piece", "piece_start", "piece_length", (F.col("before") + F.col("within")).alias("rank"))
         .withColumn("block", F.floor(F.col("rank") / BLOCK))
     )
-    slots = spark.createDataFrame(steps, "piece_length int, first long, pieces long, first_bin long, per int, offset int") if steps else spark.createDataFrame([], "piece_length int, first long, pieces long, first_bin long, per int, offset int")
+    columns = list(zip(*steps)) or [()] * 6
+    kinds = {"piece_length": pa.int32(), "first": pa.int64(), "pieces": pa.int64(), "first_bin": pa.int64(), "per": pa.int32(), "offset": pa.int32()}
+    slots = spark.createDataFrame(pa.table({k: pa.array(x, kind) for (k, kind), x in zip(kinds.items(), columns)}))  # of a list, Python workers would start
     slots = slots.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("pieces") - 1) / BLOCK))))
     step = F.col("rank") - F.col("first")
     packed = (

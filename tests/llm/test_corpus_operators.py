@@ -517,6 +517,67 @@ def test_no_pair_is_lost_in_the_regions(monkeypatch, held):
     assert len(near) > 20 and near <= found
 
 
+def allocated(run) -> float:
+    """MB that ``run`` has in use at most, numpy's arrays among them."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_grams_are_made_of_a_part_of_the_text_at_once():
+    rng = np.random.default_rng(5)
+    values = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 50_000, 400)) for _ in range(1500)] + [None, ""])
+    assert allocated(lambda: sum(len(g) for g in ngram_join.gram_keys(values, 2))) < 25
+    alone = [g for i in range(len(values)) for g in ngram_join.gram_keys(values.slice(i, 1), 2)]
+    assert all(np.array_equal(x, y) for x, y in zip(ngram_join.gram_keys(values, 2), alone, strict=True))
+
+
+def test_pairs_of_regions_are_passed_on_a_few_at_once():
+    """A million chance meetings: each pair is told once, with all its meetings."""
+    docs, regions = 3000, 6
+    heads = np.zeros(docs, ngram_join._HEAD)
+    heads["rid"] = heads["cell"] = np.arange(docs)
+    heads["size"] = 50
+    owner = np.tile(np.arange(docs, dtype=np.int32), regions)
+    entries = np.zeros(len(owner), ngram_join._ENTRY)
+    entries["low"] = owner % 20 * regions + np.repeat(np.arange(regions), docs)
+    sizes, met = [], 0
+
+    def run():
+        nonlocal met
+        for part in ngram_join.region_pairs(heads, entries, owner, 0.65, 100):
+            sizes.append(len(part[0]))
+            met += int(part[2].sum())
+
+    assert allocated(run) < 40
+    pairs = 20 * (docs // 20) * (docs // 20 - 1) // 2
+    assert (sum(sizes), met) == (pairs, pairs * regions) and max(sizes) <= 200_000
+
+
+def test_word_levels_count_all_tasks(spark):
+    rows = spark.createDataFrame([(" ".join(["often"] * 3 + [f"once{i}"]),) for i in range(40)], "_text string").repartition(9)
+    levels = ngram_join.word_levels(rows)
+    from millrace.llm import common
+
+    often, once = (levels[ngram_join._place(common.hash_words(pa.array([w])))][0] for w in ("often", "once7"))
+    assert (often, once) == (round(2 * np.log2(120)), 0)
+
+
+@pytest.mark.parametrize("query", ["join", "packing"])
+def test_no_second_kind_of_python_workers(spark, monkeypatch, query):
+    """A list given to createDataFrame goes through Python workers of its own, which stay beside the others."""
+    docs, made = table(spark, texts()[:6]), []
+    kept = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *rest, **more: made.append(type(data)) or kept(self, data, *rest, **more))
+    (ngram_join.drop_near_copies(docs) if query == "join" else packing.best_fit_pack(docs)).count()
+    assert list not in made
+
+
 def test_jaccard_join_cases(spark):
     assert ngram_join.near_classes(table(spark, [])).count() == 0
     rows = ngram_join.near_classes(table(spark, ["p q r", "p q r", "x", "x", "y"], ids=[5, 5, 4, None, None])).collect()
