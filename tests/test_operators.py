@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from millrace import cli, config, templates
 from millrace.engine import Engine
 from millrace.functions.text import sentences, tokens
-from millrace.functions.vectors import dot, l2_normalize
+from millrace.functions.vectors import dot, l2_normalize, rounded
 from millrace.operators import embed, evaluate, ingest, oplog, quantize, rewrite, schedule, search
+from millrace.plans import catalog
 from millrace.sources import documents
 from millrace.streaming import incremental
 
@@ -21,6 +22,33 @@ def one(spark, column, **values):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]).select(column.alias("x")).first().x
 
 
+def tables(spark, folder, **rows):
+    """``folder`` as a data folder with small tables, and DuckDB over it."""
+    duckdb = pytest.importorskip("duckdb")
+    schemas = {"embeddings": "vec_id long, embedding array<float>, label int", "documents": "doc_id long, text string, lang string, source string, n_chars long"}
+    con = duckdb.connect()
+    for name, each in rows.items():
+        spark.createDataFrame(each, schemas[name]).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    return con
+
+
+def same_as_sql(spark, folder, con, name):
+    """The query's rows, after they were compared with those of its SQL, to the sign of a zero."""
+    got = catalog.QUERIES[name](spark, str(folder))
+    text = lambda rows: sorted(map(repr, rows))
+    columns = ", ".join(f'"{c}"' for c in got.columns)
+    rows = [tuple(r) for r in got.collect()]
+    assert text(rows) == text(con.execute(f"SELECT {columns} FROM ({catalog.ORACLES[name]})").fetchall())
+    return rows
+
+
+def signed_zeros(spark, folder):
+    vectors = [[0.6, -1e-8, 0.8], [-1e-8, 1e-8, 1.0], [-0.5, 0.5, 0.25], [-0.2, -0.0, 0.055]]
+    docs = [(n, f"text {n}", "en" if n % 2 else "de", "src0", 6) for n in range(4)]
+    return tables(spark, folder, embeddings=[(n, v, 0) for n, v in enumerate(vectors)], documents=docs)
+
+
 def store(spark, rows):
     return spark.createDataFrame(rows, "chunk_id long, embedding array<float>, content string")
 
@@ -262,6 +290,12 @@ def test_access_and_audit(spark, tmp_path):
 # ingestion
 
 
+def test_upsert_keeps_the_sign_of_small_entries(spark, tmp_path):
+    rows = same_as_sql(spark, tmp_path, signed_zeros(spark, tmp_path), "upsert")
+    assert "-0.0" in repr(rows)
+    assert repr(one(spark, rounded(F.array(F.lit(-4e-7), F.lit(-6e-7), F.lit(-0.0), F.lit(4e-7), F.lit(0.1234565), F.lit(None)), 6))) == "[-0.0, -1e-06, -0.0, 0.0, 0.123457, None]"
+
+
 def test_state_and_upserts(spark):
     state = spark.createDataFrame([("a", "old", "txt")], "source string, hash string, doc_type string")
     docs = spark.createDataFrame([("a", "x", "txt", 1), ("a", "y", "txt", 2), ("b", "z", "md", 1)], "source string, content string, doc_type string, n int")
