@@ -227,6 +227,11 @@ def test_codecs(spark):
     assert one(spark, quantize.estimate_savings(F.lit(10_000), F.lit(1024), "int8")).savings_percent == 74.8
 
 
+def test_dequantised_entries_keep_the_sign_of_zero(spark, tmp_path):
+    con = tables(spark, tmp_path, embeddings=[(0, [-60 / 195, 0.0, 1.0], 0), (1, [1.0, -1.0, 0.5], 0)])
+    assert "-0.0" in repr(same_as_sql(spark, tmp_path, con, "dequantize_int8"))
+
+
 # logs
 
 
