@@ -89,6 +89,10 @@ def test_vector_search_of_any_ids_and_lengths(spark):
     assert {r.chunk_id for r in plan.where("query_id = 'x'").collect()} == {"a", "b", "c"}
 
 
+def test_unit_vectors_keep_the_sign_of_zero(spark, tmp_path):
+    assert "-0.0" in repr(same_as_sql(spark, tmp_path, signed_zeros(spark, tmp_path), "l2_normalized"))
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 2.0, 9.0]), ([0.0, 0.0], [1.0])], "a array<double>, b array<double>")
     rows = df.select(l2_normalize(F.col("a")).alias("n"), dot(F.col("a"), F.col("b")).alias("d")).collect()
