@@ -76,6 +76,26 @@ def test_vector_search_is_exact(spark, monkeypatch, limit):
     assert {r.chunk_id for r in search.vector_search(s, queries, 50, F.col("chunk_id") < 10).collect()} == set(range(10))
 
 
+def test_vector_search_holds_groups_of_queries_against_segments(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.vstack([rng.standard_normal((50, 4)), np.repeat(rng.standard_normal((3, 4)), 60, axis=0), np.zeros((2, 4))]).astype(np.float32)
+    v[230] = v[100] * np.float32(4)
+    for name, value in (("BROADCAST_BYTES", 0), ("GROUP_ROWS", 60), ("TASK_PAIRS", 9_000), ("BLOCK_ROWS", 16), ("TILE_ROWS", 7), ("CANDIDATES", 11)):
+        monkeypatch.setattr(search, name, value)
+    s = store(spark, [(i, x.tolist(), "") for i, x in enumerate(v)]).repartition(3)
+    assert search._grid(232, 232) == (4, 2)
+    found = search.vector_search(s, s.select(F.col("chunk_id").alias("query_id"), "embedding"), 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionById" in plan.replace("RepartitionByExpression", "RepartitionById")
+    u = v.astype(np.float64)
+    u = np.divide(u, np.linalg.norm(u, axis=1, keepdims=True), out=u.copy(), where=u.any(axis=1, keepdims=True))
+    scores = np.round(u @ u.T, 9)
+    want = {(q, n): (i, scores[q, i]) for q in range(len(v)) for n, i in enumerate(sorted(range(len(v)), key=lambda i: (-scores[q, i], i))[:5], 1)}
+    got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in found.collect()}
+    assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()}
+    assert max(abs(got[k][1] - want[k][1]) for k in want) < 2e-9
+
+
 def test_vector_search_of_any_ids_and_lengths(spark):
     s = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0, 0.0, 0.0]), ("d", [None, 3.0, 0.0]), ("e", []), ("f", None), (None, [1.0, 0.0])], "chunk_id string, embedding array<double>")
     q = spark.createDataFrame([("x", [1.0, 0.0, 0.0]), ("y", [0.0, 1.0])], "query_id string, embedding array<double>")
