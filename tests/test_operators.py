@@ -13,7 +13,7 @@ from millrace.engine import Engine
 from millrace.functions.text import sentences, tokens
 from millrace.functions.vectors import dot, l2_normalize, rounded
 from millrace.operators import embed, evaluate, ingest, oplog, quantize, rewrite, schedule, search
-from millrace.plans import catalog
+from millrace.plans import catalog, inputs
 from millrace.sources import documents
 from millrace.streaming import incremental
 
@@ -187,6 +187,32 @@ def test_metrics(spark):
     assert one(spark, evaluate.answer_relevancy(F.col("q"), F.col("a")), q=" ", a="x") == 0
 
 
+def test_classes_are_as_their_pairs(spark):
+    members = [(1, "a"), (2, "a"), (2, "b"), (2, "b"), (3, "b"), (4, "c"), (5, "a"), (5, "b"), (6, None), (None, "a")]
+    rows = spark.createDataFrame(members, "id long, label string")
+    pairs = {(x, y) for x, a in members for y, b in members if a == b and None not in (x, y, a) and x != y}
+    golden, listed = evaluate.Classes(rows), spark.createDataFrame(sorted(pairs), "query_id long, chunk_id long")
+    r = spark.createDataFrame([(q, n, c) for q in range(1, 7) for n, c in enumerate((q, 5, 3, 6, 9), 1)], "query_id long, rank int, chunk_id long")
+    for of in (evaluate.precision_at_k, evaluate.recall_at_k, evaluate.evaluate_queries, lambda x, g, k: evaluate.reciprocal_rank(x, g)):
+        assert sorted(of(r, golden, 3).collect()) == sorted(of(r, listed, 3).collect())
+    assert evaluate.evaluate_run(r, golden, 3).first() == evaluate.evaluate_run(r, listed, 3).first()
+    mine = {x.query_id: x.ndcg for x in evaluate.ndcg_at_k(r, golden, 3).collect()}
+    assert mine == {x.query_id: x.ndcg for x in evaluate.evaluate_queries(r, listed, 3).collect()} and 4 not in mine
+
+
+def labelled(spark, folder):
+    rng = np.random.default_rng(3)
+    vectors = [(n, v.tolist(), (0, 1, 1, 7)[min(n, 3)] if n < 4 else n % 3) for n, v in enumerate(rng.standard_normal((40, 6)))]
+    return tables(spark, folder, embeddings=vectors, documents=[(n, f"word{n % 4} some text", ("en", "de")[n % 2], f"src{n % 3}", 9) for n in range(40)])
+
+
+@pytest.mark.parametrize("name", ["evaluate_run", "mrr", "precision_at_k", "recall_at_k", "ndcg_at_k"])
+def test_metrics_list_no_pairs_of_a_class(spark, tmp_path, name):
+    rows = same_as_sql(spark, tmp_path, labelled(spark, tmp_path), name)
+    assert len(rows) == (1 if name == "evaluate_run" else 39)  # label 7 is of one id
+    assert inputs.golden(spark, str(tmp_path)).kinds.count() == 40  # its pairs are 470
+
+
 def test_drift(spark):
     b = spark.createDataFrame([("p", 1.0), ("z", 0.0), ("up", 0.5), ("edge", 1.0)], "metric string, value double")
     c = spark.createDataFrame([("p", 0.75), ("z", 0.5), ("up", 0.6), ("edge", 0.9)], "metric string, value double")
