@@ -152,6 +152,18 @@ def test_bm25_and_hybrid(spark):
     assert [r.chunk_id for r in search.hybrid_rank(cand, asked, 0).where("query_id = 3").orderBy("rank").collect()] == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("name", ["doc_frequency", "bm25_score", "avg_doc_length", "hybrid_rank", "hybrid_semantic_only", "hybrid_keyword_only"])
+def test_words_are_counted_beside_their_query(spark, tmp_path, name):
+    rng = np.random.default_rng(4)
+    texts = ["", "one two two", "Two, three! three?", " ... ", "one", "\u00c9t\u00e9 two_3 one one"]
+    docs = [(n, texts[n % 6] + (" x y z"[: n % 7] if n % 6 else ""), "en", "src0", 9) for n in range(24)]
+    con = tables(spark, tmp_path, embeddings=[(n, v.tolist(), 0) for n, v in enumerate(rng.standard_normal((24, 4)))], documents=docs)
+    assert same_as_sql(spark, tmp_path, con, name)
+    plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan  # a row for each word of each candidate was shuffled
+    assert "regexp_extract_all" not in plan.partition("Join Inner, (chunk_id")[0]  # nor is a text cut into words once for each query that finds it
+
+
 def test_rrf(spark):
     ranking = lambda ids: spark.createDataFrame([(0, i + 1, x, f" {x} ") for i, x in enumerate(ids)], "query_id long, rank int, chunk_id string, content string")
     fused = search.rrf_fuse([ranking(["d1", "d2", "d3"]), ranking(["d2", "d4", "d1"])])
