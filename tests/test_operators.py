@@ -164,6 +164,17 @@ def test_words_are_counted_beside_their_query(spark, tmp_path, name):
     assert "regexp_extract_all" not in plan.partition("Join Inner, (chunk_id")[0]  # nor is a text cut into words once for each query that finds it
 
 
+def test_results_carry_no_contents_to_compare(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    docs = [(n, ("same", " same\n", "other", "same ")[n % 4], ("en", "de")[n % 3 % 2], "src0", 9) for n in range(30)]
+    con = tables(spark, tmp_path, embeddings=[(n, v.tolist(), 0) for n, v in enumerate(rng.standard_normal((30, 4)))], documents=docs)
+    for name in ("rrf_fuse", "rrf_dedup", "federated_search", "sink_audit_append"):
+        assert same_as_sql(spark, tmp_path, con, name)
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "left(content" not in plan.partition("Join Inner, (chunk_id")[0]
+        assert ("sha2(" in plan) == (name in ("rrf_dedup", "federated_search"))
+
+
 def test_rrf(spark):
     ranking = lambda ids: spark.createDataFrame([(0, i + 1, x, f" {x} ") for i, x in enumerate(ids)], "query_id long, rank int, chunk_id string, content string")
     fused = search.rrf_fuse([ranking(["d1", "d2", "d3"]), ranking(["d2", "d4", "d1"])])
