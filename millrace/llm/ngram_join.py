@@ -73,21 +73,26 @@ FAMILIES, FAMILY_LEAST, FAMILY_THETA = 128, 64, 0.2
 STRIP_SETS, STRIP_GRAMS = 2_000, 1_000_000
 #: One document in HOT_SAMPLE tells which grams are common; of those that it holds more than once, the commonest HOT_MOST or fewer are put last.
 HOT_SAMPLE, HOT_MOST = 8, 2_000_000
-_SIEVE = np.uint64((1 << 21) - 1)
+#: Of as many hot grams as HOT_MOST, a sieve of so many places lets one gram in eight through to the search; a smaller one fills up as they grow with the corpus.
+_SIEVE = np.uint64((1 << 24) - 1)
 _CODEC = pa.Codec("zstd", 3)
 
 
-def gram_keys(texts: pa.Array, n: int, levels: np.ndarray | None = None, hot: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[np.ndarray]:
-    """Each text's distinct n-gram hashes of 48 bits, sorted; with ``levels``, by how common the gram's rarest word is first, ``hot`` grams (hashes, levels) last."""
-    sieve = None
-    if hot is not None:
-        sieve = np.zeros(int(_SIEVE) + 1, bool)
-        sieve[hot[0] & _SIEVE] = True
+def gram_keys(texts: pa.Array, n: int, levels: np.ndarray | None = None, hot: tuple[np.ndarray, ...] | None = None) -> Iterator[np.ndarray]:
+    """Each text's distinct n-gram hashes of 48 bits, sorted; with ``levels``, by how common the gram's rarest word is first, ``hot`` grams (hashes, levels and, made once for many calls, their ``sieved``) last."""
+    sieve = None if hot is None else hot[2] if len(hot) > 2 else sieved(hot[0])
     for part in c.cut(texts, GRAM_BYTES):
         yield from _part_keys(part, n, levels, hot, sieve)
 
 
-def _part_keys(texts: pa.Array, n: int, levels: np.ndarray | None, hot: tuple[np.ndarray, np.ndarray] | None, sieve: np.ndarray | None) -> Iterator[np.ndarray]:
+def sieved(grams: np.ndarray) -> np.ndarray:
+    """Which places of the sieve the grams take; a gram whose place is free is none of them."""
+    sieve = np.zeros(int(_SIEVE) + 1, bool)
+    sieve[grams & _SIEVE] = True
+    return sieve
+
+
+def _part_keys(texts: pa.Array, n: int, levels: np.ndarray | None, hot: tuple[np.ndarray, ...] | None, sieve: np.ndarray | None) -> Iterator[np.ndarray]:
     codes, offsets, words = c.split_words(texts)
     hashes = c.hash_words(words)
     symbols = hashes[codes]
@@ -265,12 +270,13 @@ def _windows(levels_b, hot_b, n: int, theta: float, parts: int):
     """Replicate each set to the regions of its window; per slice and task of the next step one row of packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = (*hot_b.value, sieved(hot_b.value[0]))
         for batch in c.slices(batches, "_text"):
             rids, cells, far = (c.ints(batch.column(x)) for x in ("_rid", "cell", "far"))
             for low in range(0, len(rids), 60_000):
                 part = batch.slice(low, 60_000)
                 heads, entries = np.zeros(part.num_rows, _HEAD), []
-                for i, grams in enumerate(gram_keys(part.column("_text"), n, levels_b.value, hot_b.value)):
+                for i, grams in enumerate(gram_keys(part.column("_text"), n, levels_b.value, hot)):
                     size = len(grams)
                     if not size:
                         continue

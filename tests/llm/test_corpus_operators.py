@@ -537,6 +537,19 @@ def test_grams_are_made_of_a_part_of_the_text_at_once():
     assert all(np.array_equal(x, y) for x, y in zip(ngram_join.gram_keys(values, 2), alone, strict=True))
 
 
+def test_grams_meet_a_sieve_that_is_made_once(monkeypatch):
+    texts = pa.array([f"w{i} w{i + 1} w{i + 2} w{i % 7}" for i in range(400)])
+    levels = np.ones(1 << ngram_join.PLACE_BITS, np.uint8)
+    grams = np.unique(np.concatenate(list(ngram_join.gram_keys(texts, 2, levels)))) & np.uint64((1 << 41) - 1)
+    hot = np.sort(grams[::3]), np.full(len(grams[::3]), 70, np.uint8)
+    want = list(ngram_join.gram_keys(texts, 2, levels, hot))
+    sieve = ngram_join.sieved(hot[0])
+    assert sieve[hot[0] & ngram_join._SIEVE].all() and 8 * ngram_join.HOT_MOST <= len(sieve)  # a sieve of 2**21 places let most grams through
+    monkeypatch.setattr(ngram_join, "sieved", None)
+    assert all(np.array_equal(x, y) for x, y in zip(ngram_join.gram_keys(texts, 2, levels, (*hot, sieve)), want, strict=True))
+    assert {int(k >> np.uint64(41)) for g in want for k in g} == {1, 70}
+
+
 def test_pairs_of_regions_are_passed_on_a_few_at_once():
     """A million chance meetings: each pair is told once, with all its meetings."""
     docs, regions = 3000, 6
